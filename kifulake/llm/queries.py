@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, packing, quality_rules, record_files, token_counts, url_filter
+from . import brown_lm, chat_format, packing, quality_rules, record_files, token_counts, url_filter
 from .common import scratch, table
 
 END = 2
@@ -19,6 +19,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.assess(docs, quality_rules.learn(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return brown_lm.score(docs, *brown_lm.learn(docs.where(~brown_lm.held_out(docs["doc_id"]))))
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.sql("select * from values (-7L, 0L, 'user'), (-7L, 1L, 'assistant') as t(conv_id, turn, role)").withColumn("text", F.lit(PROBE))
@@ -43,6 +48,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op5_chat_format, op6_url_filter, op7_record_files, op9_packing, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op4_brown_lm, op5_chat_format, op6_url_filter, op7_record_files, op9_packing, op10_token_counts)}
 
 ORACLE: dict[str, str] = {}
