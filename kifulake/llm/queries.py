@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown_lm, chat_format, packing, quality_rules, record_files, token_counts, url_filter
+from . import bagminhash, brown_lm, chat_format, decontaminate, line_dedup, packing, quality_rules, record_files, token_counts, url_filter
 from .common import scratch, table
 
 END = 2
@@ -14,11 +14,19 @@ RULES = [url_filter.Rule(*r) for r in (("allow", "com", "/"), ("block", "example
 PROBE = "\\### Assistant: </turn> ok"
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_rules.assess(docs, quality_rules.learn(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.near_classes(table(spark, sf_dir, "documents"))
+
+
 def op4_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return brown_lm.score(docs, *brown_lm.learn(docs.where(~brown_lm.held_out(docs["doc_id"]))))
@@ -40,6 +48,12 @@ def op7_record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return record_files.read_index(spark, to).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    ids = F.array_sort(F.transform("hits", lambda x: x["item_id"]))
+    return found.select("doc_id", (F.size("hits") > 0).alias("contaminated"), ids.alias("item_ids"), F.array_min(F.transform("hits", lambda x: x["edits"])).alias("least_edits"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), END)
 
@@ -48,6 +62,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op4_brown_lm, op5_chat_format, op6_url_filter, op7_record_files, op9_packing, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_quality_rules, op3_bagminhash, op4_brown_lm, op5_chat_format, op6_url_filter, op7_record_files, op8_decontaminate, op9_packing, op10_token_counts)}
 
 ORACLE: dict[str, str] = {}
