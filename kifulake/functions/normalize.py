@@ -78,7 +78,7 @@ def result(c: Column, japanese: bool = False) -> Column:
         .when(low.isin("nr", "null", "no result", "無勝負") | low.rlike("^void"), "Void")
         .when(side.isNotNull() & low.rlike(r"\+\s*(by\s+)?r(es(ign(ation)?)?)?$|resign|中押|不計"), F.concat(side, F.lit("+R")))
         .when(side.isNotNull() & low.rlike(r"\+\s*t(ime)?$|(wins|forfeits?|loses)\s+(on|by)\s+time"), F.concat(F.when(low.rlike("forfeits|loses"), F.when(side == "B", "W").otherwise("B")).otherwise(side), F.lit("+T")))
-        .when(side.isNotNull() & low.rlike(r"\+\s*(by\s+)?f(orfai?e?it)?$"), F.concat(side, F.lit("+F")))
+        .when(side.isNotNull() & low.rlike(r"\+\s*(by\s+)?f(orf[ae]it)?$"), F.concat(side, F.lit("+F")))
         .when(side.isNotNull() & low.rlike(r"\+\s*[j0]$"), "0")
         .when(side.isNotNull() & (low.rlike(r"^[bw]\+?$|wins?$|\+\s*\?$") & (score == "")), F.concat(side, F.lit("+")))
         .when(side.isNotNull() & (score != "") & low.rlike(r"\+|win|勝|胜"), F.concat(side, F.lit("+"), doubled(number) if japanese else number))
@@ -92,9 +92,8 @@ MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct",
 ERAS = {"heisei": 1988, "平成": 1988, "showa": 1925, "昭和": 1925, "taisho": 1911, "大正": 1911, "meiji": 1867, "明治": 1867}
 LISTING = re.compile(r"\s*(,|;|&|\band\b|\bor\b)\s*")
 SPAN = re.compile(r"\s*(\.\.|〜|~|\bto\b|\buntil\b)\s*")
-ISO_PART = r"(?:\d{4}(?:-\d\d(?:-\d\d)?)?|\d\d-\d\d|\d\d)"
-ISO = re.compile(rf"\d{{4}}(?:-\d\d(?:-\d\d)?)?(?:(?:,|\.\.){ISO_PART})*\Z")
-TOKEN = re.compile(r"\d+|[a-z]+|[年月日]|平成|昭和|大正|明治|['/.,\-&]|\S")
+_M, _D = "(?:0[1-9]|1[0-2])", "(?:0[1-9]|[12]\\d|3[01])"
+ISO = re.compile(rf"\d{{4}}(?:-{_M}(?:-{_D})?)?(?:(?:,|\.\.)(?:\d{{4}}(?:-{_M}(?:-{_D})?)?|{_M}-{_D}|{_D}))*\Z")
 
 
 def date(value: str) -> str | None:
@@ -118,6 +117,8 @@ def date(value: str) -> str | None:
         text = re.sub(r"(?<=\d)\s*-\s*(?=\d{1,2}\b)", "..", text)
     text = SPAN.sub(" .. ", LISTING.sub(" , ", text))
     parts = [p for p in re.split(r"(\.\.|,)", text) if p.strip()]
+    if not parts:
+        return None
     items, join = [], ","
     for p in parts:
         if p in (",", ".."):

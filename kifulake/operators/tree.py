@@ -61,17 +61,23 @@ def replies(nodes: Column, after: list[str] | None = None) -> Column:
     """The moves that the record knows after a path of moves from the root, in order."""
     reached = F.filter(nodes, lambda n: n["parent"] == -1)
     for mv in after or []:
-        step = _next_moves(nodes, reached)
-        reached = F.filter(step, lambda n, mv=mv: move_of(n) == mv)
+        reached = _playing(_next_moves(nodes, reached), mv)
     return F.array_distinct(F.transform(_next_moves(nodes, reached), move_of))
 
 
+def _playing(nodes: Column, mv: str) -> Column:
+    return F.filter(nodes, lambda n: move_of(n) == mv)
+
+
+def _children(nodes: Column, of: Column) -> Column:
+    return F.filter(nodes, lambda n: F.exists(of, lambda r: n["parent"] == r["node_id"]))
+
+
 def _next_moves(nodes: Column, reached: Column) -> Column:
     """Children with a move; nodes without one are passed through, a few deep."""
-    found = F.filter(nodes, lambda n: F.exists(reached, lambda r: n["parent"] == r["node_id"]))
+    found = _children(nodes, reached)
     for _ in range(3):
-        quiet = F.filter(found, lambda n: ~has_move(n))
-        found = F.concat(F.filter(found, has_move), F.filter(nodes, lambda n, quiet=quiet: F.exists(quiet, lambda r: n["parent"] == r["node_id"])))
+        found = F.concat(F.filter(found, has_move), _children(nodes, F.filter(found, lambda n: ~has_move(n))))
     return F.filter(found, has_move)
 
 

@@ -318,7 +318,9 @@ def scan(spark: SparkSession, paths: str | list[str], recursive: bool = False, e
 def games(files: DataFrame, **options) -> DataFrame:
     """A row for each game of each file, the fields of GAME beside path and n_games."""
     every = files.select("path", parsed(F.col("content"), **options).alias("games"))
-    return every.select("path", F.size("games").alias("n_games"), F.explode("games").alias("g")).select("path", "n_games", "g.*").withColumn("game_id", F.concat_ws("#", "path", F.col("game_nr").cast("string")))
+    # explode_outer: a plain explode would make Catalyst infer a filter on the UDF, and parse twice
+    rows = every.select("path", F.size("games").alias("n_games"), F.explode_outer("games").alias("g")).where("g is not null")
+    return rows.select("path", "n_games", "g.*").withColumn("game_id", F.concat_ws("#", "path", F.col("game_nr").cast("string")))
 
 
 def nodes(games_: DataFrame) -> DataFrame:
