@@ -16,9 +16,13 @@ any document; where a register stays empty, that document runs again with twice
 63 registers in 21 bands of 3: a pair at 0.8 shares a band but for one in three million.
 
 Exact copies collapse first, so a group of a third of all rows is one representative.
-Members of a bucket are not all paired: in each round some members of it, the pivots, are
-verified against the others and then leave; a bucket is done once all that are left are
-of one class. Every pair of a bucket is so either verified or already in one class.
+Documents that share a bucket, directly or by others, form a cluster; only inside one can
+there be links. A cluster is dealt at random into blocks of bounded size, and a task gets
+two blocks: it computes all their overlaps at once, as products of shingle-incidence
+matrices, and returns no more links than connect what it found to be connected. A small
+cluster is one block. Of a cluster of more than a few blocks, first the others meet just
+one block; those that this puts into one class are blocks by themselves, which needn't
+meet each other any more. So every pair of a bucket is either verified or in one class.
 
 Null text counts as empty; texts without a word are copies of each other only if equal.
 Repeated rows are copies. A row keeps its place if no row of its class has a smaller
@@ -34,10 +38,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, saved, slices
+from .common import saved, slices
 from .graph import components
 
 REGISTERS, ROWS = 63, 3
+#: The most documents, and about the most shingles, of a block; blocks beyond which a cluster is done in two steps.
+BLOCK, SHINGLES, FEW = 256, 1_000_000, 6
 WORDS = 5
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -131,8 +137,58 @@ def similarity(a: str, b: str) -> float:
     return least / (int(weight.sum()) - least)
 
 
-def _banded(docs: DataFrame) -> DataFrame:
-    """uid, weight, bands of each representative."""
+def shingle_sets(texts: list[str]) -> list[bytes]:
+    """Each text's multiset as a set of sorted numbers: the k-th copy of a shingle is a number of its own."""
+    of, key, weight = shingles(texts)
+    more = np.repeat(np.arange(len(key)), weight)
+    copy = np.arange(len(more)) - np.repeat(np.cumsum(weight) - weight, weight)
+    key = np.where(copy > 0, mix(key[more] + copy.astype("u8") * _ODD), key[more])
+    ends = np.cumsum(np.bincount(of[more], minlength=len(texts)))
+    return [np.sort(key[a:b]).tobytes() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+
+
+def overlaps(sets: list[np.ndarray], columns: int = 8192) -> np.ndarray:
+    """How many numbers each two of the sets share: a sum of products of incidence matrices."""
+    n = len(sets)
+    out = np.zeros((n, n), "f4")
+    who, every = np.repeat(np.arange(n), [len(x) for x in sets]), np.concatenate(sets) if n else np.zeros(0, "u8")
+    order = np.argsort(every, kind="stable")
+    who, every = who[order], every[order]
+    new = np.r_[True, every[1:] != every[:-1]] if len(every) else np.zeros(0, bool)
+    number = np.cumsum(new) - 1
+    shared = np.bincount(number, minlength=1) > 1
+    keep = shared[number] if len(number) else np.zeros(0, bool)
+    who, number = who[keep], (np.cumsum(shared) - 1)[number[keep]] if len(number) else number
+    cuts = np.searchsorted(number, np.arange(0, int(shared.sum()) + columns, columns))
+    for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        if b > a:
+            m = np.zeros((n, columns), "f4")
+            m[who[a:b], number[a:b] - k * columns] = 1
+            out += m @ m.T
+    return out
+
+
+def spanning(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Links enough to connect all that the matrix connects."""
+    root = list(range(len(linked)))
+
+    def top(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out = []
+    for i, j in np.argwhere(np.triu(linked, 1)).tolist():
+        a, b = top(i), top(j)
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            out.append((i, j))
+    return out
+
+
+def _bands(docs: DataFrame) -> DataFrame:
+    """uid, weight, key of each band of each document with a word."""
 
     def sketch(batches):
         for part, texts in slices(batches, "text", 2 << 20):
@@ -142,72 +198,97 @@ def _banded(docs: DataFrame) -> DataFrame:
             for k in range(ROWS):
                 keys = mix((keys + _ODD) ^ bands[:, :, k])
             keys = mix(keys + np.arange(keys.shape[1], dtype="u8"))
-            some = total > 0
-            per = np.where(some, keys.shape[1], 0)
-            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(per)], pa.int32()), pa.array(keys[some].ravel().view("i8")))
-            yield pa.RecordBatch.from_arrays([part.column("uid"), pa.array(total.astype("i8")), lists], ["uid", "weight", "bands"])
-
-    return docs.select("uid", "text").mapInArrow(sketch, "uid long, weight long, bands array<long>")
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """(a, b) of the pairs that are similar enough, by exact multiset overlap."""
-
-    def check(batches):
-        for batch in batches:
-            a, b = batch.column("ta").to_pylist(), batch.column("tb").to_pylist()
-            yield batch.filter(pa.array([similarity(x or "", y or "") >= least - 1e-12 for x, y in zip(a, b, strict=True)], pa.bool_())).select(["a", "b"])
-
-    ta, tb = texts.selectExpr("uid as a", "text as ta"), texts.selectExpr("uid as b", "text as tb")
-    return pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
-
-
-def _members(docs: DataFrame, least: float) -> DataFrame:
+            some, uid = total > 0, part.column("uid").to_numpy()
+            n = keys.shape[1]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(uid[some], n)), pa.array(np.repeat(total[some].astype("i8"), n)), pa.array(keys[some].ravel().view("i8"))], ["uid", "weight", "key"])
+
+    return docs.select("uid", "text").mapInArrow(sketch, "uid long, weight long, key long")
+
+
+def _links(members: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
+    """(a, b), enough of the links of each two blocks. members: cluster, block, uid, shingles;
+    pairs: cluster, i, j, the blocks that meet."""
+
+    def meet(key: tuple, group: pa.Table) -> pa.Table:
+        block, uid = group.column("block").to_numpy(), group.column("uid").to_numpy()
+        order = np.lexsort((uid, block))
+        sets = [np.frombuffer(x.as_py(), "u8") for x in group.column("shingles").take(pa.array(order)).combine_chunks()]
+        block, uid = block[order], uid[order]
+        size = np.array([len(x) for x in sets], "f4")
+        both = overlaps(sets)
+        linked = both >= (least - 1e-9) * (size[:, None] + size[None, :] - both)
+        if key[1].as_py() != key[2].as_py():
+            linked &= block[:, None] != block[None, :]
+        found = np.array(spanning(linked), "i8").reshape(-1, 2)
+        return pa.table([pa.array(uid[found[:, 0]]), pa.array(uid[found[:, 1]])], ["a", "b"])
+
+    p = pairs.select(F.col("cluster").alias("c"), "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("at"))
+    both = members.join(p, (F.col("cluster") == F.col("c")) & (F.col("block") == F.col("at")))
+    return both.select("cluster", "i", "j", "block", "uid", "shingles").groupBy("cluster", "i", "j").applyInArrow(meet, "a long, b long")
+
+
+def _dealt(members: DataFrame, by: list[str], block: int) -> DataFrame:
+    """members with ``part``: each group of ``by`` dealt at random into parts of bounded size."""
+    size = members.groupBy(*by).agg(F.ceil(F.greatest(F.count("*") / block, F.sum("weight") / SHINGLES)).cast("long").alias("parts"))
+    return members.join(size, by).withColumn("part", F.pmod(F.xxhash64("uid"), F.col("parts")))
+
+
+def _classes(members: DataFrame, least: float, block: int, few: int) -> DataFrame | None:
+    """(node, root) of the members that are linked to any. members: cluster, uid, weight, shingles."""
+    dealt = saved(_dealt(members, ["cluster"], block).withColumnRenamed("part", "block"), "blocks")
+    sizes = dealt.groupBy("cluster").agg(F.max("parts").alias("n"))
+    every = lambda n: F.explode(F.expr(f"flatten(transform(sequence(0L, {n} - 1), i -> transform(sequence(i, {n} - 1), j -> struct(i, j))))"))
+    one = sizes.where(F.col("n") <= few).select("cluster", every("n").alias("p")).select("cluster", "p.i", "p.j")
+    star = sizes.where(F.col("n") > few).select("cluster", F.lit(0).cast("long").alias("i"), F.explode(F.expr("sequence(0L, n - 1)")).alias("j"))
+    links = saved(_links(dealt, one.union(star), least), "links")
+    found = saved(components(links), "classes")
+    large = sizes.where(F.col("n") > few).select("cluster")
+    if not large.limit(1).count():
+        return found
+    # members of a class that fills a block are dealt among themselves; all others are dealt together
+    rest = dealt.join(large, "cluster", "left_semi").drop("block", "part", "parts").join(found.select(F.col("node").alias("uid"), "root"), "uid", "left")
+    much = rest.where("root is not null").groupBy("cluster", "root").agg(F.count("*").alias("n")).where(F.col("n") >= block).select(F.col("cluster").alias("mc"), F.col("root").alias("mr"))
+    rest = rest.join(much, (F.col("cluster") == F.col("mc")) & (F.col("root") == F.col("mr")), "left").withColumn("pure", F.coalesce("mr", F.lit(-1))).drop("mc", "mr", "root")
+    again = saved(_dealt(rest, ["cluster", "pure"], block).withColumn("block", F.xxhash64("pure", "part")), "blocks")
+    blocks = again.select("cluster", "pure", "block").distinct()
+    other = blocks.select(F.col("cluster").alias("c2"), F.col("pure").alias("p2"), F.col("block").alias("j"))
+    pairs = blocks.join(other, (F.col("cluster") == F.col("c2")) & (F.col("block") <= F.col("j"))).where((F.col("pure") < 0) | (F.col("pure") != F.col("p2"))).select("cluster", F.col("block").alias("i"), "j")
+    more = saved(_links(again, pairs, least), "links")
+    return saved(components(links.union(more)), "classes")
+
+
+def _members(docs: DataFrame, least: float, block: int = BLOCK, few: int = FEW) -> DataFrame:
     """_uid (the row's number), doc_id, class_id, class_size, keep."""
-    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("uid"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("_text"))
-    hashed = rows.select("uid", "doc_id", F.xxhash64("_text").alias("h1"), F.xxhash64(F.lit(1), "_text").alias("h2"))
+    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("uid"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
+    hashed = rows.select("uid", "doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
     # the least uid stands for all copies of a text
     copies = hashed.groupBy("h1", "h2").agg(F.min("uid").alias("rep"))
-    texts = rows.selectExpr("uid", "_text as text").join(copies.selectExpr("rep as uid"), "uid", "left_semi")
-    bands = saved(_banded(texts).select("uid", "weight", F.explode("bands").alias("key")), "bands")
-    often = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    active = saved(bands.join(often, "key").select("key", "uid", "weight", "n"), "buckets")
-    some = saved(rows.selectExpr("uid", "_text as text").join(active.select("uid").distinct(), "uid", "left_semi"), "texts")
-    discard(bands)
-    links, found, turn, pivots = None, None, 0, 1
-    while active.limit(1).count():
-        # pivots: the member with the least hash, and by chance so many of each bucket
-        luck = F.pmod(F.xxhash64("uid", "key", F.lit(turn)), F.lit(1 << 40)) / float(1 << 40)
-        order = F.struct(F.xxhash64("uid", "key").alias("o"), "uid")
-        first = active.groupBy("key").agg(F.min(order)["uid"].alias("first"))
-        dealt = active.join(first, "key").withColumn("pivot", (F.col("uid") == F.col("first")) | ((luck < (pivots - 1) / F.col("n")) if pivots > 1 else F.lit(False)))
-        dealt = saved(dealt.drop("first"), "dealt")
-        p = dealt.where("pivot").selectExpr("key", "uid as a", "weight as wa")
-        m = dealt.selectExpr("key", "uid as b", "weight as wb", "pivot")
-        # two pivots of a bucket meet once; weights too far apart can't be similar enough
-        pairs = p.join(m, "key").where("a <> b and (not pivot or a < b)").where(F.least("wa", "wb") >= least * F.greatest("wa", "wb") - 1e-9)
-        if found is not None:
-            of = found.withColumnRenamed("root", "of_a")
-            pairs = pairs.join(of.withColumnRenamed("node", "a"), "a", "left").join(found.selectExpr("node as b", "root as of_b"), "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        new = _verified(pairs, some, least)
-        links = saved(new if links is None else links.union(new), "links")
-        found = saved(components(links), "classes")
-        # a bucket goes on with those left that are in more than one class
-        left = dealt.where("not pivot").drop("pivot").join(found.selectExpr("node as uid", "root"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
-        several = left.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-        active = saved(left.join(several, "key", "left_semi").select("key", "uid", "weight", "n"), "buckets")
-        turn, pivots = turn + 1, pivots * 8
-    names = copies.select("h1", "h2", "rep") if found is None else copies.join(found, copies["rep"] == found["node"], "left").select("h1", "h2", F.coalesce("root", "rep").alias("rep"))
+    bands = _bands(rows).join(copies.select(F.col("rep").alias("uid")), "uid", "left_semi")
+    bands = saved(bands, "bands")
+    often = bands.groupBy("key").agg(F.count("*").alias("n"), F.min("uid").alias("first")).where("n > 1").select("key", "first")
+    near = bands.join(often, "key").select("uid", "first").distinct()
+    clusters = saved(components(near, "uid", "first"), "clusters")
+    names = copies
+    if clusters.limit(1).count():
+        weights = bands.groupBy("uid").agg(F.min("weight").alias("weight"))
+        wanted = clusters.join(weights, F.col("node") == F.col("uid")).select("uid", F.col("root").alias("cluster"), "weight")
+
+        def prepare(batches):
+            for part, texts in slices(batches, "text", 2 << 20):
+                yield pa.RecordBatch.from_arrays([part.column("uid"), part.column("cluster"), part.column("weight"), pa.array(shingle_sets(texts), pa.binary())], ["uid", "cluster", "weight", "shingles"])
+
+        members = rows.select("uid", "text").join(wanted, "uid").select("uid", "cluster", "weight", "text").mapInArrow(prepare, "uid long, cluster long, weight long, shingles binary")
+        found = _classes(members, least, block, few)
+        names = copies.join(found, copies["rep"] == found["node"], "left").select("h1", "h2", F.coalesce("root", "rep").alias("rep"))
     of = saved(hashed.join(names, ["h1", "h2"]).select("uid", "doc_id", "rep"), "members")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")
     whole = of.groupBy("rep").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"), F.min(order)["uid"].alias("kept"))
     return of.join(whole, "rep").select(F.col("uid").alias("_uid"), "doc_id", "class_id", "class_size", (F.col("uid") == F.col("kept")).alias("keep"))
 
 
-def near_classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
+def near_classes(docs: DataFrame, least: float = 0.8, block: int = BLOCK, few: int = FEW) -> DataFrame:
     """doc_id, class_id (its class's smallest doc_id), class_size, keep of every row."""
-    return _members(docs, least).drop("_uid")
+    return _members(docs, least, block, few).drop("_uid")
 
 
 def one_of_each(docs: DataFrame, least: float = 0.8) -> DataFrame:
