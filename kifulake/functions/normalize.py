@@ -16,6 +16,11 @@ from pyspark.sql import functions as F
 RESIGN_WORDS = "中押し?[勝胜]ち?|[勝胜]ち?\\(中押し?\\)|中盤勝ち?|不計點勝"
 
 
+def bound(c: Column, body) -> Column:
+    """body(v) with v standing for c's value: c is computed once, however often body names v."""
+    return F.get(F.transform(F.array(c), body), F.lit(0))
+
+
 def rank(c: Column) -> Column:
     """'9th dan', '9-Dan', '9e dan' as '9d', 'kyu' as k; ' pro' behind a rewritten dan as 'p'."""
     dan = F.regexp_replace(c, r"(?i)^\s*(\d+)\s*(?:st|nd|rd|th|e)?[\s-]*dan\s*pro\s*$", "$1p")
@@ -32,8 +37,9 @@ def decimal(c: Column) -> Column:
     """A plain decimal without needless zeros; '.5' as '0.5'."""
     c = F.regexp_replace(c, r"^(-?)\.(\d)", "$10.$2")
     c = F.regexp_replace(c, r"^(-?)0+(\d)", "$1$2")
-    c = F.when(c.contains("."), F.regexp_replace(F.regexp_replace(c, r"0+$", ""), r"\.$", "")).otherwise(c)
-    return F.when(c.isin("-0", ""), "0").otherwise(c)
+    c = F.regexp_replace(c, r"(\.\d*?)0+$", "$1")
+    c = F.regexp_replace(c, r"\.$", "")
+    return F.regexp_replace(c, "^(-0)?$", "0")
 
 
 def quarters(c: Column) -> Column:
@@ -46,44 +52,54 @@ def quarters(c: Column) -> Column:
 
 def doubled(c: Column) -> Column:
     """Quarter points doubled, for countings where a stone is a point on either side."""
-    return F.when(c.rlike(r"^-?\d+\.(25|75)$"), decimal((c.cast("decimal(9,2)") * 2).cast("string"))).otherwise(c)
+    return bound(c, lambda v: F.when(v.rlike(r"^-?\d+\.(25|75)$"), decimal((v.cast("decimal(9,2)") * 2).cast("string"))).otherwise(v))
 
 
 def komi(c: Column, japanese: bool = False) -> Column:
     """A decimal where the value can be read, else the value."""
-    t = F.trim(c)
-    reverse = t.rlike("(?i)^reverse")
-    t = F.regexp_replace(t, r"(?i)^reverse[,\s]*", "")
+    t = F.regexp_replace(F.trim(c), r"(?i)^reverse[,\s]*", "-")
+    t = F.regexp_replace(t, "^--", "-")
     t = F.regexp_replace(t, r"(?i)\s*(p|pts?|points?|目|子)\.?\s*$", "")
     t = F.regexp_replace(t, r"(\d),(\d)", "$1.$2")
     t = F.regexp_replace(t, r"^(\d)(1|3)4$", "$1 $2/4")  # 214, 234: a blank and a stroke were lost
-    t = quarters(t)
-    t = F.when(F.lower(t).isin("none", "no", "无", "無"), "0").otherwise(t)
-    number = t.rlike(r"^-?(\d+(\.\d*)?|\.\d+)$")
-    n = decimal(t)
-    n = F.when(reverse & ~n.startswith("-") & (n != "0"), F.concat(F.lit("-"), n)).otherwise(n)
-    return F.when(number, doubled(n) if japanese else n).otherwise(c)
+    t = F.regexp_replace(quarters(t), "(?i)^(none|no|无|無)$", "0")
+
+    def shown(v):
+        n = decimal(v)
+        return F.when(v.rlike(r"^-?(\d+(\.\d*)?|\.\d+)$"), doubled(n) if japanese else n)
+
+    return F.coalesce(bound(t, shown), c)
 
 
 def result(c: Column, japanese: bool = False) -> Column:
     """B+3.5, W+R, W+T, W+F, 0, Void or ?, where the value can be read, else the value."""
     t = F.trim(F.regexp_replace(F.regexp_replace(c, r"\s*[({].*[)}]\s*$", ""), "目[。.]?$", ""))
-    low = F.rtrim(F.regexp_replace(F.lower(t), r"[.!。！]+$", ""))
+    t = F.rtrim(F.regexp_replace(F.lower(t), r"[.!。！]+$", ""))
+    return F.coalesce(bound(t, lambda low: _result(low, japanese)), c)
+
+
+def _result(low: Column, japanese: bool) -> Column:
     side = F.when(low.rlike("^(b|black|黒|黑)"), "B").when(low.rlike("^(w|white|白)"), "W")
     score = F.regexp_extract(quarters(F.regexp_replace(low, r"(\d),(\d)", "$1.$2")), r"(\d+(?:\.\d+)?|\.\d+)\s*(?:p|pts?|points?|moku|目|子)?\s*$", 1)
-    number = decimal(score)
-    out = (
+
+    def decided(x):
+        by, points = x["side"], x["score"]
+        other = F.when(by == "B", "W").otherwise("B")
+        return (
+            F.when(low.rlike(r"\+\s*(by\s+)?r(es(ign(ation)?)?)?$|resign|中押|不計"), F.concat(by, F.lit("+R")))
+            .when(low.rlike(r"\+\s*t(ime)?$|(wins|forfeits?|loses)\s+(on|by)\s+time"), F.concat(F.when(low.rlike("forfeits|loses"), other).otherwise(by), F.lit("+T")))
+            .when(low.rlike(r"\+\s*(by\s+)?f(orf[ae]it)?$"), F.concat(by, F.lit("+F")))
+            .when(low.rlike(r"\+\s*[j0]$"), "0")
+            .when(low.rlike(r"^[bw]\+?$|wins?$|\+\s*\?$") & (points == ""), F.concat(by, F.lit("+")))
+            .when((points != "") & low.rlike(r"\+|win|勝|胜"), F.concat(by, F.lit("+"), doubled(decimal(points)) if japanese else decimal(points)))
+        )
+
+    return (
         F.when(low.isin("?", "unknown"), "?")
         .when(low.isin("0", "jigo", "j", "和棋", "持碁") | low.rlike("^draw"), "0")
         .when(low.isin("nr", "null", "no result", "無勝負") | low.rlike("^void"), "Void")
-        .when(side.isNotNull() & low.rlike(r"\+\s*(by\s+)?r(es(ign(ation)?)?)?$|resign|中押|不計"), F.concat(side, F.lit("+R")))
-        .when(side.isNotNull() & low.rlike(r"\+\s*t(ime)?$|(wins|forfeits?|loses)\s+(on|by)\s+time"), F.concat(F.when(low.rlike("forfeits|loses"), F.when(side == "B", "W").otherwise("B")).otherwise(side), F.lit("+T")))
-        .when(side.isNotNull() & low.rlike(r"\+\s*(by\s+)?f(orf[ae]it)?$"), F.concat(side, F.lit("+F")))
-        .when(side.isNotNull() & low.rlike(r"\+\s*[j0]$"), "0")
-        .when(side.isNotNull() & (low.rlike(r"^[bw]\+?$|wins?$|\+\s*\?$") & (score == "")), F.concat(side, F.lit("+")))
-        .when(side.isNotNull() & (score != "") & low.rlike(r"\+|win|勝|胜"), F.concat(side, F.lit("+"), doubled(number) if japanese else number))
+        .when(side.isNotNull(), bound(F.struct(side.alias("side"), score.alias("score")), decided))
     )
-    return F.coalesce(out, c)
 
 
 #: Names of months, by their first three letters; ends of ordinals; words between.

@@ -48,23 +48,29 @@ def point_counts(games: DataFrame, key: str = "game_id") -> DataFrame:
     return games.select(key, F.explode(F.transform("moves", lambda m: m["mv"])).alias("mv")).groupBy(key, "mv").agg(F.count("*").alias("n"))
 
 
-def best_symmetry(a: Column, b: Column, most: int = 12) -> Column:
-    """(t, distance, verdict) of the symmetry of a that brings it nearest to b.
+def best_symmetry(pairs: DataFrame, most: int = 12, key: str = "pair") -> DataFrame:
+    """(key, t, distance, verdict) of the symmetry of game a that brings it nearest to b.
 
     Untransformed wins unless another is strictly nearer; a symmetry counts only up to a
-    distance of twice ``most``, else the games are 'different'.
+    distance of twice ``most``, else the games are 'different'. Each move becomes a row of
+    +1 or -1 for each symmetry, and two grouped sums, combined before they shuffle, give
+    all eight distances.
     """
-    plain = histogram_distance(a, b)
-    others = F.array(*[F.struct(histogram_distance(a, b, t).alias("distance"), F.lit(t).alias("t")) for t in range(1, 8)])
-    least = F.array_min(others)
-    use = (plain == 0) | (least["distance"] >= plain)
-    return F.struct(
-        F.when(use, 0).otherwise(least["t"]).alias("t"),
-        F.when(use, plain).otherwise(least["distance"]).alias("distance"),
-        F.when(use, "same orientation").when(least["distance"] <= 2 * most, "transformed").otherwise("different").alias("verdict"),
+    ours = F.flatten(F.array(*[_signed("a", t, 1) for t in range(8)]))
+    theirs = F.flatten(F.array(*[_signed("b", t, -1, turn=False) for t in range(8)]))
+    rows = pairs.select(key, F.inline(F.concat(ours, theirs)))
+    counts = rows.groupBy(key, "t", "mv").agg(F.sum("n").alias("n"))
+    distances = counts.groupBy(key, "t").agg(F.sum(F.abs("n")).alias("distance"))
+    best = distances.groupBy(key).agg(F.min(F.struct("distance", "t")).alias("s"))
+    return best.select(
+        key, "s.t", "s.distance", F.when(F.col("s.t") == 0, "same orientation").when(F.col("s.distance") <= 2 * most, "transformed").otherwise("different").alias("verdict")
     )
 
 
+def _signed(side: str, t: int, n: int, turn: bool = True) -> Column:
+    return F.transform(side, lambda m: F.struct(F.lit(t).alias("t"), (transformed(m, t) if turn else m["mv"]).alias("mv"), F.lit(n).alias("n")))
+
+
 def verdict(a: Column, b: Column, most: int = 12) -> Column:
     """One phrase for a pair of games."""
     n = F.size(differences(a, b))

@@ -383,8 +383,7 @@ ha as (select pair, t, mv, count(*) as n from sa group by all), hb as (select pa
 d as (select coalesce(ha.pair, hb.pair) as pair, coalesce(ha.t, hb.t) as t, cast(sum(abs(coalesce(ha.n, 0) - coalesce(hb.n, 0))) as bigint) as distance from ha full outer join hb on ha.pair = hb.pair and ha.t = hb.t and ha.mv = hb.mv group by 1, 2)
 select pair, cast(t as bigint) as t, distance from (select *, row_number() over (partition by pair order by distance, t) as r from d) where r = 1""")
 def diff_best_symmetry(spark, sf):
-    best = compare.best_symmetry(F.col("a"), F.col("b"))
-    return pairs(spark, sf).select("pair", best.alias("s")).select("pair", big("s.t", "t"), big("s.distance", "distance"))
+    return compare.best_symmetry(pairs(spark, sf)).select("pair", big("t", "t"), big("distance", "distance"))
 
 
 @query(f"with {PAIRS}, d as (select a.pair, min(case when a.mv <> b.mv then a.k end) as k, count(*) as n from a join b on a.pair = b.pair and a.k = b.k group by a.pair) select pair, coalesce(k - 1, n) as prefix from d")
