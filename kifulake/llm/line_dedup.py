@@ -10,7 +10,8 @@ The join: distinct lines only. Each is cut into edits + 1 segments, one of which
 occur unchanged in any line within that many edits, shifted by no more than the lengths
 allow; so each line looks up, for each length it may match, its substrings at the shifts
 that are left when each segment is taken to be the first that fits. Lookups are hashes of
-length, segment number and substring, joined by equality; what they find is verified by
+length, segment number and substring, joined by equality; pairs whose counts of characters
+are too far apart are left out there; what is found is verified by
 Spark's levenshtein with a threshold, which fills a band of the matrix (a bit-parallel
 band needs loops over words that SQL functions don't offer).
 
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import saved
 
 EDITS, SHORTEST = 2, 32
+#: Lines whose text is fetched by a broadcast of their places, some 80 bytes each; more are fetched by a shuffle.
+BROADCAST = 300_000
 ID = ["h1", "h2"]
 
 
@@ -58,16 +61,51 @@ def shifts(i: int, difference: int, edits: int) -> range:
     return range(max(-i, difference - (edits - i)), min(i, difference + (edits - i)) + 1)
 
 
+def lookups(line: Column, edits: int = EDITS) -> Column:
+    """All that a line looks up. The first edits + 1 entries are its own segments, which is
+    also what it is found by."""
+    size = F.char_length(line)
+    own = [_key(line, size, i, 0, edits) for i in range(edits + 1)]
+    rest = [_key(line, size - d, i, s, edits) for d in range(edits + 1) for i in range(edits + 1) for s in shifts(i, d, edits) if d or s]
+    return F.array(*own, *rest)
+
+
+#: Characters whose counts a line's mark holds, two bits each.
+MARKED = "etaoinshrdlucmfwypvbgk ,.01234-T"
+
+
+def mark(line: Column) -> Column:
+    """Counts of 32 characters modulo 4, in Gray code. An edit changes two counts by one at
+    most, and the bits in which two marks differ are at most what the counts differ by: so
+    lines within e edits have marks that differ in 2 e bits at most."""
+    size, out = F.octet_length(line), F.lit(0).cast("long")
+    for i, c in enumerate(MARKED):
+        n = size - F.octet_length(F.replace(line, F.lit(c), F.lit("")))
+        gray = (n.bitwiseXOR(F.shiftright(n, 1))).bitwiseAND(F.lit(1)).bitwiseOR(n.bitwiseAND(F.lit(2)))
+        out = out.bitwiseOR(F.shiftleft(gray.cast("long"), 2 * i))
+    return out
+
+
 def near_pairs(distinct: DataFrame, edits: int = EDITS) -> DataFrame:
-    """Distinct lines (h1, line) that may be within so many edits, as (a, b) of their h1, once each."""
-    size = F.char_length("line")
-    held = distinct.select(F.col("h1").alias("a"), size.alias("la"), F.explode(F.array(*[_key(F.col("line"), size, i, 0, edits) for i in range(edits + 1)])).alias("key"))
-    looks = [_key(F.col("line"), size - d, i, s, edits) for d in range(edits + 1) for i in range(edits + 1) for s in shifts(i, d, edits)]
-    asked = distinct.select(F.col("h1").alias("b"), F.explode(F.array(*looks)).alias("key"))
-    found = held.select("key", "a").join(asked, "key").where("a <> b")
+    """Distinct lines (h1, lookups, mark) that may be within so many edits, as (a, b) of their h1, once each.
+
+    The marks are compared inside the join, so lines that share a segment and little else make no rows.
+    """
+    held = distinct.select(F.col("h1").alias("a"), F.col("mark").alias("ma"), F.explode(F.slice("keys", 1, edits + 1)).alias("key"))
+    asked = distinct.select(F.col("h1").alias("b"), F.col("mark").alias("mb"), F.explode("keys").alias("key"))
+    found = held.join(asked, (held["key"] == asked["key"]) & (F.col("a") != F.col("b")) & (F.bit_count(F.col("ma").bitwiseXOR(F.col("mb"))) <= 2 * edits))
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _texts(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """The lines whose first occurrences are named, with their text."""
+    wanted = named.select(F.col("first._uid").alias("_uid"), F.col("first.n").alias("n"), *ID, "first")
+    if named.count() <= BROADCAST:
+        wanted = F.broadcast(wanted)
+    line = F.get(F.split("_text", "\n", -1), F.col("n"))
+    return _numbered(docs).select("_uid", "_text").join(wanted, "_uid").select(*ID, "first", line.alias("line"))
+
+
 def verdicts(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> DataFrame:
     """A row for each line that isn't blank: _uid, doc_id, n, copy (an equal line came
     before), near (a line within the edits did), links (texts within the edits)."""
@@ -75,12 +113,12 @@ def verdicts(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> D
     occ = lines.drop("line")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_uid", "n")
     first = occ.groupBy(*ID).agg(F.min(order).alias("first"))
-    distinct = lines.where(F.char_length("line") >= shortest).groupBy(*ID).agg(F.any_value("line").alias("line"))
-    pairs = saved(near_pairs(distinct, edits), "pairs")
+    # the keys travel instead of the text: a third of its bytes
+    keyed = lines.where(F.char_length("line") >= shortest).select(*ID, lookups(F.col("line"), edits).alias("keys"), mark(F.col("line")).alias("mark"))
+    pairs = saved(near_pairs(keyed.groupBy(*ID).agg(F.any_value("keys").alias("keys"), F.any_value("mark").alias("mark")), edits), "pairs")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct()
-    # the few texts in question: by h1 to both hashes, then by both to the text
-    named = first.join(ends, "h1", "left_semi")
-    texts = saved(distinct.join(named, ID), "lines")
+    named = saved(first.join(ends, "h1", "left_semi"), "lines")
+    texts = saved(_texts(docs, named), "texts")
     a = texts.select(F.col("h1").alias("a"), F.col("h2").alias("a2"), F.col("line").alias("ta"), F.col("first").alias("fa"))
     b = texts.select(F.col("h1").alias("b"), F.col("h2").alias("b2"), F.col("line").alias("tb"), F.col("first").alias("fb"))
     close = pairs.join(a, "a").join(b, "b").where((F.abs(F.char_length("ta") - F.char_length("tb")) <= edits) & (F.levenshtein("ta", "tb", edits) >= 0))
