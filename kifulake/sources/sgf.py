@@ -13,6 +13,7 @@ Bytes are kept one to a character (Latin-1) until a character set is chosen for
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -25,6 +26,7 @@ MOVE = "struct<color:string,x:int,y:int,mv:string>"
 ISSUE = "struct<severity:string,rule:string,line:int,message:string>"
 GAME = f"struct<game_nr:int,size:int,abct:int,awct:int,setup:int,moves:array<{MOVE}>,nodes:array<{NODE}>,parse_error:string,issues:array<{ISSUE}>>"
 
+LINE_END = re.compile("\n")
 BOM = "\xef\xbb\xbf"
 START = re.compile(r"\(\s*;|\(\s*(?=T[A-Z]?\[)")
 CLOSING = re.compile(r"\s*(?:[;()\[A-Za-z]|\Z)")
@@ -32,8 +34,9 @@ IDENT = re.compile(r"[A-Za-z\s]+")
 BLANKS = re.compile(r"[ \t\r\n\x0b\x0c]*")
 #: A value that ends where values end; others are read character by character.
 VALUE = re.compile(r"\[([^\]\\]*(?:\\.[^\]\\]*)*)\](?=\s*(?:[;()\[A-Za-z]|\Z))[ \t\r\n\x0b\x0c]*", re.S)
-#: A node that holds one move and nothing else, and what follows it directly.
-PLAIN = re.compile(r"\s*([BW])\[([a-z]{0,2})\]\s*(?=[;()])")
+#: Nodes that hold one move and nothing else, in a row; such moves.
+PLAIN = re.compile(r"(?:;\s*[BW]\[[a-z]{0,2}\]\s*)+(?=[;()])")
+MOVES = re.compile(r";\s*([BW])\[([a-z]{0,2})\]")
 STONES = {"AB": "B", "AW": "W", "AE": "E"}
 
 
@@ -41,15 +44,14 @@ class Broken(Exception):
     """The text can't be read further."""
 
 
-@dataclass
 class Node:
-    parent: int
-    depth: int
-    line: int
-    is_main: bool
-    props: list[tuple[str, list[str]]] = field(default_factory=list)
-    var_lo: int = 0
-    var_hi: int = 0
+    """at: where it begins in the text."""
+
+    __slots__ = ("at", "depth", "is_main", "parent", "props", "var_hi", "var_lo")
+
+    def __init__(self, parent: int, depth: int, at: int, is_main: bool, props: list[tuple[str, list[str]]]):
+        self.parent, self.depth, self.at, self.is_main, self.props = parent, depth, at, is_main, props
+        self.var_lo = self.var_hi = 0
 
 
 @dataclass
@@ -150,8 +152,11 @@ class Reader:
                         self.issue("grammar", "a variation without a semicolon")
                     self.node(stack[-1], implied=True)
             elif c == ";":
-                self.at += 1
-                self.node(stack[-1])
+                if m := PLAIN.match(text, self.at):
+                    self.plain(stack[-1], m)
+                else:
+                    self.at += 1
+                    self.node(stack[-1])
             elif c == ")":
                 self.at += 1
                 top = stack.pop()
@@ -175,18 +180,23 @@ class Reader:
             game.nodes[node].var_lo, game.nodes[node].var_hi = lo, hi
             node = game.nodes[node].parent
 
+    def plain(self, tree: list, run: re.Match) -> None:
+        nodes, depth, main = self.game.nodes, tree[1], tree[2]
+        at = tree[3] if tree[3] >= 0 else tree[0]
+        for m in MOVES.finditer(self.text, run.start(), run.end()):
+            nodes.append(Node(at, depth, m.start(), main, [(m[1], [m[2]])]))
+            at = len(nodes) - 1
+        tree[3] = at
+        self.at = run.end()
+
     def node(self, tree: list, implied: bool = False) -> None:
         parent = tree[3] if tree[3] >= 0 else tree[0]
         if implied and tree[3] >= 0 and tree[4] == 0:
             node = self.game.nodes[tree[3]]  # properties that follow a node's own
         else:
-            node = Node(parent, tree[1], self.line_now(), tree[2])
+            node = Node(parent, tree[1], self.at, tree[2], [])
             self.game.nodes.append(node)
             tree[3] = len(self.game.nodes) - 1
-        if m := PLAIN.match(self.text, self.at):
-            node.props.append((m[1], [m[2]]))
-            self.at = m.end()
-            return
         while True:
             self.blank()
             m = IDENT.match(self.text, self.at)
@@ -237,8 +247,12 @@ class Reader:
         return out
 
 
+#: Points by their two letters.
+SQUARES = {chr(97 + x) + chr(97 + y): (x, y) for x in range(26) for y in range(26)}
+
+
 def square(text: str) -> tuple[int, int] | None:
-    return (ord(text[0]) - 97, ord(text[1]) - 97) if len(text) == 2 and all("a" <= c <= "z" for c in text) else None
+    return SQUARES.get(text)
 
 
 def area(value: str, size: int = 19) -> list[tuple[int, int]]:
@@ -279,11 +293,16 @@ def main_line(game: Game, second_node: bool = False) -> tuple:
             setup |= {(STONES[name], x, y) for v in vals for x, y in area(v, size)}
     moves = [(c, x, y, chr(97 + x) + chr(97 + y)) for c, x, y in sorted(setup)]
     stones = len(moves)
-    for name, vals in (p for n in main for p in n.props if p[0] in ("B", "W")):
-        for v in vals:
-            v = v.strip()
-            at = None if is_pass(v, size) else square(v)
-            moves.append((name, at[0], at[1], v) if at else (name, None, None, "tt" if is_pass(v, size) else v))
+    known: dict[str, tuple] = {}  # what a value stands for: a game has few
+    for n in main:
+        for name, vals in n.props:
+            if name == "B" or name == "W":
+                for v in vals:
+                    if v not in known:
+                        w = v.strip()
+                        at = None if is_pass(w, size) else square(w)
+                        known[v] = (*at, w) if at else (None, None, "tt" if is_pass(w, size) else w)
+                    moves.append((name, *known[v]))
     return size, counts["AB"], counts["AW"], stones, moves
 
 
@@ -306,8 +325,9 @@ def _rows(data: bytes | str, second_node: bool = False, **options) -> list[tuple
     """As parse, in tuples: Arrow takes these much faster than dicts."""
     text = data.decode("latin-1") if isinstance(data, bytes) else data
     out = []
+    ends = [m.start() for m in LINE_END.finditer(text)]
     for nr, game in enumerate(Reader(text, **options).games(), 1):
-        nodes = [(i, n.parent, n.depth, n.var_lo, n.var_hi, n.is_main, n.line, n.props) for i, n in enumerate(game.nodes)]
+        nodes = [(i, n.parent, n.depth, n.var_lo, n.var_hi, n.is_main, bisect_left(ends, n.at) + 1, n.props) for i, n in enumerate(game.nodes)]
         out.append((nr, *main_line(game, second_node), nodes, game.error, game.issues))
     return out
 
