@@ -5,22 +5,24 @@ P(w | before) = P(class(w) | class(before)) * P(w | class(w)); a text starts aft
 
 Learning, over all training texts:
 1. token counts: counted in each task, combined by a shuffle on the token (one row for
-   each token and task, not for each occurrence), kept as a table;
+   each token and task, not for each occurrence), kept as a table; bigram counts likewise;
 2. exchange clustering of the ``core`` most frequent tokens on their bigram counts: each
-   in turn goes to the class that raises the class-bigram likelihood most;
-3. a batch exchange step for the other frequent tokens (``hot`` in all): each goes to the
-   class that its neighbours' classes make likeliest, from counts over all texts;
-4. every other token goes to the class that holds most frequent tokens with its last two
-   bytes (its last byte, then the largest class, where there is none): a rule that any
-   worker applies without a table that grows;
-5. class transitions and sizes, counted over all texts.
+   in turn goes to the class that raises the class-bigram likelihood most. This is where
+   the classes start, not what they end as;
+3. batch exchange rounds over the whole vocabulary, the core's included: the classes of a
+   token's neighbours are counted over all its bigrams, and it goes to the class that these
+   make likeliest. In the first round the core's classes alone are known; ``rounds`` follow
+   with all of them, as long as the class-bigram likelihood rises, and the best are kept;
+4. class transitions and sizes, counted over all texts.
+A token that no training text holds has no evidence: it goes to the class that holds most
+frequent tokens with its last two bytes (its last byte, then any).
 Both factors are smoothed: transitions towards the class unigram, emissions by adding one
 to each token of a class and to one unknown token.
 
-Scoring looks frequent tokens up in a broadcast table of ``hot`` rows. The others' counts
-come from a join on the token; what is shuffled for it is a row for each text and rare
-token in it. Both tables are salted by nothing but the token: a rare token is by
-definition below the hot ones' counts, so no single one can hold a large share.
+``hot`` bounds what is broadcast and nothing else: the classes of that many frequent tokens
+are looked up in a broadcast table, the others' come from a join on the token. These tables
+are salted by nothing but the token: a rare token is by definition below the hot ones'
+counts, so no single one can hold a large share.
 
 Null text counts as empty (an end token alone), a null doc_id is in no held-out fold;
 repeated rows are scored each; an empty table gives an empty result; other columns are
@@ -32,14 +34,13 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, slices
+from .common import discard, saved, slices
 
 END = b"\n"
 #: The fold that is held out.
@@ -124,64 +125,43 @@ class Model:
     total: int = 0
     distinct: int = 0
 
+    table: DataFrame | None = None  # word, c, of for the whole vocabulary; the driver's alone
+
     def __post_init__(self):
         self.at = {w: i for i, w in enumerate(self.words)}
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "at"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("at", "table")}
 
     def __setstate__(self, state):
-        self.__dict__.update(state)
+        self.__dict__.update(state, table=None)
         self.__post_init__()
 
     def tail(self, word: bytes) -> int:
-        """The class of a token that isn't frequent."""
+        """The class of a token that no training text holds."""
         found = self.endings.get(word[-2:])
         if found is None:
             found = self.endings.get(word[-1:])
         return self.endings[b""] if found is None else found
 
+    def frequent(self, names: list[bytes]) -> np.ndarray:
+        """Of distinct tokens: the place among the frequent ones (-1: none)."""
+        return np.fromiter((self.at.get(w, -1) for w in names), "i8", len(names))
+
     def classes(self, names: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Of distinct tokens: the place among the frequent ones (-1: none) and the class."""
-        at = np.fromiter((self.at.get(w, -1) for w in names), "i8", len(names))
+        """On the driver, of a few distinct tokens: the place among the frequent ones and the class."""
+        at = self.frequent(names)
         of = np.where(at >= 0, self.of[at], 0)
+        rest = [names[i] for i in np.flatnonzero(at < 0)]
+        found = {bytes(r["word"]): r["of"] for r in self.table.where(F.col("word").isin([bytearray(w) for w in rest])).collect()} if rest and self.table is not None else {}
         for i in np.flatnonzero(at < 0):
-            of[i] = self.tail(names[i])
+            of[i] = found[names[i]] if names[i] in found else self.tail(names[i])
         return at, of
 
     def end(self) -> int:
         return int(self.of[self.at[END]])
 
 
-def _pairs(batches, encode, width: int, flush: int = 1 << 21):
-    """Sums up (key, n) from encode(texts) in the task; a row for each key, or flush by flush."""
-    held: list = []
-
-    def summed():
-        keys, n = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.argsort(keys, kind="stable")
-        keys, n = keys[order], n[order]
-        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        return keys[starts], np.add.reduceat(n, starts)
-
-    size = 0
-    for _, texts in slices(batches, "text", 4 << 20):
-        keys, n = encode(texts)
-        if not len(keys):
-            continue
-        held.append((keys, n))
-        size += len(keys)
-        if size > flush:
-            held[:] = [summed()]
-            size = len(held[0][0])
-            if size > flush // 2:
-                yield pa.RecordBatch.from_arrays([pa.array(held[0][0]), pa.array(held[0][1])], ["key", "n"])
-                held, size = [], 0
-    if held:
-        keys, n = summed()
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["key", "n"])
-
-
 def _previous(ids: np.ndarray, sizes: np.ndarray, first: int) -> np.ndarray:
     """What stands before each token of its text; first: before a text's first."""
     out = np.empty_like(ids)
@@ -222,112 +202,154 @@ def _least_frequent(counts: DataFrame, hot: int) -> int:
     return found if found is not None else 1 << 62
 
 
-def learn(training: DataFrame, hot: int = 200_000, core: int = 1_000, classes: int = 64, sweeps: int = 8) -> tuple[Model | None, DataFrame]:
-    """The model and the table of all counts (word, c); None: no training text."""
+def bigram_counts(texts: DataFrame, frequent: list[bytes]) -> DataFrame:
+    """a, b (binary), whether each is among the frequent, and n."""
+    shared = texts.sparkSession.sparkContext.broadcast(frozenset(frequent))
+
+    def count(batches):
+        ids: dict[bytes, int] = {}
+        held, size = [], 0
+
+        def summed():
+            keys, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(keys, kind="stable")
+            keys, n = keys[order], n[order]
+            starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+            return keys[starts], np.add.reduceat(n, starts)
+
+        def rows():
+            keys, n = held[0]
+            words = pa.array(list(ids), pa.binary())
+            hot = pa.array(np.fromiter((w in shared.value for w in ids), "?", len(ids)))
+            for i in range(0, len(keys), 100_000):
+                a, b = pa.array(keys[i : i + 100_000] >> 32), pa.array(keys[i : i + 100_000] & 0xFFFFFFFF)
+                yield pa.RecordBatch.from_arrays([words.take(a), words.take(b), hot.take(a), hot.take(b), pa.array(n[i : i + 100_000])], ["a", "b", "a_hot", "b_hot", "n"])
+
+        for _, part in slices(batches, "text", 4 << 20):
+            found, sizes = tokens(part)
+            names = found.dictionary.to_pylist()
+            at = np.fromiter((ids.setdefault(w, len(ids)) for w in names), "i8", len(names))[found.indices.to_numpy()]
+            first = ids.setdefault(END, len(ids))
+            held.append(np.unique((_previous(at, sizes, first) << 32) | at, return_counts=True))
+            size += len(held[-1][0])
+            if size > 1 << 21:
+                held[:] = [summed()]
+                size = len(held[0][0])
+                if size > 1 << 20 or len(ids) > 400_000:
+                    yield from rows()
+                    ids, held, size = {}, [], 0
+        if held:
+            held[:] = [summed()]
+            yield from rows()
+
+    found = texts.mapInArrow(count, "a binary, b binary, a_hot boolean, b_hot boolean, n long")
+    return found.groupBy("a", "b").agg(F.any_value("a_hot").alias("a_hot"), F.any_value("b_hot").alias("b_hot"), F.sum("n").alias("n"))
+
+
+def learn(training: DataFrame, hot: int = 200_000, core: int = 1_000, classes: int = 64, sweeps: int = 8, rounds: int = 2) -> tuple[Model | None, DataFrame]:
+    """The model and the table of all tokens (word, c, of); None: no training text."""
     spark = training.sparkSession
     counts = saved(token_counts(training), "counts")
     total, distinct = counts.agg(F.sum("c"), F.count("*")).first()
     if not total:
-        return None, counts
-    top = counts.where((F.col("c") >= _least_frequent(counts, hot)) | (F.col("word") == F.lit(END))).toPandas()  # hot + 1 rows at most
+        return None, counts.withColumn("of", F.lit(0))
+    is_hot = (F.col("c") >= _least_frequent(counts, hot)) | (F.col("word") == F.lit(END))
+    top = counts.where(is_hot).toPandas()  # hot + 1 rows at most
     top = sorted(zip(top["c"].to_numpy("i8").tolist(), map(bytes, top["word"]), strict=True), key=lambda x: (-x[0], x[1]))
     words, c = [w for _, w in top], np.array([n for n, _ in top], "i8")
-    model = Model(words, c, np.zeros(len(words), "i8"), total=total, distinct=distinct)
     core = min(core, len(words))
-    texts, shared = training.select("text"), spark.sparkContext.broadcast(words[:core])
-
-    def core_pairs(batches):
-        at = {w: i for i, w in enumerate(shared.value)}
-
-        def encode(part):
-            found, sizes = tokens(part)
-            names = found.dictionary.to_pylist()
-            ids = np.fromiter((at.get(w, -1) for w in names), "i8", len(names))[found.indices.to_numpy()]
-            before = _previous(ids, sizes, at.get(END, -1))
-            good = (ids >= 0) & (before >= 0)
-            return np.unique(before[good] * core + ids[good], return_counts=True)
-
-        return _pairs(batches, encode, core * core)
-
-    found = texts.mapInArrow(core_pairs, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas()  # core * core rows at most
-    bigrams = np.zeros((core, core))
-    bigrams.ravel()[found["key"].to_numpy()] = found["n"].to_numpy()
-    model.of[:core] = exchange(bigrams, min(classes, core), sweeps)
-    k = int(model.of[:core].max()) + 1
-    if len(words) > core:
-        _place_rest(model, texts, core, k, bigrams)
+    bigrams = saved(bigram_counts(training.select("text"), words), "bigrams")
+    at = {w: i for i, w in enumerate(words[:core])}
+    named = F.broadcast(spark.createDataFrame([(bytearray(w), i) for w, i in at.items()], "word binary, i long"))
+    found = bigrams.where("a_hot and b_hot").join(named.toDF("a", "ia"), "a").join(named.toDF("b", "ib"), "b").select("ia", "ib", "n").toPandas()  # core * core rows at most
+    inner = np.zeros((core, core))
+    inner[found["ia"].to_numpy("i8"), found["ib"].to_numpy("i8")] = found["n"].to_numpy("f8")
+    start = exchange(inner, min(classes, core), sweeps)
+    k = int(start.max()) + 1
+    member = np.eye(k)[start]
+    of = spark.createDataFrame([(bytearray(w), int(start[i])) for w, i in at.items()], "word binary, of int")
+    now = saved(counts.join(F.broadcast(of), "word", "left").select("word", "c", "of", is_hot.alias("hot")), "classes")
+    pair, size = member.T @ inner @ member, np.bincount(start, weights=c[:core], minlength=k)
+    now, _ = _round(now, bigrams, pair, size, k)
+    best = None
+    for i in range(rounds + 1):
+        size = _sizes(now, k)[1]
+        after, pair = _round(now, bigrams, None, size, k, last=i == rounds)
+        likely = float(xlogx(pair).sum() - xlogx(pair.sum(axis=0)).sum() - xlogx(pair.sum(axis=1)).sum())
+        if best is not None and likely <= best[0]:
+            break
+        if best is not None:
+            discard(best[1])
+        best = likely, now, pair
+        now = after
+    _, now, pair = best
+    discard(bigrams)
+    table = now.select("word", "c", "of")
+    held = {bytes(w): x for w, x in now.where("hot").select("word", "of").toPandas().itertuples(index=False)}
+    model = Model(words, c, np.array([held[w] for w in words], "i8"), total=total, distinct=distinct, table=table)
     _endings(model)
-    known = spark.sparkContext.broadcast(model)
-
-    def moves(batches):
-        m = known.value
-        end = m.end()
-
-        def encode(part):
-            found, sizes = tokens(part)
-            ids = m.classes(found.dictionary.to_pylist())[1][found.indices.to_numpy()]
-            return np.unique(_previous(ids, sizes, end) * k + ids, return_counts=True)
-
-        return _pairs(batches, encode, k * k)
-
-    found = texts.mapInArrow(moves, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas()  # classes * classes rows at most
-    pair = np.zeros((k, k))
-    pair.ravel()[found["key"].to_numpy()] = found["n"].to_numpy()
-
-    def sizes(batches):
-        m = known.value
-        for batch in batches:
-            of, c = m.classes(batch.column("word").to_pylist())[1], batch.column("c").to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(k)), pa.array(np.bincount(of, minlength=k)), pa.array(np.bincount(of, weights=c, minlength=k).astype("i8"))], ["of", "kinds", "n"])
-
-    found = counts.mapInArrow(sizes, "of long, kinds long, n long").groupBy("of").agg(F.sum("kinds").alias("kinds"), F.sum("n").alias("n")).orderBy("of").toPandas()
-    model.kinds, model.sizes = found["kinds"].to_numpy("f8"), found["n"].to_numpy("f8")
+    model.kinds, model.sizes = _sizes(now, k)
     share = (model.sizes + 1) / (model.sizes.sum() + k)
     model.moves = np.log10((pair + 2.0 * share) / (pair.sum(axis=1, keepdims=True) + 2.0))
-    return model, counts
+    return model, table
 
 
-def _place_rest(model: Model, texts: DataFrame, core: int, k: int, bigrams: np.ndarray) -> None:
-    """Step 3, with the classes of core tokens held fixed."""
-    shared = texts.sparkSession.sparkContext.broadcast((model, model.of[:core]))
+def _sizes(now: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct tokens and tokens of each class."""
+    kinds, n = np.zeros(k), np.zeros(k)
+    for r in now.groupBy("of").agg(F.count("*").alias("kinds"), F.sum("c").alias("n")).collect():
+        kinds[r["of"]], n[r["of"]] = r["kinds"], r["n"]
+    return kinds, n
 
-    def neighbours(batches):
-        m, of = shared.value
 
-        def encode(part):
-            found, sizes = tokens(part)
-            names = found.dictionary.to_pylist()
-            ids = np.fromiter((m.at.get(w, -1) for w in names), "i8", len(names))[found.indices.to_numpy()]
-            before = _previous(ids, sizes, m.at[END])
-            inner, outer = (ids >= core), (before >= core)
-            a = inner & (before >= 0) & (before < core)  # what precedes a token to be placed
-            b = outer & (ids >= 0) & (ids < core)  # what follows one
-            keys = np.r_[ids[a] * 2 * k + of[before[a]], before[b] * 2 * k + k + of[ids[b]]]
-            return np.unique(keys, return_counts=True)
-
-        return _pairs(batches, encode, 0)
-
-    seen = texts.mapInArrow(neighbours, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    member = np.eye(k)[model.of[:core]]
-    pair = member.T @ bigrams @ member + 0.1
-    follows, precedes = np.log(pair / pair.sum(axis=1, keepdims=True)), np.log(pair / pair.sum(axis=0, keepdims=True))
-    size = np.log(np.bincount(model.of[:core], weights=model.counts[:core], minlength=k) + 1.0)
-    tables = texts.sparkSession.sparkContext.broadcast((follows, size))
-
-    def best(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        word = group["key"].to_numpy() // (2 * k)
-        side, n = group["key"].to_numpy() % (2 * k), group["n"].to_numpy("f8")
-        names, at = np.unique(word, return_inverse=True)
-        counts = np.zeros((len(names), 2 * k))
-        counts[at, side] = n
-        f, s = tables.value
-        gain = counts[:, :k] @ f + counts[:, k:] @ f.T - (counts.sum(axis=1) / 2)[:, None] * s
-        return pd.DataFrame({"word": names, "of": gain.argmax(axis=1)})
-
-    # 256 groups by token number: each holds hot / 256 tokens with 2 * classes counts at most
-    placed = seen.withColumn("deal", F.expr(f"key div {2 * k} % 256")).groupBy("deal").applyInPandas(best, "word long, of long").toPandas()
-    model.of[core:] = int(np.bincount(model.of[:core], weights=model.counts[:core]).argmax())
-    model.of[placed["word"].to_numpy("i8")] = placed["of"].to_numpy("i8")
+def _round(now: DataFrame, bigrams: DataFrame, pair: np.ndarray | None, size: np.ndarray, k: int, last: bool = False) -> tuple[DataFrame | None, np.ndarray]:
+    """The table (word, c, of, hot) with each token in the class that its neighbours' classes
+    make likeliest, and the bigrams of the classes as they were. Neighbours whose class is
+    null don't count; a token without any other goes to the largest class.
+
+    pair: what classes are likely after each other, where that isn't to be counted first.
+    """
+    spark = now.sparkSession
+    known = now.where("of is not null")
+    counted = []
+    for word, beside, first in (("b", "a", 0), ("a", "b", k)):
+        for hot in (True, False):  # the frequent ones by a broadcast, the others by a shuffle
+            classed = known.where(F.col("hot") == hot).select(F.col("word").alias(beside), (F.col("of") + first).alias("side"))
+            beside_it = bigrams.where(F.col(f"{beside}_hot") == hot)
+            counted.append(beside_it.join(F.broadcast(classed) if hot else classed, beside).select(F.col(word).alias("word"), "side", "n"))
+    seen = counted[0].union(counted[1]).union(counted[2]).union(counted[3]).groupBy("word", "side").agg(F.sum("n").alias("n"))
+    to_count = pair is None
+    if to_count:
+        seen = saved(seen, "seen")
+        pair = np.zeros((k, k))
+        both = seen.where(F.col("side") < k).join(known.select("word", "of"), "word").groupBy("side", "of").agg(F.sum("n").alias("n"))
+        for r in both.collect():  # classes * classes rows at most
+            pair[r["side"], r["of"]] = r["n"]
+    if last:
+        discard(seen)
+        return None, pair
+    soft = pair + 0.1
+    follows, large = np.log(soft / soft.sum(axis=1, keepdims=True)), np.log(size + 1.0)
+    most = int(size.argmax())
+
+    def place(batches):
+        for batch in batches:
+            lists = batch.column("around")
+            owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+            flat = lists.flatten()
+            n = np.zeros((len(lists), 2 * k))
+            n[owner, flat.field("side").to_numpy()] = flat.field("n").to_numpy()
+            gain = n[:, :k] @ follows + n[:, k:] @ follows.T - (n.sum(axis=1) / 2)[:, None] * large
+            top = gain.max(axis=1, keepdims=True)
+            new = (gain >= top - 1e-9 * (1 + np.abs(top))).argmax(axis=1)  # ties keep the lower class, however sums are rounded
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(new, pa.int32())], ["word", "of"])
+
+    placed = seen.groupBy("word").agg(F.collect_list(F.struct("side", "n")).alias("around")).mapInArrow(place, "word binary, of int")
+    moved = now.drop("of").join(placed, "word", "left").select("word", "c", F.coalesce("of", F.lit(most)).alias("of"), "hot")
+    after = saved(moved, "classes")
+    if to_count:
+        discard(seen)
+    return after, pair
 
 
 def _endings(model: Model) -> None:
@@ -347,29 +369,31 @@ def score(docs: DataFrame, model: Model | None, counts: DataFrame) -> DataFrame:
     known = docs.sparkSession.sparkContext.broadcast(model or Model([END], np.zeros(1, "i8"), np.zeros(1, "i8"), {b"": 0}, np.zeros((1, 1)), np.zeros(1), np.zeros(1)))
     m = known.value
     total, distinct = m.total, m.distinct
-    names = ["uid", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare"]
-    rare_kind = pa.list_(pa.struct([("word", pa.binary()), ("of", pa.int32()), ("k", pa.int64())]))
+    names = ["uid", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "line", "rare"]
+    rare_kind = pa.list_(pa.struct([("word", pa.binary()), ("of", pa.int32())]))
 
     def local(batches):
+        """line: a text's tokens, as the class of a frequent one, or -1 - place in ``rare``."""
         m, uid = known.value, TaskContext.get().partitionId() << 40
         base_of = np.log10((m.counts + 1) / (total + 1.0 * (distinct + 1)))
         emit_of = np.log10((m.counts + 1) / (m.sizes[m.of] + m.kinds[m.of] + 1))
-        end = m.end()
         for part, texts in slices(batches, "text", 4 << 20):
             found, sizes = tokens(texts)
             words = found.dictionary.to_pylist()
-            at, of = m.classes(words)
+            at = m.frequent(words)
+            tails = np.zeros(len(words), "i4")
+            for i in np.flatnonzero(at < 0):
+                tails[i] = m.tail(words[i])
             index = found.indices.to_numpy()
-            hot, cls = at[index], of[index]
-            step = m.moves[_previous(cls, sizes, end), cls]
+            hot = at[index]
             is_hot = hot >= 0
-            base = np.where(is_hot, base_of[hot], 0.0)
-            whole = step + np.where(is_hot, emit_of[hot], 0.0)
             starts = np.cumsum(sizes) - sizes
             owner = np.repeat(np.arange(len(sizes)), sizes)[~is_hot]
-            keys, k = np.unique(owner * len(words) + index[~is_hot], return_counts=True)
+            keys, back = np.unique(owner * len(words) + index[~is_hot], return_inverse=True)
             which, cuts = keys % len(words), np.searchsorted(keys // len(words), np.arange(len(sizes) + 1))
-            items = pa.StructArray.from_arrays([found.dictionary.take(pa.array(which)), pa.array(of[which], pa.int32()), pa.array(k, pa.int64())], ["word", "of", "k"])
+            line = m.of[hot]
+            line[~is_hot] = -1 - (back - cuts[owner])
+            items = pa.StructArray.from_arrays([found.dictionary.take(pa.array(which)), pa.array(tails[which])], ["word", "of"])
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(uid + np.arange(len(sizes))),
@@ -377,25 +401,50 @@ def score(docs: DataFrame, model: Model | None, counts: DataFrame) -> DataFrame:
                     part.column("held_out"),
                     pa.array(sizes),
                     pa.array(np.add.reduceat((is_hot & (m.counts[hot] > 0)).astype("i8"), starts)),
-                    pa.array(np.add.reduceat(base, starts)),
-                    pa.array(np.add.reduceat(whole, starts)),
+                    pa.array(np.add.reduceat(np.where(is_hot, base_of[hot], 0.0), starts)),
+                    pa.array(np.add.reduceat(np.where(is_hot, emit_of[hot], 0.0), starts)),
+                    pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(line, pa.int32())).cast(pa.list_(pa.int32())),
                     pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), items).cast(rare_kind),
                 ],
                 names,
             )
             uid += len(sizes)
 
+    def whole(batches):
+        m = known.value
+        end = m.end()
+        for batch in batches:
+            lines, rare = batch.column("line"), batch.column("found")
+            cls = lines.flatten().to_numpy().astype("i8")
+            sizes = np.diff(lines.offsets.to_numpy())
+            starts = np.cumsum(sizes) - sizes
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            flat, per = rare.flatten(), np.diff(rare.offsets.to_numpy())
+            base, score = np.zeros(len(cls)), np.zeros(len(cls))
+            more = np.zeros(len(cls), "i8")
+            mine = cls < 0
+            if mine.any():
+                first = np.cumsum(per) - per
+                place = np.empty(len(flat), "i8")  # collect_list keeps no order
+                place[np.repeat(first, per) + flat.field("i").to_numpy()] = np.arange(len(flat))
+                at = place[first[owner[mine]] - 1 - cls[mine]]
+                c, of = flat.field("c").to_numpy()[at], flat.field("of").to_numpy()[at].astype("i8")
+                cls[mine] = of
+                more[mine] = c > 0
+                base[mine] = np.log10((c + 1) / (total + 1.0 * (distinct + 1)))
+                score[mine] = np.log10((c + 1) / (m.sizes[of] + m.kinds[of] + 1))
+            score += m.moves[_previous(cls, sizes, end), cls]
+            add = lambda name, x: pa.array(batch.column(name).to_numpy() + np.add.reduceat(x, starts))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("held_out"), batch.column("n_tokens"), add("n_known", more), pa.array(np.full(len(sizes), total)), add("base", base), add("score", score)],
+                ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+            )
+
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", held_out(docs["doc_id"]).alias("held_out"), docs["text"].cast("string").alias("text"))
-    rows = saved(rows.mapInArrow(local, f"uid long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<struct<word:binary,of:int,k:long>>"), "scored")
-    sizes = F.array(*[F.lit(float(a + b + 1)) for a, b in zip(m.sizes, m.kinds, strict=True)])
-    rare = rows.select("uid", F.inline("rare"))
-    rare = rare.join(counts, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    rare = rare.groupBy("uid").agg(
-        F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("more"),
-        F.sum(F.col("k") * F.log10((F.col("c") + 1) / F.lit(total + 1.0 * (distinct + 1)))).alias("base2"),
-        F.sum(F.col("k") * F.log10((F.col("c") + 1) / F.get(sizes, F.col("of")))).alias("score2"),
-    )
-    add = lambda a, b: (F.col(a) + F.coalesce(b, F.lit(0))).alias(a)
-    both = rows.drop("rare").join(rare, "uid", "left").select("doc_id", "held_out", "n_tokens", add("n_known", "more"), F.lit(total).cast("long").alias("train_tokens"), add("base", "base2"), add("score", "score2"))
-    return both.withColumnRenamed("base", "base_score")
+    rows = saved(rows.mapInArrow(local, f"uid long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, line array<int>, rare array<struct<word:binary,of:int>>"), "scored")
+    rare = rows.select("uid", F.posexplode("rare").alias("i", "x")).select("uid", "i", F.col("x.word").alias("word"), F.col("x.of").alias("tail"))
+    rare = rare.join(counts, "word", "left").select("uid", F.struct("i", F.coalesce("c", F.lit(0)).cast("long").alias("c"), F.coalesce("of", "tail").alias("of")).alias("x"))
+    both = rows.drop("rare").join(rare.groupBy("uid").agg(F.collect_list("x").alias("found")), "uid", "left")
+    both = both.withColumn("found", F.coalesce("found", F.expr("cast(array() as array<struct<i:int,c:bigint,of:int>>)"))).drop("uid")
+    return both.mapInArrow(whole, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -172,6 +172,30 @@ def test_class_scores_are_probabilities(spark, docs):
         assert p + 1 / (model.sizes[of] + model.kinds[of] + 1) == pytest.approx(1)
 
 
+def test_rare_tokens_are_classed_by_their_neighbours(spark, tmp_path):
+    # rare tokens of two kinds end alike; what stands beside them tells the kinds apart
+    to = str(tmp_path / "documents.parquet")
+    texts = [f"the {x}{i}q runs the big{i % 3} {x}{i}q runs" if x == "n" else f"we {x}{i}q it we can{i % 3} {x}{i}q it" for i in range(60) for x in "nv"]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3).write.parquet(to)
+    docs = spark.read.parquet(to)
+    of = {}
+    for hot in (12, 1000):  # what is broadcast does not change the model
+        model, table = brown_lm.learn(docs, hot=hot, core=11, classes=11)
+        of[hot] = {bytes(r.word).decode(): r.of for r in table.collect()}
+        scores = brown_lm.score(docs, model, table).collect()
+        of[hot, "scores"] = sorted((r.doc_id, r.n_known, round(r.score, 6)) for r in scores)
+        for r in scores:
+            cls = [of[hot][w] for w in texts[r.doc_id].split() + ["\n"]]
+            want = sum(model.moves[a, b] for a, b in zip([of[hot]["\n"], *cls], cls)) if r.doc_id < 4 else None
+            c = collections.Counter(w for t in texts for w in t.split() + ["\n"])
+            if want is not None:
+                want += sum(math.log10((c[w] + 1) / (model.sizes[x] + model.kinds[x] + 1)) for w, x in zip(texts[r.doc_id].split() + ["\n"], cls, strict=True))
+                assert r.score == pytest.approx(want)
+    nouns, verbs = ({of[12][f"{x}{i}q"] for i in range(60)} for x in "nv")
+    assert len(nouns) == len(verbs) == 1 and nouns != verbs
+    assert of[12] == of[1000] and of[12, "scores"] == of[1000, "scores"]
+
+
 def test_chat(spark):
     odd = ["\\### Assistant: </turn> ok", "", None, "a\\", "<\\/turn>", "###", "x\ny: </", "\\\\#"]
     talk = [(1, i, ["system", "user", "assistant"][i % 3], t) for i, t in enumerate(odd)] + [(2, 0, "user", "only a question")] + [(None, 0, "ass:ist#ant", "z"), (3, None, None, "q"), (3, 1, "assistant", "r"), (3, 1, "assistant", "r")]
