@@ -6,10 +6,11 @@ but the join that made the pairs.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.points import transformed
+from ..functions.points import mirrored, transformed
 
 
 def _mv(moves: Column, t: int = 0) -> Column:
@@ -49,30 +50,55 @@ def point_counts(games: DataFrame, key: str = "game_id") -> DataFrame:
 
 
 def best_symmetry(pairs: DataFrame, most: int = 12, key: str = "pair") -> DataFrame:
-    """(key, t, distance, verdict) of the symmetry of game a that brings it nearest to b.
+    """(key, t, distance, verdict, t_cut, distance_cut) of the symmetry of game a that brings it nearest to b.
 
     Untransformed wins unless another is strictly nearer; a symmetry counts only up to a
-    distance of twice ``most``, else the games are 'different'. Each move becomes a row of
-    +1 or -1 for each symmetry, and two grouped sums, combined before they shuffle, give
-    all eight distances.
+    distance of twice ``most``. Beyond that, games of different lengths are tried again as
+    cut to the shorter one (t_cut, distance_cut; null where not tried): 'truncated' if that
+    is near enough. Else the games are 'different'. Each move becomes a row of +1 or -1 for
+    each symmetry, and two grouped sums, combined before they shuffle, give all eight distances.
     """
+    best = _nearest(pairs, key)
+    far = best.where((F.col("t") > 0) & (F.col("distance") > 2 * most)).select(key)
+    short = F.least(F.size("a"), F.size("b"))
+    again = pairs.where(F.size("a") != F.size("b")).join(far, key, "left_semi").select(key, F.slice("a", 1, short).alias("a"), F.slice("b", 1, short).alias("b"))
+    cut = _nearest(again, key, most=2 * most).select(key, F.col("t").alias("t_cut"), F.col("distance").alias("distance_cut"))
+    said = (
+        F.when(F.col("t") == 0, "same orientation")
+        .when(F.col("distance") <= 2 * most, "transformed")
+        .when(F.col("distance_cut") <= 2 * most, "truncated")
+        .otherwise("different")
+    )
+    return best.join(cut, key, "left").select(key, "t", "distance", said.alias("verdict"), "t_cut", "distance_cut")
+
+
+def _nearest(pairs: DataFrame, key: str, most: int = -1) -> DataFrame:
+    """(key, t, distance), the least distance; untransformed if its distance is within ``most``."""
     ours = F.flatten(F.array(*[_signed("a", t, 1) for t in range(8)]))
     theirs = F.flatten(F.array(*[_signed("b", t, -1, turn=False) for t in range(8)]))
     rows = pairs.select(key, F.inline(F.concat(ours, theirs)))
     counts = rows.groupBy(key, "t", "mv").agg(F.sum("n").alias("n"))
     distances = counts.groupBy(key, "t").agg(F.sum(F.abs("n")).alias("distance"))
-    best = distances.groupBy(key).agg(F.min(F.struct("distance", "t")).alias("s"))
-    return best.select(
-        key, "s.t", "s.distance", F.when(F.col("s.t") == 0, "same orientation").when(F.col("s.distance") <= 2 * most, "transformed").otherwise("different").alias("verdict")
-    )
+    taken = (F.col("t") == 0) & (F.col("distance") <= most)
+    best = distances.groupBy(key).agg(F.min(F.struct((~taken).alias("later"), "distance", "t")).alias("s"))
+    return best.select(key, "s.t", "s.distance")
 
 
 def _signed(side: str, t: int, n: int, turn: bool = True) -> Column:
     return F.transform(side, lambda m: F.struct(F.lit(t).alias("t"), (transformed(m, t) if turn else m["mv"]).alias("mv"), F.lit(n).alias("n")))
 
 
+def alternating(moves: Column) -> Column:
+    """Whether no color moves twice in a row, whichever begins."""
+    return ~F.exists(F.transform(moves, lambda m, i: (i > 0) & (F.get(moves, i - 1)["color"] == m["color"])), lambda x: x)
+
+
+#: More chunks than these are 'many differences'.
+MOST_CHUNKS = 20
+
+
 def verdict(a: Column, b: Column, most: int = 12) -> Column:
-    """One phrase for a pair of games."""
+    """One phrase for a pair of games in the same orientation."""
     n = F.size(differences(a, b))
     prefix, short = common_prefix(a, b), F.least(F.size(a), F.size(b))
     same_length = F.size(a) == F.size(b)
@@ -81,28 +107,89 @@ def verdict(a: Column, b: Column, most: int = 12) -> Column:
         .when((prefix == short) & ~same_length, "truncation")
         .when(same_length & (n <= most), "differences")
         .when(n - F.abs(F.size(a) - F.size(b)) <= most, "truncation and differences")
-        .when(prefix >= 10, "common start")
-        .otherwise("different games")
+        .when(~alternating(a) | ~alternating(b), "non-alternating")
+        .when(F.size(chunk_array(a, b)) <= MOST_CHUNKS, "chunks")
+        .otherwise("many differences")
     )
 
 
-def anchors(pairs: DataFrame, a: str = "a", b: str = "b", key: str = "pair") -> DataFrame:
-    """Chunks of moves that two games share at different places.
+def compared(pairs: DataFrame, most: int = 12, key: str = "pair") -> DataFrame:
+    """(key, t, verdict): game a turned as best_symmetry says, then one phrase; games that no
+    symmetry brings near are 'common start' (ten equal moves or more) or 'different games'."""
+    s = best_symmetry(pairs, most, key).select(key, F.when(F.col("verdict") == "truncated", F.col("t_cut")).when(F.col("verdict") == "different", 0).otherwise(F.col("t")).alias("t"), (F.col("verdict") == "different").alias("far"))
+
+    def turn(t: int) -> Column:
+        def one(m):
+            x, y = mirrored(t, m["x"], m["y"], F.lit(18))
+            return m.withField("mv", transformed(m, t)).withField("x", x.cast("int")).withField("y", y.cast("int"))
+
+        return F.transform("a", one)
+
+    turned = F.coalesce(*[F.when(F.col("t") == t, turn(t)) for t in range(8)])
+    both = pairs.join(s, key, "left").withColumn("t", F.coalesce("t", F.lit(0))).withColumn("turned", turned)
+    away = F.when(common_prefix(F.col("a"), F.col("b")) >= 10, "common start").otherwise("different games")
+    return both.select(key, "t", F.when(F.coalesce("far", F.lit(False)), away).otherwise(verdict(F.col("turned"), F.col("b"), most)).alias("verdict"))
 
-    An anchor is a move that occurs once in each game; anchors with the same offset that
-    follow each other form a chunk: key, k1, k2, length, in the order of the first game.
+
+def chunks_of(a: list[str], b: list[str]) -> list[dict]:
+    """Two games as chunks: type 1 (only in a), 2 (only in b), 3 (in both), k1 and k2 (from 1;
+    null where the chunk isn't in that game), length.
+
+    A common chunk grows from a move that occurs once in each game, both ways, as long as the
+    neighbouring moves are equal; it doesn't reach back into the chunk before. Those of the
+    first game come in its order, then what is in the second alone.
     """
-    once = lambda side, name: (
-        pairs.select(key, F.posexplode(F.transform(side, lambda m: m["mv"])).alias(name, "mv")).groupBy(key, "mv").agg(F.count("*").alias("n"), F.min(name).alias(name)).where("n = 1").drop("n")
-    )
-    both = once(a, "k1").join(once(b, "k2"), [key, "mv"]).withColumn("offset", F.col("k2") - F.col("k1"))
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(key).orderBy("k1")
-    step = F.when(F.lag("offset").over(w) == F.col("offset"), 0).otherwise(1)
-    islands = both.withColumn("new", step).withColumn("island", F.sum("new").over(w))
-    spans = islands.groupBy(key, "island", "offset").agg(F.min("k1").alias("k1"), (F.max("k1") - F.min("k1") + 1).alias("length"))
-    return spans.select(key, (F.col("k1") + 1).alias("k1"), (F.col("k1") + F.col("offset") + 1).alias("k2"), "length")
+    at, twice = [{}, {}], [set(), set()]
+    for side, game in enumerate((a, b)):
+        for k, m in enumerate(game):
+            (twice[side].add if m in at[side] else lambda _: None)(m)
+            at[side][m] = k
+    out, i = [], 0
+    add = lambda kind, k1, k2, n: out.append({"type": kind, "k1": None if k1 is None else k1 + 1, "k2": None if k2 is None else k2 + 1, "length": n})
+    covered = [False] * len(b)
+    while i < len(a):
+        end = next((k for k in range(i, len(a)) if a[k] in at[1] and a[k] not in twice[0] and a[k] not in twice[1]), None)
+        if end is None:
+            add(1, i, None, len(a) - i)
+            break
+        to = at[1][a[end]]
+        k1, k2 = end, to
+        while k1 > i and k2 > 0 and a[k1 - 1] == b[k2 - 1]:
+            k1, k2 = k1 - 1, k2 - 1
+        while end + 1 < len(a) and to + 1 < len(b) and a[end + 1] == b[to + 1]:
+            end, to = end + 1, to + 1
+        if i < k1:
+            add(1, i, None, k1 - i)
+        add(3, k1, k2, end - k1 + 1)
+        covered[k2 : to + 1] = [True] * (to + 1 - k2)
+        i = end + 1
+    start = None
+    for k in range(len(b) + 1):
+        if k < len(b) and not covered[k]:
+            start = k if start is None else start
+        elif start is not None:
+            add(2, None, start, k - start)
+            start = None
+    return out
+
+
+CHUNKS = pa.list_(pa.struct([("type", pa.int32()), ("k1", pa.int32()), ("k2", pa.int32()), ("length", pa.int32())]))
+
+
+def chunk_array(a: Column, b: Column) -> Column:
+    """chunks_of two move arrays; moves without a point are all passes, colors don't count."""
+    names = lambda moves: F.transform(moves, lambda m: F.when(m["x"].isNull(), "tt").otherwise(m["mv"]))
+
+    @F.arrow_udf("array<struct<type:int,k1:int,k2:int,length:int>>")
+    def udf(x: pa.Array, y: pa.Array) -> pa.Array:
+        return pa.array([None if p is None or q is None else chunks_of(p, q) for p, q in zip(x.to_pylist(), y.to_pylist(), strict=True)], CHUNKS)
+
+    return udf(names(a), names(b))
+
+
+def chunks(pairs: DataFrame, a: str = "a", b: str = "b", key: str = "pair") -> DataFrame:
+    """A row for each chunk of a pair: key, type, k1, k2, length."""
+    return pairs.select(key, F.inline(chunk_array(F.col(a), F.col(b))))
 
 
 def merged_moves(a: Column, b: Column, most: int = 0) -> Column:

@@ -574,8 +574,8 @@ def board_replay(spark, sf):
 
 @query(None)
 def chunk_diff(spark, sf):
-    found = compare.anchors(pairs(spark, sf))
-    return found.select("pair", big("k1", "k1"), big("k2", "k2"), big("length", "length"))
+    found = compare.chunks(pairs(spark, sf))
+    return found.select("pair", big("type", "type"), big("k1", "k1"), big("k2", "k2"), big("length", "length"))
 
 
 __all__ = ["ORACLE", "QUERIES", "games", "move_rows", "pairs", "swapped"]

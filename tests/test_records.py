@@ -168,6 +168,41 @@ def test_comparison(spark):
     assert notes == ["move 2: bb / bd"]
 
 
+def test_comparison_of_shifted_and_mirrored_games(spark):
+    import random
+
+    rng = random.Random(4)
+    points = [chr(97 + x) + chr(97 + y) for x in range(19) for y in range(19)]
+    game = lambda mvs, same=False: sgf.parse("(" + "".join(f";{'B' if same or i % 2 == 0 else 'W'}[{m}]" for i, m in enumerate(mvs)) + ")")[0]["moves"]
+    mirror = lambda mvs: [m[0] + chr(97 + 115 - ord(m[1])) for m in mvs]
+    base = [f"{chr(97 + i % 9)}{chr(97 + i // 9)}" for i in range(60)]
+    tail = rng.sample([p for p in points if p not in base and p not in mirror(base)], 40)
+    shift = [*base[20:], *base[:20]]
+    rows = [("mirrored", game(mirror(base)), game(base)), ("longer", game([*mirror(base), *tail]), game(base)), ("shifted", game(base), game(shift)), ("colors", game(base, True), game(shift)), ("other", game(base), game(rng.sample(tail, 30)))]
+    df = spark.createDataFrame(rows, f"pair string, a array<{sgf.MOVE}>, b array<{sgf.MOVE}>")
+    said = {r.pair: r.verdict for r in compare.best_symmetry(df).collect()}
+    assert (said["mirrored"], said["longer"], said["shifted"]) == ("transformed", "truncated", "same orientation")
+    full = {r.pair: r.verdict for r in compare.compared(df).collect()}
+    assert (full["mirrored"], full["longer"], full["shifted"], full["colors"]) == ("identical", "truncation", "chunks", "non-alternating")
+    got = [(r.type, r.k1, r.k2, r.length) for r in compare.chunks(df.where("pair = 'shifted'")).collect()]
+    assert got == [(3, 1, 41, 20), (3, 21, 1, 40)]
+    # grown over repeated moves and passes; a move that differs between two anchors ends a chunk
+    assert [tuple(c.values()) for c in compare.chunks_of(["aa", "tt", "bb", "tt", "cc"], ["aa", "tt", "bb", "dd", "cc"])] == [(3, 1, 1, 3), (1, 4, None, 1), (3, 5, 5, 1), (2, None, 4, 1)]
+    for _ in range(200):  # each move of the first game is in one chunk, and common chunks are equal and can't grow
+        x, y = ([rng.choice(points[:12]) for _ in range(rng.randrange(12))] for _ in range(2))
+        found = compare.chunks_of(x, y)
+        own = [k for c in found if c["type"] != 2 for k in range(c["k1"], c["k1"] + c["length"])]
+        assert own == list(range(1, len(x) + 1))
+        lone = [k for c in found if c["type"] == 2 for k in range(c["k2"], c["k2"] + c["length"])]
+        both = {c["k2"] + i for c in found if c["type"] == 3 for i in range(c["length"])}
+        assert sorted({*lone, *both}) == list(range(1, len(y) + 1)) and not both & set(lone)
+        for c in found:
+            if c["type"] == 3:
+                p, q, n = c["k1"] - 1, c["k2"] - 1, c["length"]
+                assert x[p : p + n] == y[q : q + n] and (p + n == len(x) or q + n == len(y) or x[p + n] != y[q + n])
+                assert any(x.count(m) == 1 == y.count(m) for m in x[p : p + n])
+
+
 def test_validation(spark, tmp_path):
     records = {"dup": "(;C[a]C[b])", "mixed": "(;SZ[9];B[aa]AW[bb])", "root": "(;SZ[9]B[aa])", "twice": "(;SZ[9];B[aa];B[bb])", "white": "(;SZ[9];W[aa])", "ha": "(;HA[2]AB[aa][bb];B[cc])", "km": "(;KM[6.5]RE[B+3])", "kmsyntax": "(;KM[six])", "re": "(;RE[hello])", "resign": "(;RE[B+R];B[aa];W[bb])", "sz": "(;SZ[99])", "bad": "(;B[aa", "occupied": "(;SZ[9];B[aa];W[aa])", "fine": "(;SZ[9]KM[6.5]RE[W+2.5];B[aa];W[bb])", "quarter": "(;KM[2.75]RE[W+0.25])"}
     for name, text in records.items():
