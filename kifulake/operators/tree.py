@@ -58,27 +58,19 @@ def properties_at(nodes: Column, v: int, m: int, name: str | None = None, separa
 
 
 def replies(nodes: Column, after: list[str] | None = None) -> Column:
-    """The moves that the record knows after a path of moves from the root, in order."""
-    reached = F.filter(nodes, lambda n: n["parent"] == -1)
-    for mv in after or []:
-        reached = _playing(_next_moves(nodes, reached), mv)
-    return F.array_distinct(F.transform(_next_moves(nodes, reached), move_of))
-
-
-def _playing(nodes: Column, mv: str) -> Column:
-    return F.filter(nodes, lambda n: move_of(n) == mv)
-
-
-def _children(nodes: Column, of: Column) -> Column:
-    return F.filter(nodes, lambda n: F.exists(of, lambda r: n["parent"] == r["node_id"]))
-
-
-def _next_moves(nodes: Column, reached: Column) -> Column:
-    """Children with a move; nodes without one are passed through, a few deep."""
-    found = _children(nodes, reached)
-    for _ in range(3):
-        found = F.concat(F.filter(found, has_move), _children(nodes, F.filter(found, lambda n: ~has_move(n))))
-    return F.filter(found, has_move)
+    """The moves that the record knows after a path of moves from the root, in the order of
+    the record. Nodes without a move are passed through, however many; a move of the root's
+    own doesn't count."""
+    played = F.array(*[F.lit(m) for m in after or []]).cast("array<string>")
+    moved = lambda n: has_move(n) & (n["parent"] != -1)
+
+    def way(n: Column) -> Column:
+        """The moves from the root to a node, its own included."""
+        on_it = F.filter(nodes, lambda p: moved(p) & (p["node_id"] <= n["node_id"]) & (p["var_lo"] <= n["var_lo"]) & (n["var_hi"] <= p["var_hi"]))
+        return F.transform(on_it, move_of)
+
+    found = F.filter(nodes, lambda n: moved(n) & way(n).eqNullSafe(F.concat(played, F.array(move_of(n)))))
+    return F.array_distinct(F.transform(found, move_of))
 
 
 def tree_rows(nodes_rows: DataFrame) -> DataFrame:

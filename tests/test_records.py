@@ -203,6 +203,14 @@ def test_comparison_of_shifted_and_mirrored_games(spark):
                 assert any(x.count(m) == 1 == y.count(m) for m in x[p : p + n])
 
 
+def test_replies_behind_many_nodes_without_a_move(spark):
+    nodes = sgf.parse("(;C[r]" + ";C[x]" * 7 + "(;B[aa]" + ";C[y]" * 6 + "(;W[bb];B[dd])(;C[z];W[cc]))(;B[ee]))")[0]["nodes"]
+    g = spark.createDataFrame([(nodes,)], f"nodes array<{sgf.NODE}>")
+    n = F.col("nodes")
+    row = g.select(tree.replies(n), tree.replies(n, ["aa"]), tree.replies(n, ["aa", "bb"]), tree.replies(n, ["zz"])).first()
+    assert tuple(row) == (["aa", "ee"], ["bb", "cc"], ["dd"], [])
+
+
 def test_validation(spark, tmp_path):
     records = {"dup": "(;C[a]C[b])", "mixed": "(;SZ[9];B[aa]AW[bb])", "root": "(;SZ[9]B[aa])", "twice": "(;SZ[9];B[aa];B[bb])", "white": "(;SZ[9];W[aa])", "ha": "(;HA[2]AB[aa][bb];B[cc])", "km": "(;KM[6.5]RE[B+3])", "kmsyntax": "(;KM[six])", "re": "(;RE[hello])", "resign": "(;RE[B+R];B[aa];W[bb])", "sz": "(;SZ[99])", "bad": "(;B[aa", "occupied": "(;SZ[9];B[aa];W[aa])", "fine": "(;SZ[9]KM[6.5]RE[W+2.5];B[aa];W[bb])", "quarter": "(;KM[2.75]RE[W+0.25])"}
     for name, text in records.items():
