@@ -144,6 +144,13 @@ def filter_filename(spark, sf):
     return d.where(string_test(d["source"], ":", "src1") & Interval.parse("-500").test(d["doc_id"])).select("doc_id", "source")
 
 
+@query("select doc_id, source from documents where contains(source, 'src1')")
+def filter_filename_all(spark, sf):
+    """filter_filename over all documents."""
+    d = table(spark, sf, "documents")
+    return d.where(string_test(d["source"], ":", "src1")).select("doc_id", "source")
+
+
 # ---------------------------------------------------------------- properties: a game is an order, its nodes are lines
 
 
@@ -554,6 +561,12 @@ def replace_nl(spark, sf):
     return d.select("doc_id", properties.one_line(F.col("text")).alias("text"))
 
 
+@query("select doc_id, replace(replace(text, chr(10), ' '), chr(13), ' ') as text from documents")
+def replace_nl_all(spark, sf):
+    """replace_nl over all documents."""
+    return table(spark, sf, "documents").select("doc_id", properties.one_line(F.col("text")).alias("text"))
+
+
 @query("select s_suppkey as game_id, case when s_nationkey % 2 = 0 then 0 else s_suppkey % 9 end as h from supplier")
 def handicap(spark, sf):
     s = table(spark, sf, "supplier")

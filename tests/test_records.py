@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kifulake.operators import board, check, compare, edit, moves, pattern, properties, render, tree
+from kifulake.plans import bridge
 from kifulake.plans.collection import Collection
 from kifulake.sources import foreign, sgf, writer
 from kifulake.streaming import ingest
@@ -211,6 +212,15 @@ def test_replies_behind_many_nodes_without_a_move(spark):
     assert tuple(row) == (["aa", "ee"], ["bb", "cc"], ["dd"], [])
 
 
+def test_text_queries_run_over_all_documents(spark, tmp_path):
+    rows = [(i, f"a\nb\r{i}\n", f"src{i % 3}/x") for i in range(0, 1200, 7)] + [(None, None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.doc_id, r.text) for r in bridge.QUERIES["replace_nl_all"](spark, str(tmp_path)).collect()}
+    assert got == {(i, t and t.replace("\n", " ").replace("\r", " ")) for i, t, _ in rows}
+    got = {(r.doc_id, r.source) for r in bridge.QUERIES["filter_filename_all"](spark, str(tmp_path)).collect()}
+    assert got == {(i, s) for i, _, s in rows if s and "src1" in s}
+
+
 def test_validation(spark, tmp_path):
     records = {"dup": "(;C[a]C[b])", "mixed": "(;SZ[9];B[aa]AW[bb])", "root": "(;SZ[9]B[aa])", "twice": "(;SZ[9];B[aa];B[bb])", "white": "(;SZ[9];W[aa])", "ha": "(;HA[2]AB[aa][bb];B[cc])", "km": "(;KM[6.5]RE[B+3])", "kmsyntax": "(;KM[six])", "re": "(;RE[hello])", "resign": "(;RE[B+R];B[aa];W[bb])", "sz": "(;SZ[99])", "bad": "(;B[aa", "occupied": "(;SZ[9];B[aa];W[aa])", "fine": "(;SZ[9]KM[6.5]RE[W+2.5];B[aa];W[bb])", "quarter": "(;KM[2.75]RE[W+0.25])"}
     for name, text in records.items():
