@@ -5,7 +5,8 @@ aliases: they are joined into components, and what a rule decides for one member
 for the members that no rule fits. Precedence: a url's own longest rule; else allow if a
 rule allows any alias; else block if a rule blocks any; else allow.
 
-A vertex is host and path with query but no fragment; two pages with the same vertex are
+Every canonical link and refresh of a page counts; character references in them are decoded.
+A vertex is host and path (without "." and ".." segments) with query but no fragment; two pages with the same vertex are
 aliases too. Null urls, and those without "://", have an empty host and path, fit no
 rule, have no aliases and are allowed. Repeated rows are judged each; an empty table
 gives an empty result; columns other than page_id, url and html are ignored.
@@ -31,7 +32,7 @@ class Rule(NamedTuple):
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SPLIT = r"(?s)^.*?://([^/?#]*)([^?#]*)(\?[^#]*)?"
 LINK = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
-REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\bcontent\s*=\s*["']?[^"'>]*?\burl\s*=\s*([^"'\s>]+)"""
+REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\bcontent\s*=\s*["']?[^"'>]*?\burl\s*=\s*["']?\s*([^"'\s>]+)"""
 
 
 def host_of(url: Column) -> Column:
@@ -42,8 +43,36 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, SPLIT, 2), F.lit(""))
 
 
+def resolved(path: Column) -> Column:
+    """A path without its segments "." and ".."."""
+    parts = F.split(path, "/", -1)
+    step = lambda acc, s: F.when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).when(s == ".", acc).otherwise(F.concat(acc, F.array(s)))
+    kept = F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), F.array().cast("array<string>"), step)
+    ends = F.when(F.element_at(parts, -1).isin(".", "..") & (F.size(kept) > 0), "/").otherwise("")
+    return F.when(path.rlike(r"/\.\.?(/|$)"), F.concat(F.lit("/"), F.array_join(kept, "/"), ends)).otherwise(path)
+
+
+NAMED = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'"}
+
+
+def decoded(c: Column) -> Column:
+    """Text of an attribute: character references by number and those of ``NAMED``, each once."""
+
+    def one(s):
+        number = F.when(s.rlike(r"^&#[0-9]{1,7};$"), F.regexp_extract(s, "[0-9]+", 0).cast("long")).when(s.rlike(r"^&#[xX][0-9A-Fa-f]{1,6};$"), F.conv(F.regexp_extract(s, "[xX]([0-9A-Fa-f]+)", 1), 16, 10).cast("long"))
+        fits = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(F.when(fits, number).otherwise(0xFFFD)), 8, "0")), "UTF-32")
+        out = F.when(number.isNotNull(), char)
+        for name, x in NAMED.items():
+            out = out.when(s == f"&{name};", x)
+        return out.otherwise(s)
+
+    pieces = F.regexp_extract_all(c, F.lit(r"(?s)(&#?\w+;|&|[^&]+)"), F.lit(1))
+    return F.when(c.contains("&"), F.array_join(F.transform(pieces, one), "")).otherwise(c)
+
+
 def vertex_of(url: Column) -> Column:
-    return F.concat(host_of(url), path_of(url), F.coalesce(F.regexp_extract(url, SPLIT, 3), F.lit("")))
+    return F.concat(host_of(url), resolved(path_of(url)), F.coalesce(F.regexp_extract(url, SPLIT, 3), F.lit("")))
 
 
 def longest_rule(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Column, Column]:
@@ -69,8 +98,9 @@ def absolute(target: Column, page: Column) -> Column:
 
 def alias_edges(pages: DataFrame) -> DataFrame:
     """(a, b): a page's vertex and one that its html redirects to or names as canonical."""
-    targets = F.explode(F.array_compact(F.array(*[F.when(pages["html"].rlike(x), F.regexp_extract(pages["html"], x, 1)) for x in (LINK, REFRESH)])))
+    targets = F.explode(F.concat(*[F.regexp_extract_all(pages["html"], F.lit(x), F.lit(1)) for x in (LINK, REFRESH)]))
     links = pages.where(pages["url"].contains("://") & (pages["html"].rlike(LINK) | pages["html"].rlike(REFRESH))).select("url", targets.alias("target"))
+    links = links.select("url", F.btrim(decoded(F.col("target")), F.lit("\"' \t\r\n")).alias("target")).where("target <> ''")
     return links.select(vertex_of(F.col("url")).alias("a"), vertex_of(absolute(F.col("target"), F.col("url"))).alias("b")).where("a <> b")
 
 

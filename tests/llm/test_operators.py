@@ -211,6 +211,17 @@ def test_chat(spark):
     assert chat_format.digest(df.where("false")).count() == 0
 
 
+def test_url_aliases_of_all_forms(spark):
+    refresh = lambda c: f"<meta http-equiv=refresh content={c}>"
+    pages = [
+        ("http://a.org/1", refresh('"0; url=\'https://x.org/p\'"')), ("http://a.org/2", refresh("'0;URL=\"https://x.org/p\"'")), ("http://a.org/3", refresh('"0; url=&#39;https://x.org/p&#x27;"')),
+        ("http://a.org/d/e/f", '<link rel=canonical href="../g?x=1&amp;y=&amp;lt;2"><link href="/../h/./i/.." rel="canonical">' + refresh('"1;url=/first"') + refresh('"1;url=/second"')), ("http://a.org/k", None), ("http://a.org/l", "<p>url=/no"),
+    ]
+    got = {(r.a, r.b) for r in url_filter.alias_edges(spark.createDataFrame(pages, "url string, html string")).collect()}
+    want = {(f"a.org/{i}", "x.org/p") for i in (1, 2, 3)} | {("a.org/d/e/f", b) for b in ("a.org/d/g?x=1&y=&lt;2", "a.org/h/", "a.org/first", "a.org/second")}
+    assert got == want
+
+
 def test_url_filter(spark):
     link = lambda u: f'<html><link rel="canonical" href="{u}"></html>'
     pages = [
