@@ -78,18 +78,28 @@ def rendered(turns: DataFrame) -> DataFrame:
 
 
 def digest(conversations: DataFrame) -> DataFrame:
-    """Per conversation, read back from the formatted output."""
+    """Per conversation, read back from the formatted output: turns from their segments, loss
+    text from the examples. An example counts (n_examples, context_chars) only if its context is
+    all of the conversation's segments before its turn and that turn up to its text."""
     turns = format_turns(conversations)
-    # the examples' targets are spans of segments, so both digests come from one exchange
-    examples = turns.withColumn("target", F.when(F.col("trainable"), F.substring("segment", F.col("loss_start") - F.col("seg_start") + 1, F.col("loss_chars").cast("int"))))
-    read = examples.select(
+    examples = expand_targets(turns).select(F.col("conv_id").alias("of"), F.col("pos").alias("at"), "context_start", "context_chars", "target")
+    before = F.sum(F.char_length("segment").cast("long")).over(Window.partitionBy("conv_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
+    head = F.char_length(F.regexp_extract("segment", TURN, 1)) + len(OPEN + SEP)
+    placed = turns.select("conv_id", "pos", "segment", (F.coalesce(before, F.lit(0)) + head).alias("text_at"))
+    both = placed.join(examples, F.col("conv_id").eqNullSafe(F.col("of")) & (F.col("pos") == F.col("at")), "left")
+    good = F.coalesce((F.col("context_start") == 0) & (F.col("context_chars") == F.col("text_at")), F.lit(False))
+    read = both.select(
         "conv_id",
         "pos",
         F.char_length("segment").cast("long").alias("chars"),
         F.concat(unescaped(F.regexp_extract("segment", TURN, 1)), F.lit("\n"), unescaped(F.regexp_extract("segment", TURN, 2)), F.lit("\n")).alias("turn"),
-        unescaped(F.coalesce("target", F.lit(""))).alias("loss"),
+        F.when(good, unescaped(F.col("target"))).otherwise("").alias("loss"),
+        F.when(good, F.col("context_chars")).alias("context"),
     )
     ordered = F.array_sort(F.collect_list(F.struct("pos", "turn", "loss")))
-    whole = read.groupBy("conv_id").agg(F.count("*").alias("n_turns"), ordered.alias("of"), F.sum(F.char_length("loss").cast("long")).alias("loss_chars"), F.sum("chars").alias("formatted_chars"))
+    whole = read.groupBy("conv_id").agg(
+        F.count("*").alias("n_turns"), ordered.alias("of"), F.sum(F.char_length("loss").cast("long")).alias("loss_chars"), F.sum("chars").alias("formatted_chars"),
+        F.count("context").alias("n_examples"), F.coalesce(F.sum("context"), F.lit(0)).alias("context_chars"),
+    )
     joined = lambda field: F.sha2(F.array_join(F.transform("of", lambda x: x[field]), "").cast("binary"), 256)
-    return whole.select("conv_id", "n_turns", joined("turn").alias("turns_sha256"), "loss_chars", joined("loss").alias("loss_sha256"), "formatted_chars")
+    return whole.select("conv_id", "n_turns", joined("turn").alias("turns_sha256"), "loss_chars", joined("loss").alias("loss_sha256"), "formatted_chars", "n_examples", "context_chars")

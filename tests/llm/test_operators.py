@@ -211,6 +211,20 @@ def test_chat(spark):
     assert chat_format.digest(df.where("false")).count() == 0
 
 
+def test_chat_digest_reads_the_examples(spark, monkeypatch):
+    talk = [(1, i, ["user", "assistant"][i % 2], f"t{i}") for i in range(6)] + [(None, 0, "assistant", "alone")]
+    df = spark.createDataFrame(talk, "conv_id long, turn long, role string, text string")
+    seen = lambda: {r.conv_id: (r.n_examples, r.context_chars, r.loss_chars) for r in chat_format.digest(df).collect()}
+    prompts = chat_format.rendered(chat_format.format_turns(df)).where("conv_id = 1").collect()
+    right = {1: (3, sum(len(p.prompt) for p in prompts), 6), None: (1, len("### assistant: "), 5)}
+    assert seen() == right
+    expand = chat_format.expand_targets
+    monkeypatch.setattr(chat_format, "expand_targets", lambda t: expand(t).where("example <> 2"))
+    assert seen()[1] == (2, right[1][1] - len(sorted(prompts, key=lambda p: p.example)[1].prompt), 4)
+    monkeypatch.setattr(chat_format, "expand_targets", lambda t: expand(t).withColumn("context_chars", F.col("context_chars") - 1))
+    assert seen() == {1: (0, 0, 0), None: (0, 0, 0)}
+
+
 def test_url_aliases_of_all_forms(spark):
     refresh = lambda c: f"<meta http-equiv=refresh content={c}>"
     pages = [
