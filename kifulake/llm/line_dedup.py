@@ -106,9 +106,14 @@ def _texts(docs: DataFrame, named: DataFrame) -> DataFrame:
     return _numbered(docs).select("_uid", "_text").join(wanted, "_uid").select(*ID, "first", line.alias("line"))
 
 
+def _place(first: str) -> Column:
+    return F.struct(F.col(first)["doc_id"].alias("doc_id"), F.col(first)["n"].alias("n"))
+
+
 def verdicts(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> DataFrame:
     """A row for each line that isn't blank: _uid, doc_id, n, copy (an equal line came
-    before), near (a line within the edits did), links (texts within the edits)."""
+    before), near (a line within the edits did), links (texts within the edits), first (doc_id
+    and n of its text's first occurrence), others (those of the linked texts; on first occurrences)."""
     lines = _lines(_numbered(docs).select("_uid", "doc_id", "_text"))
     occ = lines.drop("line")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_uid", "n")
@@ -122,22 +127,24 @@ def verdicts(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> D
     a = texts.select(F.col("h1").alias("a"), F.col("h2").alias("a2"), F.col("line").alias("ta"), F.col("first").alias("fa"))
     b = texts.select(F.col("h1").alias("b"), F.col("h2").alias("b2"), F.col("line").alias("tb"), F.col("first").alias("fb"))
     close = pairs.join(a, "a").join(b, "b").where((F.abs(F.char_length("ta") - F.char_length("tb")) <= edits) & (F.levenshtein("ta", "tb", edits) >= 0))
-    ends = F.inline(F.array(F.struct(F.col("a").alias("h1"), F.col("a2").alias("h2"), (F.col("fb") < F.col("fa")).alias("late")), F.struct(F.col("b").alias("h1"), F.col("b2").alias("h2"), (F.col("fa") < F.col("fb")).alias("late"))))
-    linked = close.select(ends).groupBy(*ID).agg(F.count("*").alias("links"), F.bool_or("late").alias("near"))
-    known = first.join(linked, ID, "left").select(*ID, "first", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("near", F.lit(False)).alias("near"))
+    ends = F.inline(F.array(F.struct(F.col("a").alias("h1"), F.col("a2").alias("h2"), (F.col("fb") < F.col("fa")).alias("late"), _place("fb").alias("other")), F.struct(F.col("b").alias("h1"), F.col("b2").alias("h2"), (F.col("fa") < F.col("fb")).alias("late"), _place("fa").alias("other"))))
+    linked = close.select(ends).groupBy(*ID).agg(F.count("*").alias("links"), F.bool_or("late").alias("near"), F.array_sort(F.collect_list("other")).alias("others"))
+    known = first.join(linked, ID, "left").select(*ID, "first", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("near", F.lit(False)).alias("near"), "others")
     same = (F.col("first")["_uid"] == F.col("_uid")) & (F.col("first")["n"] == F.col("n"))
-    return occ.join(known, ID).select("_uid", "doc_id", "n", (~same).alias("copy"), (same & F.col("near")).alias("near"), "links")
+    return occ.join(known, ID).select("_uid", "doc_id", "n", (~same).alias("copy"), (same & F.col("near")).alias("near"), "links", _place("first").alias("first"), F.when(same, F.col("others")).alias("others"))
 
 
 def line_report(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> DataFrame:
     """A row for each document: doc_id, n_lines (that aren't blank), n_copies, n_near, n_links,
-    removed (the numbers, from 0, of the lines that go)."""
+    removed (the numbers, from 0, of the lines that go), members (n, first, others of each line
+    that is a copy or has links: what it is an occurrence of, and on the first occurrence the
+    verified pairs, so each pair is there once from either side)."""
     v = verdicts(docs, edits, shortest)
     goes = F.col("copy") | F.col("near")
-    whole = v.groupBy("_uid").agg(F.count("*").alias("n_lines"), F.count_if(F.col("copy")).alias("n_copies"), F.count_if(F.col("near")).alias("n_near"), F.sum("links").alias("n_links"), F.array_sort(F.collect_list(F.when(goes, F.col("n")))).alias("removed"))
+    whole = v.groupBy("_uid").agg(F.count("*").alias("n_lines"), F.count_if(F.col("copy")).alias("n_copies"), F.count_if(F.col("near")).alias("n_near"), F.sum("links").alias("n_links"), F.array_sort(F.collect_list(F.when(goes, F.col("n")))).alias("removed"), F.array_sort(F.collect_list(F.when(F.col("copy") | (F.col("links") > 0), F.struct("n", "first", "others")))).alias("members"))
     rows = _numbered(docs).select("_uid", "doc_id")
     none = {"n_lines": 0, "n_copies": 0, "n_near": 0, "n_links": 0}
-    return rows.join(whole, "_uid", "left").select("doc_id", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in none], F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
+    return rows.join(whole, "_uid", "left").select("doc_id", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in none], F.coalesce("removed", F.array().cast("array<int>")).alias("removed"), F.coalesce("members", F.array()).alias("members"))
 
 
 def without_repeats(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> DataFrame:

@@ -115,6 +115,14 @@ def test_line_dedup(spark, docs, rows, none):
     assert line_dedup.line_report(none).count() == 0 and line_dedup.without_repeats(none).count() == 0
 
 
+def test_line_report_names_the_pairs(spark, tmp_path):
+    line = "this is one line of boilerplate that many documents share"
+    rows = [(1, line + "\nown text"), (2, "x\n" + line), (3, line.replace("one", "0ne")), (4, line.replace("one", "onee")), (5, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "d.parquet"))
+    got = {r.doc_id: [(m.n, tuple(m.first), None if m.others is None else [tuple(o) for o in m.others]) for m in r.members] for r in line_dedup.line_report(spark.read.parquet(str(tmp_path / "d.parquet"))).collect()}
+    assert got == {1: [(0, (1, 0), [(3, 0), (4, 0)])], 2: [(1, (1, 0), None)], 3: [(0, (3, 0), [(1, 0), (4, 0)])], 4: [(0, (4, 0), [(1, 0), (3, 0)])], 5: []}
+
+
 def test_quality_rules(spark, docs, rows, none):
     labels = spark.createDataFrame([(r[0], int("#" not in (r[1] or "")), 0) for r in rows if r[0] is not None] + [(None, 1, 0), (2, None, 0)], "doc_id long, quality int, toxic int")
     judged = quality_rules.assess(docs, quality_rules.learn(docs, labels))
