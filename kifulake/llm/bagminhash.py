@@ -6,66 +6,61 @@ Jaccard similarity, sum of minima over sum of maxima, is at least ``least``; a c
 connected component of the links, together with all exact copies.
 
 Signatures: a shingle of weight w owns the interval [0, w), cut into blocks [0, 1),
-[1, 2), [2, 4), [4, 8) ... Each block is a Poisson process in time whose points fall on a
-random register and a random place of the block; a point counts if its place is under w,
-which is what a descent through the block's halves decides. A register keeps its earliest
-point, so two multisets agree on a register with a probability of exactly their weighted
-Jaccard similarity. Only points up to a time limit are made, about the same number for
-any document; where a register stays empty, that document runs again with twice the limit.
+[1, 2), [2, 4), [4, 8) ... that double as the levels of a hierarchy do. Each block is a
+Poisson process in time whose points fall on a random register and a random place of the
+block; a point counts if its place is under w (the last block is thinned so, rather than
+halved further). A register keeps its earliest point, so two multisets agree on a register
+with a probability of exactly their weighted Jaccard similarity. Only points up to a time
+limit are made, about the same number for any document; where a register stays empty, that
+document runs again with twice the limit.
 
-63 registers in 21 bands of 3: a pair at 0.8 shares a band but for one in three million.
+100 registers in 20 bands of 5: a pair at 0.8 shares a band but for one in 2,900, one at 0.85
+but for one in 53,000; of pairs at 0.3 one in 20 does, at 0.2 one in 150.
 
 Exact copies collapse first, so a group of a third of all rows is one representative.
-Documents that share a bucket, directly or by others, form a cluster; only inside one can
-there be links. A cluster is dealt at random into blocks of bounded size, and a task gets
-two blocks: it computes all their overlaps at once, as products of shingle-incidence
-matrices, and returns no more links than connect what it found to be connected. A small
-cluster is one block. Of a cluster of more than a few blocks, first the others meet just
-one block; those that this puts into one class are blocks by themselves, which needn't
-meet each other any more. So every pair of a bucket is either verified or in one class.
+The documents of a bucket meet around its first one: all that share a bucket with the same
+first document form a star (small as its members are similar to that document; chains of
+weakly similar documents are many small stars). A star is dealt at random into blocks of
+bounded size, and a task gets two blocks: it computes all their overlaps at once, as
+products of shingle-incidence matrices, and returns no more links than connect what it found
+to be connected. A small star is one block. Of a star of more than a few blocks, first the
+others meet just one block; those that this puts into one class are blocks by themselves,
+which needn't meet each other any more. So every pair of a bucket is either verified or in
+one class. Documents meet in one star each first; then the other stars do, but for those of
+buckets that are one class by then.
 
 Null text counts as empty; texts without a word are copies of each other only if equal.
 Repeated rows are copies. A row keeps its place if no row of its class has a smaller
 (doc_id, place in the table), a null doc_id last. An empty table gives an empty result.
-``docs`` must be read from files: rows are numbered by their place in them.
+Very long texts are taken whole. Rows are told apart as ``common.numbered`` says.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, slices
+from .common import BROADCAST, discard, numbered, parts, saved, small
 from .graph import components
+from .words import hashes, mix
 
-REGISTERS, ROWS = 63, 3
-#: The most documents, and about the most shingles, of a block; blocks beyond which a cluster is done in two steps.
+REGISTERS, ROWS = 100, 5
+#: The most documents, and about the most shingles, of a block; blocks beyond which a star is done in two steps.
 BLOCK, SHINGLES, FEW = 256, 1_000_000, 6
 WORDS = 5
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit numbers that spreads each bit over all (splitmix64)."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def unit(x: np.ndarray) -> np.ndarray:
     """Numbers in (0, 1] from the high bits."""
     return ((x >> np.uint64(11)).astype("f8") + 1) / (1 << 53)
 
 
-def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def shingles(texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text number, shingle, weight) of each distinct shingle of each text, in order."""
-    split = [t.encode().split() for t in texts]
-    sizes = np.array([len(w) for w in split], "i8")
-    every = pa.array([w for ws in split for w in ws], pa.binary()).dictionary_encode()
-    word = np.array([xxhash.xxh64_intdigest(w) for w in every.dictionary.to_pylist()] or [0], "u8")[every.indices.to_numpy()] if len(every) else np.zeros(0, "u8")
+    word, sizes = hashes(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
     n = np.where(sizes >= WORDS, sizes - WORDS + 1, np.minimum(sizes, 1))
     of = np.repeat(np.arange(len(texts)), n)
     at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(np.cumsum(sizes) - sizes, n)
@@ -80,7 +75,7 @@ def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return of[first], key[first], np.diff(np.r_[first, len(of)])
 
 
-def signatures(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def signatures(texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
     """A row of REGISTERS points for each text (zeros: no word), and its total weight."""
     of, key, weight = shingles(texts)
     total = np.bincount(of, weights=weight, minlength=len(texts))
@@ -137,7 +132,7 @@ def similarity(a: str, b: str) -> float:
     return least / (int(weight.sum()) - least)
 
 
-def shingle_sets(texts: list[str]) -> list[bytes]:
+def shingle_sets(texts: pa.Array | list[str]) -> list[bytes]:
     """Each text's multiset as a set of sorted numbers: the k-th copy of a shingle is a number of its own."""
     of, key, weight = shingles(texts)
     more = np.repeat(np.arange(len(key)), weight)
@@ -187,22 +182,23 @@ def spanning(linked: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _bands(docs: DataFrame) -> DataFrame:
-    """uid, weight, key of each band of each document with a word."""
+def _sketches(rows: DataFrame, text: str) -> DataFrame:
+    """f, r, weight, keys (one for each band) of each document with a word."""
 
     def sketch(batches):
-        for part, texts in slices(batches, "text", 2 << 20):
-            made, total = signatures(texts)
-            bands = made.reshape(len(texts), -1, ROWS)
+        for part in parts(batches, "text"):
+            made, total = signatures(part.column("text"))
+            bands = made.reshape(part.num_rows, -1, ROWS)
             keys = np.zeros(bands.shape[:2], "u8")
             for k in range(ROWS):
                 keys = mix((keys + _ODD) ^ bands[:, :, k])
             keys = mix(keys + np.arange(keys.shape[1], dtype="u8"))
-            some, uid = total > 0, part.column("uid").to_numpy()
-            n = keys.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(uid[some], n)), pa.array(np.repeat(total[some].astype("i8"), n)), pa.array(keys[some].ravel().view("i8"))], ["uid", "weight", "key"])
+            some = total > 0
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(some.sum() + 1) * keys.shape[1], pa.int32()), pa.array(keys[some].ravel().view("i8")))
+            at = pa.array(np.flatnonzero(some))
+            yield pa.RecordBatch.from_arrays([part.column("f").take(at), part.column("r").take(at), pa.array(total[some].astype("i8")), lists], ["f", "r", "weight", "keys"])
 
-    return docs.select("uid", "text").mapInArrow(sketch, "uid long, weight long, key long")
+    return rows.select("f", "r", F.col(text).cast("string").alias("text")).mapInArrow(sketch, "f long, r long, weight long, keys array<long>")
 
 
 def _links(members: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
@@ -233,7 +229,7 @@ def _dealt(members: DataFrame, by: list[str], block: int) -> DataFrame:
     return members.join(size, by).withColumn("part", F.pmod(F.xxhash64("uid"), F.col("parts")))
 
 
-def _classes(members: DataFrame, least: float, block: int, few: int) -> DataFrame | None:
+def _classes(members: DataFrame, least: float, block: int, few: int) -> DataFrame:
     """(node, root) of the members that are linked to any. members: cluster, uid, weight, shingles."""
     dealt = saved(_dealt(members, ["cluster"], block).withColumnRenamed("part", "block"), "blocks")
     sizes = dealt.groupBy("cluster").agg(F.max("parts").alias("n"))
@@ -244,6 +240,7 @@ def _classes(members: DataFrame, least: float, block: int, few: int) -> DataFram
     found = saved(components(links), "classes")
     large = sizes.where(F.col("n") > few).select("cluster")
     if not large.limit(1).count():
+        discard(dealt, links)
         return found
     # members of a class that fills a block are dealt among themselves; all others are dealt together
     rest = dealt.join(large, "cluster", "left_semi").drop("block", "part", "parts").join(found.select(F.col("node").alias("uid"), "root"), "uid", "left")
@@ -254,44 +251,62 @@ def _classes(members: DataFrame, least: float, block: int, few: int) -> DataFram
     other = blocks.select(F.col("cluster").alias("c2"), F.col("pure").alias("p2"), F.col("block").alias("j"))
     pairs = blocks.join(other, (F.col("cluster") == F.col("c2")) & (F.col("block") <= F.col("j"))).where((F.col("pure") < 0) | (F.col("pure") != F.col("p2"))).select("cluster", F.col("block").alias("i"), "j")
     more = saved(_links(again, pairs, least), "links")
-    return saved(components(links.union(more)), "classes")
+    out = saved(components(links.union(more)), "classes")
+    discard(dealt, links, found, again, more)
+    return out
 
 
-def _members(docs: DataFrame, least: float, block: int = BLOCK, few: int = FEW) -> DataFrame:
-    """_uid (the row's number), doc_id, class_id, class_size, keep."""
-    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("uid"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
-    hashed = rows.select("uid", "doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
+def _members(docs: DataFrame, least: float, block: int = BLOCK, few: int = FEW) -> tuple[DataFrame, dict[str, str], DataFrame]:
+    """docs numbered, its columns' names there, and f, r, doc_id, class_id, class_size, keep of each row."""
+    rows, at = numbered(docs)
+    doc_id, text = at["doc_id"], at["text"]
+    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    hashed = saved(rows.select(F.monotonically_increasing_id().alias("uid"), "f", "r", F.col(doc_id).alias("doc_id"), F.xxhash64(whole).alias("h1"), F.xxhash64(F.lit(1), whole).alias("h2")), "hashed")
     # the least uid stands for all copies of a text
-    copies = hashed.groupBy("h1", "h2").agg(F.min("uid").alias("rep"))
-    bands = _bands(rows).join(copies.select(F.col("rep").alias("uid")), "uid", "left_semi")
-    bands = saved(bands, "bands")
+    copies = saved(hashed.groupBy("h1", "h2").agg(F.min("uid").alias("rep")), "copies")
+    firsts = hashed.join(copies.select(F.col("rep").alias("uid")), "uid", "left_semi").select("uid", "f", "r")
+    repeats = hashed.join(copies.select(F.col("rep").alias("uid")), "uid", "left_anti").select("f", "r")
+    # few copies are left out of the sketching; many cost more to find there than to sketch
+    few_repeats = repeats.limit(BROADCAST + 1).count() <= BROADCAST
+    once = rows.join(F.broadcast(repeats), ["f", "r"], "left_anti") if few_repeats else rows
+    sketched = saved(_sketches(once, text).join(firsts, ["f", "r"]).select("uid", "f", "r", "weight", "keys"), "sketches")
+    bands = sketched.select("uid", F.explode("keys").alias("key"))
     often = bands.groupBy("key").agg(F.count("*").alias("n"), F.min("uid").alias("first")).where("n > 1").select("key", "first")
-    near = bands.join(often, "key").select("uid", "first").distinct()
-    clusters = saved(components(near, "uid", "first"), "clusters")
+    near = saved(bands.join(often, "key"), "near")  # key, uid, first
     names = copies
-    if clusters.limit(1).count():
-        weights = bands.groupBy("uid").agg(F.min("weight").alias("weight"))
-        wanted = clusters.join(weights, F.col("node") == F.col("uid")).select("uid", F.col("root").alias("cluster"), "weight")
+    if near.limit(1).count():
+        wanted = sketched.join(near.select("uid").distinct(), "uid", "left_semi").select("uid", "f", "r", "weight")
 
         def prepare(batches):
-            for part, texts in slices(batches, "text", 2 << 20):
-                yield pa.RecordBatch.from_arrays([part.column("uid"), part.column("cluster"), part.column("weight"), pa.array(shingle_sets(texts), pa.binary())], ["uid", "cluster", "weight", "shingles"])
-
-        members = rows.select("uid", "text").join(wanted, "uid").select("uid", "cluster", "weight", "text").mapInArrow(prepare, "uid long, cluster long, weight long, shingles binary")
-        found = _classes(members, least, block, few)
+            for part in parts(batches, "text"):
+                yield pa.RecordBatch.from_arrays([part.column("uid"), part.column("weight"), pa.array(shingle_sets(part.column("text")), pa.binary())], ["uid", "weight", "shingles"])
+
+        texts = rows.select("f", "r", F.col(text).cast("string").alias("text")).join(small(wanted), ["f", "r"]).select("uid", "weight", "text")
+        sets = saved(texts.mapInArrow(prepare, "uid long, weight long, shingles binary"), "sets")
+        meet = lambda stars: _classes(sets.join(stars, "uid").select(F.col("first").alias("cluster"), "uid", "weight", "shingles"), least, block, few)
+        # each document's first star finds most classes; the other stars of a bucket that is one class by then have nothing to add
+        found = meet(near.groupBy("uid").agg(F.min("first").alias("first")))
+        classed = near.join(found, near["uid"] == found["node"], "left").withColumn("class", F.coalesce("root", "uid"))
+        open_keys = classed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("key")
+        rest = saved(near.join(open_keys, "key", "left_semi").select("uid", "first").distinct(), "rest")
+        if rest.limit(1).count():
+            found = saved(components(found.union(meet(rest)), "node", "root"), "classes")
+        discard(sets, rest)
         names = copies.join(found, copies["rep"] == found["node"], "left").select("h1", "h2", F.coalesce("root", "rep").alias("rep"))
-    of = saved(hashed.join(names, ["h1", "h2"]).select("uid", "doc_id", "rep"), "members")
+    of = saved(hashed.join(names, ["h1", "h2"]).select("uid", "f", "r", "doc_id", "rep"), "members")
+    discard(hashed, copies, sketched, near)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")
-    whole = of.groupBy("rep").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"), F.min(order)["uid"].alias("kept"))
-    return of.join(whole, "rep").select(F.col("uid").alias("_uid"), "doc_id", "class_id", "class_size", (F.col("uid") == F.col("kept")).alias("keep"))
+    group = of.groupBy("rep").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"), F.min(order)["uid"].alias("kept"))
+    return rows, at, of.join(group, "rep").select("f", "r", "doc_id", "class_id", "class_size", (F.col("uid") == F.col("kept")).alias("keep"))
 
 
 def near_classes(docs: DataFrame, least: float = 0.8, block: int = BLOCK, few: int = FEW) -> DataFrame:
     """doc_id, class_id (its class's smallest doc_id), class_size, keep of every row."""
-    return _members(docs, least, block, few).drop("_uid")
+    return _members(docs, least, block, few)[2].drop("f", "r")
 
 
 def one_of_each(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """The rows that their classes keep, with all columns."""
-    kept = _members(docs, least).where("keep").select(F.col("_uid").alias("_kept"))
-    return docs.withColumn("_uid", F.monotonically_increasing_id()).join(kept, F.col("_uid") == F.col("_kept"), "left_semi").drop("_uid")
+    rows, at, members = _members(docs, least)
+    left = rows.join(small(members.where("not keep").select("f", "r")), ["f", "r"], "left_anti")
+    return left.select(*[F.col(c).alias(n) for n, c in at.items()])

@@ -4,59 +4,96 @@ A text is its words ([^\x20\x09-\x0D]+, A-Z lower-cased) and one end token. The
 P(w | before) = P(class(w) | class(before)) * P(w | class(w)); a text starts after an end.
 
 Learning, over all training texts:
-1. token counts: counted in each task, combined by a shuffle on the token (one row for
-   each token and task, not for each occurrence), kept as a table; bigram counts likewise;
-2. exchange clustering of the ``core`` most frequent tokens on their bigram counts: each
-   in turn goes to the class that raises the class-bigram likelihood most. This is where
-   the classes start, not what they end as;
-3. batch exchange rounds over the whole vocabulary, the core's included: the classes of a
-   token's neighbours are counted over all its bigrams, and it goes to the class that these
-   make likeliest. In the first round the core's classes alone are known; ``rounds`` follow
-   with all of them, as long as the class-bigram likelihood rises, and the best are kept;
+1. token counts: counted in each task, combined by a shuffle on the token (one row for each
+   token and a few million tokens of text), kept as a table;
+2. exchange clustering of the ``core`` most frequent tokens on their bigram counts: each in
+   turn goes to the class that raises the class-bigram likelihood most. This is where the
+   classes start, not what they end as;
+3. batch exchange rounds over all tokens seen ``least`` times or more, the core's included:
+   the classes of a token's neighbours are counted, and it goes to the class that these make
+   likeliest. In the first round the core's classes alone are known; ``rounds`` follow with
+   all of them. Of these the classes with the highest class-bigram likelihood are kept;
 4. class transitions and sizes, counted over all texts.
-A token that no training text holds has no evidence: it goes to the class that holds most
-frequent tokens with its last two bytes (its last byte, then any).
-Both factors are smoothed: transitions towards the class unigram, emissions by adding one
-to each token of a class and to one unknown token.
+Tokens seen less often are a class of their own, and so is any that no training text holds:
+what is known of the one kind is the best guess at the other. Both factors are smoothed:
+transitions towards the class unigram, emissions by adding one to each token of a class and
+to one unknown token.
 
-``hot`` bounds what is broadcast and nothing else: the classes of that many frequent tokens
-are looked up in a broadcast table, the others' come from a join on the token. These tables
-are salted by nothing but the token: a rare token is by definition below the hot ones'
-counts, so no single one can hold a large share.
+Tokens are told apart by 64-bit numbers (``words.hashes``). ``hot`` bounds what is broadcast
+(17 bytes a token) and nothing else: the classes of that many frequent tokens are looked up
+in sorted arrays, the others' come from joins on the token. A token outside the hot ones holds
+less than 1 in ``hot`` of all tokens (held-out texts count there), so no join has a hot key.
+Counts of the most frequent tokens are summed up over a whole task before they are shuffled.
 
 Null text counts as empty (an end token alone), a null doc_id is in no held-out fold;
-repeated rows are scored each; an empty table gives an empty result; other columns are
-ignored.
+repeated rows are scored each; an empty table gives an empty result; a very long text is one
+row like any other; other columns are ignored. Ties between classes go to the lower one.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, saved, slices
+from .common import discard, offsets, parts, saved
+from .words import hashes
 
-END = b"\n"
+#: The numbers of the end token and of all tokens seen too rarely to be told apart.
+END, RARE = -0x5DEECE66D0000001, -0x5DEECE66D0000002
 #: The fold that is held out.
 FOLDS, HELD_OUT = 7, 2
+#: Tokens of text that are counted together, and tokens whose neighbours are counted over a whole task.
+GROUP, DENSE = 2_500_000, 4_096
+#: Of a neighbour's class and its count in one number: the bits of the count.
+BITS = 24
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(False))
 
 
-def tokens(texts: list[str]) -> tuple[pa.DictionaryArray, np.ndarray]:
-    """The tokens of all texts in a row, and how many each text has."""
-    split = [t.encode().lower().split() for t in texts]  # bytes: just A-Z and the six ASCII blanks
-    for words in split:
-        words.append(END)
-    return pa.array([w for ws in split for w in ws], pa.binary()).dictionary_encode(), np.array([len(ws) for ws in split], "i8")
+def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens' numbers of all texts in a row, and how many each text has."""
+    words, n = hashes(texts, fold=True)
+    out = np.empty(len(words) + len(n), "i8")
+    is_end = np.zeros(len(out), bool)
+    is_end[np.cumsum(n + 1) - 1] = True
+    out[is_end], out[~is_end] = END, words.view("i8")
+    return out, n + 1
+
+
+def coded(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct numbers, and of each number its place among them."""
+    found = pa.array(numbers).dictionary_encode()
+    return found.dictionary.to_numpy(), found.indices.to_numpy().astype("i8")  # products of places must not overflow
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """tokens() of some millions of tokens at a time."""
+    held, n = [], 0
+    for part in parts(batches, "text"):
+        held.append(tokens(part.column("text")))
+        n += len(held[-1][0])
+        if n >= GROUP:
+            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+            held, n = [], 0
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
+def previous(ids: np.ndarray, sizes: np.ndarray, first: int) -> np.ndarray:
+    """What stands before each token of its text; first: before a text's first."""
+    out = np.empty_like(ids)
+    out[1:] = ids[:-1]
+    if len(sizes):
+        out[np.cumsum(sizes) - sizes] = first
+    return out
 
 
 def xlogx(x: np.ndarray) -> np.ndarray:
@@ -113,185 +150,328 @@ def exchange(bigrams: np.ndarray, classes: int, sweeps: int = 8) -> np.ndarray:
 
 @dataclass
 class Model:
-    """What a worker needs: bounded by ``hot`` and the number of classes."""
+    """What a worker needs: bounded by ``hot`` and the number of classes. The class k - 1 is that of rare tokens."""
 
-    words: list[bytes]  # frequent tokens, the most frequent first
+    words: np.ndarray  # frequent tokens' numbers, ascending
     counts: np.ndarray
-    of: np.ndarray  # their classes
-    endings: dict[bytes, int] = field(default_factory=dict)
+    of: np.ndarray  # their classes; -1: none yet
+    k: int
+    complete: bool  # whether all tokens that have a class of their own are among these
+    total: int = 0
+    distinct: int = 0
     moves: np.ndarray | None = None  # log10 P(class | class before)
     sizes: np.ndarray | None = None  # tokens of each class
     kinds: np.ndarray | None = None  # distinct tokens of each class
-    total: int = 0
-    distinct: int = 0
-
-    table: DataFrame | None = None  # word, c, of for the whole vocabulary; the driver's alone
 
-    def __post_init__(self):
-        self.at = {w: i for i, w in enumerate(self.words)}
-
-    def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("at", "table")}
-
-    def __setstate__(self, state):
-        self.__dict__.update(state, table=None)
-        self.__post_init__()
-
-    def tail(self, word: bytes) -> int:
-        """The class of a token that no training text holds."""
-        found = self.endings.get(word[-2:])
-        if found is None:
-            found = self.endings.get(word[-1:])
-        return self.endings[b""] if found is None else found
-
-    def frequent(self, names: list[bytes]) -> np.ndarray:
-        """Of distinct tokens: the place among the frequent ones (-1: none)."""
-        return np.fromiter((self.at.get(w, -1) for w in names), "i8", len(names))
-
-    def classes(self, names: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """On the driver, of a few distinct tokens: the place among the frequent ones and the class."""
-        at = self.frequent(names)
-        of = np.where(at >= 0, self.of[at], 0)
-        rest = [names[i] for i in np.flatnonzero(at < 0)]
-        found = {bytes(r["word"]): r["of"] for r in self.table.where(F.col("word").isin([bytearray(w) for w in rest])).collect()} if rest and self.table is not None else {}
-        for i in np.flatnonzero(at < 0):
-            of[i] = found[names[i]] if names[i] in found else self.tail(names[i])
-        return at, of
+    def places(self, names: np.ndarray) -> np.ndarray:
+        """Of each token its place among the frequent ones; -1: it isn't one."""
+        at = np.minimum(np.searchsorted(self.words, names), len(self.words) - 1)
+        return np.where(self.words[at] == names, at, -1)
 
     def end(self) -> int:
-        return int(self.of[self.at[END]])
-
-
-def _previous(ids: np.ndarray, sizes: np.ndarray, first: int) -> np.ndarray:
-    """What stands before each token of its text; first: before a text's first."""
-    out = np.empty_like(ids)
-    out[1:] = ids[:-1]
-    if len(sizes):
-        out[np.cumsum(sizes) - sizes] = first
-    return out
+        return int(self.of[self.places(np.array([END]))[0]])
 
 
-def token_counts(training: DataFrame) -> DataFrame:
-    """word (binary), c."""
+def token_counts(docs: DataFrame) -> DataFrame:
+    """docs: text, training. word, c (in training texts), seen (in all)."""
 
     def count(batches):
-        held: dict[bytes, int] = {}
-        for _, texts in slices(batches, "text", 4 << 20):
-            both = pc.value_counts(tokens(texts)[0])
-            for w, n in zip(both.field(0).dictionary_decode().to_pylist() if pa.types.is_dictionary(both.field(0).type) else both.field(0).to_pylist(), both.field(1).to_pylist(), strict=True):
-                held[w] = held.get(w, 0) + n
-            if len(held) > 400_000:
-                yield from rows(held)
-                held = {}
-        yield from rows(held)
+        held, size = [], 0
+
+        def summed():
+            words, c, seen = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(words)
+            words, c, seen = words[order], c[order], seen[order]
+            starts = np.flatnonzero(np.r_[True, words[1:] != words[:-1]])
+            return words[starts], np.add.reduceat(c, starts), np.add.reduceat(seen, starts)
 
-    def rows(held):
-        words, n = list(held), list(held.values())
-        for i in range(0, len(words), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(words[i : i + 50_000], pa.binary()), pa.array(n[i : i + 50_000], pa.int64())], ["word", "n"])
+        def rows():
+            for i in range(0, len(held[0][0]), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000]) for x in held[0]], ["word", "c", "seen"])
+
+        for part in parts(batches, "text"):
+            numbers, sizes = tokens(part.column("text"))
+            names, at = coded(numbers)
+            training = np.repeat(part.column("training").to_numpy(zero_copy_only=False).astype(bool), sizes)
+            held.append((names, np.bincount(at[training], minlength=len(names)), np.bincount(at, minlength=len(names))))
+            size += len(names)
+            if size > 1 << 21:
+                held[:] = [summed()]
+                size = len(held[0][0])
+                if size > 1 << 20:
+                    yield from rows()
+                    held, size = [], 0
+        if held:
+            held[:] = [summed()]
+            yield from rows()
 
-    return training.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
+    return docs.mapInArrow(count, "word long, c long, seen long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("seen").alias("seen"))
 
 
 def _least_frequent(counts: DataFrame, hot: int) -> int:
     """The least count that at most ``hot`` tokens reach. A top-k would send each task's own
     top to the driver; this sums up by count, of which there are at most sqrt(2 N)."""
-    each = counts.groupBy("c").agg(F.count("*").alias("n"))
-    reached = each.selectExpr("c", "sum(n) over (order by c desc rows unbounded preceding) as reached")
-    found = reached.where(F.col("reached") <= hot).agg(F.min("c")).first()[0]
+    each = counts.groupBy("seen").agg(F.count("*").alias("n"))
+    reached = each.selectExpr("seen", "sum(n) over (order by seen desc rows unbounded preceding) as reached")
+    found = reached.where(F.col("reached") <= hot).agg(F.min("seen")).first()[0]
     return found if found is not None else 1 << 62
 
 
-def bigram_counts(texts: DataFrame, frequent: list[bytes]) -> DataFrame:
-    """a, b (binary), whether each is among the frequent, and n."""
-    shared = texts.sparkSession.sparkContext.broadcast(frozenset(frequent))
+def _core_bigrams(training: DataFrame, core: np.ndarray) -> np.ndarray:
+    """How often each of the core tokens stands before each."""
+    order = np.argsort(core)
+    shared = training.sparkSession.sparkContext.broadcast((core[order], order))
+    n = len(core)
 
     def count(batches):
-        ids: dict[bytes, int] = {}
-        held, size = [], 0
+        names_of, place = shared.value
+        out = np.zeros(n * n, "i8")
+        for numbers, sizes in _groups(batches):
+            names, at = coded(numbers)
+            found = np.minimum(np.searchsorted(names_of, names), n - 1)
+            mine = np.where(names_of[found] == names, place[found], -1)
+            here = mine[at]
+            before = previous(here, sizes, int(mine[names == END][0]))
+            both = (here >= 0) & (before >= 0)
+            out += np.bincount(before[both] * n + here[both], minlength=n * n)
+        some = np.flatnonzero(out)
+        for i in range(0, len(some), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(some[i : i + 100_000]), pa.array(out[some[i : i + 100_000]])], ["cell", "n"])
+
+    found = training.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # core * core rows at most
+    out = np.zeros(n * n)
+    out[found["cell"].to_numpy()] = found["n"].to_numpy()
+    return out.reshape(n, n)
+
+
+def _entries(side: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in the input, number) of as many numbers as hold each side with its count."""
+    most = (1 << BITS) - 1
+    times = np.maximum(1, -(-n // most))
+    at = np.repeat(np.arange(len(n)), times)
+    first = np.r_[True, at[1:] != at[:-1]] if len(at) else np.zeros(0, bool)
+    count = np.where(first, n[at] - (times[at] - 1) * most, most)
+    return at, (side[at] << BITS | count).astype(">u4")
+
+
+def neighbours(training: DataFrame, model: Model) -> DataFrame:
+    """word, blob: the classes of a token's neighbours (before it, or after it and then with k
+    added) with their counts. Where the neighbour isn't a frequent token, beside is that
+    token, blob is null, side 0 or k, and n the count. Neighbours without a class don't count."""
+    shared = training.sparkSession.sparkContext.broadcast(model)
 
-        def summed():
-            keys, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.argsort(keys, kind="stable")
-            keys, n = keys[order], n[order]
-            starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-            return keys[starts], np.add.reduceat(n, starts)
+    def count(batches):
+        m = shared.value
+        k, dense = m.k, min(DENSE, len(m.words))
+        slots = np.full(len(m.words), -1)
+        top = np.argsort(-m.counts, kind="stable")[:dense]
+        slots[top] = np.arange(dense)
+        whole = np.zeros(dense * 2 * k, "i8")
+
+        def rows(word, side, n):
+            """Of sorted words."""
+            at, entries = _entries(side, n)
+            cuts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]]) if len(word) else np.zeros(0, "i8")
+            ends = np.searchsorted(at, np.r_[cuts, len(word)])
+            names, raw = word[cuts], entries.tobytes()
+            for i in range(0, len(names), 50_000):
+                some = ends[i : i + 50_001]
+                blob = pa.Array.from_buffers(pa.binary(), len(some) - 1, [None, pa.py_buffer((4 * (some - some[0])).astype("i4").tobytes()), pa.py_buffer(raw[4 * some[0] : 4 * some[-1]])])
+                none = pa.nulls(len(blob), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(names[i : i + 50_000]), blob, none, pa.nulls(len(blob), pa.int32()), none], ["word", "blob", "beside", "side", "n"])
+
+        for numbers, sizes in _groups(batches):
+            names, at = coded(numbers)
+            place = m.places(names)
+            of = np.where(place >= 0, m.of[place], k - 1 if m.complete else -2)
+            first = int(np.flatnonzero(names == END)[0])
+            before = previous(at, sizes, first)
+            if m.complete:  # tokens that aren't frequent are all rare ones
+                alias = np.where(place >= 0, np.arange(len(names)), len(names))
+                titles = np.r_[names, RARE]
+            else:
+                alias, titles = np.arange(len(names)), names
+            slot = np.r_[np.where(place >= 0, slots[place], -1), -1]
+            for word, beside, shift in ((at, before, 0), (before, at, k)):
+                cls, mine = of[beside], slot[alias[word]]
+                known = cls >= 0
+                often = known & (mine >= 0)
+                whole += np.bincount(mine[often] * 2 * k + cls[often] + shift, minlength=len(whole))
+                rest = known & (mine < 0)
+                keys, n = np.unique(alias[word[rest]] * (2 * k) + cls[rest] + shift, return_counts=True)
+                yield from rows(titles[keys // (2 * k)], keys % (2 * k), n)
+                if not m.complete:
+                    asked = cls == -2
+                    keys, n = np.unique(word[asked] * len(names) + beside[asked], return_counts=True)
+                    again, number = _entries(np.zeros(len(n), "i8"), n)
+                    left = [names[keys[again] // len(names)], pa.nulls(len(again), pa.binary()), names[keys[again] % len(names)], np.full(len(again), shift, "i4"), number.astype("i8")]
+                    for i in range(0, len(again), 100_000):
+                        yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000]) if isinstance(x, np.ndarray) else x[i : i + 100_000] for x in left], ["word", "blob", "beside", "side", "n"])
+        some = np.flatnonzero(whole)
+        yield from rows(m.words[top][some // (2 * k)], some % (2 * k), whole[some])
+
+    return training.mapInArrow(count, "word long, blob binary, beside long, side int, n long")
+
+
+def class_bigrams(training: DataFrame, now: DataFrame, model: Model) -> np.ndarray:
+    """How often each class stands before each."""
+    shared, k = training.sparkSession.sparkContext.broadcast(model), model.k
 
-        def rows():
-            keys, n = held[0]
-            words = pa.array(list(ids), pa.binary())
-            hot = pa.array(np.fromiter((w in shared.value for w in ids), "?", len(ids)))
-            for i in range(0, len(keys), 100_000):
-                a, b = pa.array(keys[i : i + 100_000] >> 32), pa.array(keys[i : i + 100_000] & 0xFFFFFFFF)
-                yield pa.RecordBatch.from_arrays([words.take(a), words.take(b), hot.take(a), hot.take(b), pa.array(n[i : i + 100_000])], ["a", "b", "a_hot", "b_hot", "n"])
-
-        for _, part in slices(batches, "text", 4 << 20):
-            found, sizes = tokens(part)
-            names = found.dictionary.to_pylist()
-            at = np.fromiter((ids.setdefault(w, len(ids)) for w in names), "i8", len(names))[found.indices.to_numpy()]
-            first = ids.setdefault(END, len(ids))
-            held.append(np.unique((_previous(at, sizes, first) << 32) | at, return_counts=True))
-            size += len(held[-1][0])
-            if size > 1 << 21:
-                held[:] = [summed()]
-                size = len(held[0][0])
-                if size > 1 << 20 or len(ids) > 400_000:
-                    yield from rows()
-                    ids, held, size = {}, [], 0
-        if held:
-            held[:] = [summed()]
-            yield from rows()
+    def count(batches):
+        m, whole = shared.value, np.zeros(k * k, "i8")
+        for numbers, sizes in _groups(batches):
+            names, at = coded(numbers)
+            place = m.places(names)
+            of = np.where(place >= 0, m.of[place], k - 1 if m.complete else -1)
+            before = previous(at, sizes, int(np.flatnonzero(names == END)[0]))
+            x, y = of[before], of[at]
+            known = (x >= 0) & (y >= 0)
+            whole += np.bincount(x[known] * k + y[known], minlength=k * k)
+            keys, n = np.unique(before[~known] * len(names) + at[~known], return_counts=True)
+            yield from _open_pairs(names, of, keys // len(names), keys % len(names), n)
+        cells = np.flatnonzero(whole)
+        none = pa.nulls(len(cells), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, pa.array((cells // k).astype("i4")), none, pa.array((cells % k).astype("i4")), pa.array(whole[cells])], ["a", "a_of", "b", "b_of", "n"])
+
+    rows = training.mapInArrow(count, "a long, a_of int, b long, b_of int, n long")
+    if not model.complete:
+        rows = _classed(rows, now)
+    out = np.zeros((k, k))
+    for r in rows.groupBy("a_of", "b_of").agg(F.sum("n").alias("n")).collect():  # classes * classes rows at most
+        out[r["a_of"], r["b_of"]] = r["n"]
+    return out
 
-    found = texts.mapInArrow(count, "a binary, b binary, a_hot boolean, b_hot boolean, n long")
-    return found.groupBy("a", "b").agg(F.any_value("a_hot").alias("a_hot"), F.any_value("b_hot").alias("b_hot"), F.sum("n").alias("n"))
 
+def _open_pairs(names: np.ndarray, of: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows a, a_of, b, b_of, n of neighbours: a token's number where its class isn't known, else its class."""
+    for i in range(0, len(a), 100_000):
+        x, y = a[i : i + 100_000], b[i : i + 100_000]
+        columns = [pa.array(z, mask=gone) for w in (x, y) for z, gone in ((names[w], of[w] >= 0), (of[w].astype("i4"), of[w] < 0))]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(n[i : i + 100_000])], ["a", "a_of", "b", "b_of", "n"])
+
+
+def _classed(rows: DataFrame, now: DataFrame) -> DataFrame:
+    """rows (a, a_of, b, b_of, ...) with a_of and b_of looked up where they are null; a null token matches nothing."""
+    for x in ("a", "b"):
+        of = now.select(F.col("word").alias(x), F.col("of").alias("found"))
+        rows = rows.join(of, x, "left").withColumn(f"{x}_of", F.coalesce(f"{x}_of", "found")).drop("found")
+    return rows
+
+
+def _round(training: DataFrame, now: DataFrame, model: Model, pair: np.ndarray, size: np.ndarray, least: int) -> DataFrame:
+    """The table (word, c, seen, of) with each token seen often enough in the class that its
+    neighbours' classes make likeliest, given how often classes follow each other. A token
+    without neighbours that have a class goes to the largest class."""
+    k = model.k
+    counted, none = neighbours(training, model), F.lit(None)
+    if not model.complete:
+        counted = saved(counted, "neighbours")  # read twice
+    rows = counted.where("blob is not null").select("word", "blob")
+    if not model.complete:
+        of = now.select(F.col("word").alias("beside"), "of").where("of >= 0")
+        asked = counted.where("blob is null").drop("blob").join(of, "beside")
+        number = F.shiftleft((F.col("of") + F.col("side")).cast("long"), BITS) + F.col("n")
+        rows = rows.union(asked.select("word", F.unhex(F.lpad(F.hex(number), 8, "0"))))
+    rows = rows.select("word", "blob", *[none.cast(t).alias(x) for x, t in (("c", "long"), ("seen", "long"), ("of", "int"))])
+    rows = rows.union(now.select("word", none.cast("binary"), "c", "seen", "of"))
+    grouped = rows.repartition("word").sortWithinPartitions("word", F.col("c").desc_nulls_last())
+    soft = pair + 0.1
+    follows, large, most = np.log(soft / soft.sum(axis=1, keepdims=True)), np.log(size + 1.0), int(size[: k - 1].argmax())
 
-def learn(training: DataFrame, hot: int = 200_000, core: int = 1_000, classes: int = 64, sweeps: int = 8, rounds: int = 2) -> tuple[Model | None, DataFrame]:
-    """The model and the table of all tokens (word, c, of); None: no training text."""
-    spark = training.sparkSession
-    counts = saved(token_counts(training), "counts")
-    total, distinct = counts.agg(F.sum("c"), F.count("*")).first()
+    def place(batches):
+        for word, c, seen, n in _words(batches, k):
+            gain = (n[:, :k] @ follows + n[:, k:] @ follows.T - (n.sum(axis=1) / 2)[:, None] * large)[:, : k - 1]
+            top = gain.max(axis=1, keepdims=True)
+            new = (gain >= top - 1e-9 * (1 + np.abs(top))).argmax(axis=1)  # ties keep the lower class, however sums are rounded
+            new = np.where(n.any(axis=1), new, most)
+            new = np.where((c >= least) | (word == END), new, k - 1)
+            own = word != RARE
+            yield pa.RecordBatch.from_arrays([pa.array(x[own]) for x in (word, c, seen, new.astype("i4"))], ["word", "c", "seen", "of"])
+
+    after = saved(grouped.mapInArrow(place, "word long, c long, seen long, of int"), "classes")
+    if not model.complete:
+        discard(counted)
+    return after
+
+
+def _words(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(word, c, seen, counts of its neighbours' classes) of rows sorted by word, of which the
+    first has c and seen; a word's rows may go on in later batches."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        word = batch.column("word").to_numpy()
+        starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+        number = np.cumsum(np.r_[False, word[1:] != word[:-1]])
+        blobs = batch.column("blob").fill_null(b"") if batch.column("blob").null_count else batch.column("blob")
+        cuts = offsets(blobs).astype("i8")
+        entries = np.frombuffer(blobs.buffers()[2] or b"", ">u4", (cuts[-1] - cuts[0]) // 4, cuts[0]).astype("i8") if cuts[-1] > cuts[0] else np.zeros(0, "i8")
+        owner = np.repeat(number, np.diff(cuts) // 4)
+        n = np.bincount(owner * 2 * k + (entries >> BITS), weights=entries & ((1 << BITS) - 1), minlength=len(starts) * 2 * k).reshape(-1, 2 * k)
+        now = [word[starts], *(batch.column(x).fill_null(0).to_numpy()[starts].copy() for x in ("c", "seen")), n]
+        if held is not None:
+            if held[0][0] == now[0][0]:
+                now[1][0], now[2][0] = held[1][0], held[2][0]
+                now[3][0] += held[3][0]
+            else:
+                yield tuple(held)
+        held = [x[-1:] for x in now]
+        yield tuple(x[:-1] for x in now)
+    if held is not None:
+        yield tuple(held)
+
+
+def learn(docs: DataFrame, training: Column | None = None, hot: int = 2_000_000, core: int = 1_000, classes: int = 64, sweeps: int = 8, rounds: int = 2, least: int = 2) -> tuple[Model | None, DataFrame]:
+    """The model and the table of all tokens (word, c, seen, of). training: which rows it
+    learns from (all); the others only count for what is broadcast. None: no training text."""
+    spark = docs.sparkSession
+    training = F.lit(True) if training is None else training
+    rows = docs.select(docs["text"].cast("string").alias("text"), training.alias("training"))
+    counts = saved(token_counts(rows), "counts")
+    total, distinct = counts.where("c > 0").agg(F.sum("c"), F.count("*")).first()
     if not total:
         return None, counts.withColumn("of", F.lit(0))
-    is_hot = (F.col("c") >= _least_frequent(counts, hot)) | (F.col("word") == F.lit(END))
-    top = counts.where(is_hot).toPandas()  # hot + 1 rows at most
-    top = sorted(zip(top["c"].to_numpy("i8").tolist(), map(bytes, top["word"]), strict=True), key=lambda x: (-x[0], x[1]))
-    words, c = [w for _, w in top], np.array([n for n, _ in top], "i8")
-    core = min(core, len(words))
-    bigrams = saved(bigram_counts(training.select("text"), words), "bigrams")
-    at = {w: i for i, w in enumerate(words[:core])}
-    named = F.broadcast(spark.createDataFrame([(bytearray(w), i) for w, i in at.items()], "word binary, i long"))
-    found = bigrams.where("a_hot and b_hot").join(named.toDF("a", "ia"), "a").join(named.toDF("b", "ib"), "b").select("ia", "ib", "n").toPandas()  # core * core rows at most
-    inner = np.zeros((core, core))
-    inner[found["ia"].to_numpy("i8"), found["ib"].to_numpy("i8")] = found["n"].to_numpy("f8")
-    start = exchange(inner, min(classes, core), sweeps)
-    k = int(start.max()) + 1
+    rows = rows.where("training").select("text")
+    cut = _least_frequent(counts, hot)
+    is_hot = (F.col("seen") >= cut) | (F.col("word") == END)
+    top = counts.where(is_hot).toArrow().sort_by("word")  # hot + 1 rows at most
+    words, c = top["word"].to_numpy(), top["c"].to_numpy()
+    complete = counts.where(~is_hot & (F.col("c") >= least)).limit(1).count() == 0
+    order = np.lexsort((words, -c))[:core]
+    order = order[c[order] > 0]
+    inner = _core_bigrams(rows, words[order])
+    start = exchange(inner, min(classes, len(order)), sweeps)
+    k = int(start.max()) + 2
+    of = np.where((c < least) & (words != END), k - 1, -1).astype("i4")
+    of[order] = start
+    model = Model(words, c, of, k, complete, total, distinct)
     member = np.eye(k)[start]
-    of = spark.createDataFrame([(bytearray(w), int(start[i])) for w, i in at.items()], "word binary, of int")
-    now = saved(counts.join(F.broadcast(of), "word", "left").select("word", "c", "of", is_hot.alias("hot")), "classes")
-    pair, size = member.T @ inner @ member, np.bincount(start, weights=c[:core], minlength=k)
-    now, _ = _round(now, bigrams, pair, size, k)
+    pair, size = member.T @ inner @ member, np.bincount(start, weights=c[order], minlength=k)
+    table = counts.where("c > 0").withColumn("of", F.when((F.col("c") < least) & (F.col("word") != END), k - 1).otherwise(-1))
+    known = spark.createDataFrame(pa.table({"word": words[order], "start": start.astype("i4")}))
+    table = table.join(F.broadcast(known), "word", "left").select("word", "c", "seen", F.coalesce("start", "of").alias("of"))
     best = None
-    for i in range(rounds + 1):
-        size = _sizes(now, k)[1]
-        after, pair = _round(now, bigrams, None, size, k, last=i == rounds)
-        likely = float(xlogx(pair).sum() - xlogx(pair.sum(axis=0)).sum() - xlogx(pair.sum(axis=1)).sum())
+    for _ in range(rounds + 1):
+        after = _round(rows, table, model, pair, size, least)
+        placed = after.where(is_hot).select("word", "of").toArrow()
+        of = np.full(len(words), k - 1, "i4")
+        of[np.searchsorted(words, placed["word"].to_numpy())] = placed["of"].to_numpy()
+        model = Model(words, c, of, k, complete, total, distinct)
+        pair = class_bigrams(rows, after, model)
+        model.kinds, model.sizes = _sizes(after, k)
+        likely = float(xlogx(pair).sum() - xlogx(pair.sum(axis=0)).sum() - xlogx(pair.sum(axis=1)).sum() + 0.0)
+        table, size = after, model.sizes
         if best is not None and likely <= best[0]:
+            discard(after)
             break
         if best is not None:
-            discard(best[1])
-        best = likely, now, pair
-        now = after
-    _, now, pair = best
-    discard(bigrams)
-    table = now.select("word", "c", "of")
-    held = {bytes(w): x for w, x in now.where("hot").select("word", "of").toPandas().itertuples(index=False)}
-    model = Model(words, c, np.array([held[w] for w in words], "i8"), total=total, distinct=distinct, table=table)
-    _endings(model)
-    model.kinds, model.sizes = _sizes(now, k)
-    share = (model.sizes + 1) / (model.sizes.sum() + k)
-    model.moves = np.log10((pair + 2.0 * share) / (pair.sum(axis=1, keepdims=True) + 2.0))
-    return model, table
+            discard(best[2])
+        share = (model.sizes + 1) / (model.sizes.sum() + k)
+        model.moves = np.log10((pair + 2.0 * share) / (pair.sum(axis=1, keepdims=True) + 2.0))
+        best = likely, model, after
+    unseen = counts.where("c = 0").withColumn("of", F.lit(k - 1))
+    return best[1], best[2].union(unseen)
 
 
 def _sizes(now: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -302,149 +482,74 @@ def _sizes(now: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     return kinds, n
 
 
-def _round(now: DataFrame, bigrams: DataFrame, pair: np.ndarray | None, size: np.ndarray, k: int, last: bool = False) -> tuple[DataFrame | None, np.ndarray]:
-    """The table (word, c, of, hot) with each token in the class that its neighbours' classes
-    make likeliest, and the bigrams of the classes as they were. Neighbours whose class is
-    null don't count; a token without any other goes to the largest class.
+def score(docs: DataFrame, model: Model | None, table: DataFrame) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity of every row.
 
-    pair: what classes are likely after each other, where that isn't to be counted first.
+    A pass over the texts scores what the broadcast tokens tell. What it can't know (counts
+    of the other tokens; transitions from or to them, where they may have classes) follows by
+    joins on the token, and is summed up by row.
     """
-    spark = now.sparkSession
-    known = now.where("of is not null")
-    counted = []
-    for word, beside, first in (("b", "a", 0), ("a", "b", k)):
-        for hot in (True, False):  # the frequent ones by a broadcast, the others by a shuffle
-            classed = known.where(F.col("hot") == hot).select(F.col("word").alias(beside), (F.col("of") + first).alias("side"))
-            beside_it = bigrams.where(F.col(f"{beside}_hot") == hot)
-            counted.append(beside_it.join(F.broadcast(classed) if hot else classed, beside).select(F.col(word).alias("word"), "side", "n"))
-    seen = counted[0].union(counted[1]).union(counted[2]).union(counted[3]).groupBy("word", "side").agg(F.sum("n").alias("n"))
-    to_count = pair is None
-    if to_count:
-        seen = saved(seen, "seen")
-        pair = np.zeros((k, k))
-        both = seen.where(F.col("side") < k).join(known.select("word", "of"), "word").groupBy("side", "of").agg(F.sum("n").alias("n"))
-        for r in both.collect():  # classes * classes rows at most
-            pair[r["side"], r["of"]] = r["n"]
-    if last:
-        discard(seen)
-        return None, pair
-    soft = pair + 0.1
-    follows, large = np.log(soft / soft.sum(axis=1, keepdims=True)), np.log(size + 1.0)
-    most = int(size.argmax())
-
-    def place(batches):
-        for batch in batches:
-            lists = batch.column("around")
-            owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-            flat = lists.flatten()
-            n = np.zeros((len(lists), 2 * k))
-            n[owner, flat.field("side").to_numpy()] = flat.field("n").to_numpy()
-            gain = n[:, :k] @ follows + n[:, k:] @ follows.T - (n.sum(axis=1) / 2)[:, None] * large
-            top = gain.max(axis=1, keepdims=True)
-            new = (gain >= top - 1e-9 * (1 + np.abs(top))).argmax(axis=1)  # ties keep the lower class, however sums are rounded
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(new, pa.int32())], ["word", "of"])
-
-    placed = seen.groupBy("word").agg(F.collect_list(F.struct("side", "n")).alias("around")).mapInArrow(place, "word binary, of int")
-    moved = now.drop("of").join(placed, "word", "left").select("word", "c", F.coalesce("of", F.lit(most)).alias("of"), "hot")
-    after = saved(moved, "classes")
-    if to_count:
-        discard(seen)
-    return after, pair
-
-
-def _endings(model: Model) -> None:
-    """Step 4: votes go by distinct token, as the tokens to be placed are many and rare."""
-    votes: dict[bytes, np.ndarray] = {}
-    k = int(model.of.max()) + 1
-    for w, c in zip(model.words, model.of.tolist(), strict=True):
-        if w != END:
-            for e in {w[-2:], w[-1:], b""}:
-                votes.setdefault(e, np.zeros(k, "i8"))[c] += 1
-    votes.setdefault(b"", np.ones(k, "i8"))
-    model.endings = {e: int(v.argmax()) for e, v in votes.items()}
-
-
-def score(docs: DataFrame, model: Model | None, counts: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
-    known = docs.sparkSession.sparkContext.broadcast(model or Model([END], np.zeros(1, "i8"), np.zeros(1, "i8"), {b"": 0}, np.zeros((1, 1)), np.zeros(1), np.zeros(1)))
-    m = known.value
-    total, distinct = m.total, m.distinct
-    names = ["uid", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "line", "rare"]
-    rare_kind = pa.list_(pa.struct([("word", pa.binary()), ("of", pa.int32())]))
+    if model is None:
+        one = np.ones(1)
+        model = Model(np.array([END]), np.zeros(1, "i8"), np.zeros(1, "i4"), 1, True, 0, 0, np.zeros((1, 1)), 0 * one, 0 * one)
+    shared, k = docs.sparkSession.sparkContext.broadcast(model), model.k
+    all_tokens = model.total + 1.0 * (model.distinct + 1)
+    room = model.sizes + model.kinds + 1
+    names_out = ["uid", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rest", "open"]
+    rest_kind = pa.list_(pa.struct([("word", pa.int64()), ("n", pa.int64())]))
+    pair_names = ["a", "a_of", "b", "b_of", "n"]
+    open_kind = pa.list_(pa.struct(list(zip(pair_names, (pa.int64(), pa.int32()) * 2 + (pa.int64(),), strict=True))))
 
     def local(batches):
-        """line: a text's tokens, as the class of a frequent one, or -1 - place in ``rare``."""
-        m, uid = known.value, TaskContext.get().partitionId() << 40
-        base_of = np.log10((m.counts + 1) / (total + 1.0 * (distinct + 1)))
-        emit_of = np.log10((m.counts + 1) / (m.sizes[m.of] + m.kinds[m.of] + 1))
-        for part, texts in slices(batches, "text", 4 << 20):
-            found, sizes = tokens(texts)
-            words = found.dictionary.to_pylist()
-            at = m.frequent(words)
-            tails = np.zeros(len(words), "i4")
-            for i in np.flatnonzero(at < 0):
-                tails[i] = m.tail(words[i])
-            index = found.indices.to_numpy()
-            hot = at[index]
-            is_hot = hot >= 0
-            starts = np.cumsum(sizes) - sizes
-            owner = np.repeat(np.arange(len(sizes)), sizes)[~is_hot]
-            keys, back = np.unique(owner * len(words) + index[~is_hot], return_inverse=True)
-            which, cuts = keys % len(words), np.searchsorted(keys // len(words), np.arange(len(sizes) + 1))
-            line = m.of[hot]
-            line[~is_hot] = -1 - (back - cuts[owner])
-            items = pa.StructArray.from_arrays([found.dictionary.take(pa.array(which)), pa.array(tails[which])], ["word", "of"])
+        m, uid = shared.value, TaskContext.get().partitionId() << 40
+        base_of, emit_of = np.log10((m.counts + 1) / all_tokens), np.log10((m.counts + 1) / room[m.of])
+        for part in parts(batches, "text"):
+            numbers, sizes = tokens(part.column("text"))
+            names, at = coded(numbers)
+            place = m.places(names)
+            of = np.where(place >= 0, m.of[place], k - 1 if m.complete else -1)
+            hot = place >= 0
+            known, base, emit = hot & (m.counts[place] > 0), np.where(hot, base_of[place], 0), np.where(hot, emit_of[place], 0)
+            before = previous(at, sizes, int(np.flatnonzero(names == END)[0]))
+            both = (of[before] >= 0) & (of[at] >= 0)
+            starts, owner = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sizes)), sizes)
+            moved = np.where(both, m.moves[of[before], of[at]], 0.0)
+            gone = ~hot[at]
+            keys, n = np.unique(owner[gone] * len(names) + at[gone], return_counts=True)
+            rest = pa.StructArray.from_arrays([pa.array(names[keys % len(names)]), pa.array(n)], ["word", "n"])
+            rest_ends = np.searchsorted(keys // len(names), np.arange(len(sizes) + 1))
+            mine = np.flatnonzero(~both)
+            pairs = pa.concat_tables([pa.Table.from_batches([x]) for x in _open_pairs(names, of, before[mine], at[mine], np.ones(len(mine), "i8"))]).combine_chunks() if len(mine) else None
+            pairs = pa.StructArray.from_arrays([pairs[x].combine_chunks() for x in pair_names], pair_names) if len(mine) else pa.array([], open_kind.value_type)
+            open_ends = np.searchsorted(owner[mine], np.arange(len(sizes) + 1))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(uid + np.arange(len(sizes))),
-                    part.column("doc_id"),
-                    part.column("held_out"),
-                    pa.array(sizes),
-                    pa.array(np.add.reduceat((is_hot & (m.counts[hot] > 0)).astype("i8"), starts)),
-                    pa.array(np.add.reduceat(np.where(is_hot, base_of[hot], 0.0), starts)),
-                    pa.array(np.add.reduceat(np.where(is_hot, emit_of[hot], 0.0), starts)),
-                    pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(line, pa.int32())).cast(pa.list_(pa.int32())),
-                    pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), items).cast(rare_kind),
+                    pa.array(uid + np.arange(len(sizes))), part.column("doc_id"), part.column("held_out"), pa.array(sizes),
+                    pa.array(np.add.reduceat(known[at].astype("i8"), starts)),
+                    pa.array(np.add.reduceat(base[at], starts)),
+                    pa.array(np.add.reduceat(emit[at] + moved, starts)),
+                    pa.ListArray.from_arrays(pa.array(rest_ends, pa.int32()), rest).cast(rest_kind),
+                    pa.ListArray.from_arrays(pa.array(open_ends, pa.int32()), pairs).cast(open_kind),
                 ],
-                names,
+                names_out,
             )
             uid += len(sizes)
 
-    def whole(batches):
-        m = known.value
-        end = m.end()
-        for batch in batches:
-            lines, rare = batch.column("line"), batch.column("found")
-            cls = lines.flatten().to_numpy().astype("i8")
-            sizes = np.diff(lines.offsets.to_numpy())
-            starts = np.cumsum(sizes) - sizes
-            owner = np.repeat(np.arange(len(sizes)), sizes)
-            flat, per = rare.flatten(), np.diff(rare.offsets.to_numpy())
-            base, score = np.zeros(len(cls)), np.zeros(len(cls))
-            more = np.zeros(len(cls), "i8")
-            mine = cls < 0
-            if mine.any():
-                first = np.cumsum(per) - per
-                place = np.empty(len(flat), "i8")  # collect_list keeps no order
-                place[np.repeat(first, per) + flat.field("i").to_numpy()] = np.arange(len(flat))
-                at = place[first[owner[mine]] - 1 - cls[mine]]
-                c, of = flat.field("c").to_numpy()[at], flat.field("of").to_numpy()[at].astype("i8")
-                cls[mine] = of
-                more[mine] = c > 0
-                base[mine] = np.log10((c + 1) / (total + 1.0 * (distinct + 1)))
-                score[mine] = np.log10((c + 1) / (m.sizes[of] + m.kinds[of] + 1))
-            score += m.moves[_previous(cls, sizes, end), cls]
-            add = lambda name, x: pa.array(batch.column(name).to_numpy() + np.add.reduceat(x, starts))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("held_out"), batch.column("n_tokens"), add("n_known", more), pa.array(np.full(len(sizes), total)), add("base", base), add("score", score)],
-                ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-            )
-
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", held_out(docs["doc_id"]).alias("held_out"), docs["text"].cast("string").alias("text"))
-    rows = saved(rows.mapInArrow(local, f"uid long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, line array<int>, rare array<struct<word:binary,of:int>>"), "scored")
-    rare = rows.select("uid", F.posexplode("rare").alias("i", "x")).select("uid", "i", F.col("x.word").alias("word"), F.col("x.of").alias("tail"))
-    rare = rare.join(counts, "word", "left").select("uid", F.struct("i", F.coalesce("c", F.lit(0)).cast("long").alias("c"), F.coalesce("of", "tail").alias("of")).alias("x"))
-    both = rows.drop("rare").join(rare.groupBy("uid").agg(F.collect_list("x").alias("found")), "uid", "left")
-    both = both.withColumn("found", F.coalesce("found", F.expr("cast(array() as array<struct<i:int,c:bigint,of:int>>)"))).drop("uid")
-    return both.mapInArrow(whole, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    shape = f"uid long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, rest array<struct<word:long,n:long>>, open array<struct<a:long,a_of:int,b:long,b_of:int,n:long>>"
+    rows = saved(rows.mapInArrow(local, shape), "scored")
+    rest = rows.select("uid", F.inline("rest")).join(table.select("word", "c", "of"), "word", "left")
+    c, of = F.coalesce("c", F.lit(0)), F.coalesce("of", F.lit(k - 1))
+    emitted = F.log10((c + 1) / F.get(F.array(*[F.lit(float(x)) for x in room]), of))
+    more = rest.select("uid", (F.col("n") * (c > 0).cast("long")).alias("known"), (F.col("n") * F.log10((c + 1) / all_tokens)).alias("base"), (F.col("n") * emitted).alias("score"))
+    if not model.complete:
+        found = _classed(rows.select("uid", F.inline("open")), table.select("word", "of"))
+        a, b = (F.coalesce(x, F.lit(k - 1)) for x in ("a_of", "b_of"))
+        moves = docs.sparkSession.createDataFrame([([float(x) for x in model.moves.ravel()],)], "moves array<double>")
+        found = found.crossJoin(F.broadcast(moves))  # one row
+        more = more.union(found.select("uid", F.lit(0).cast("long"), F.lit(0.0), F.col("n") * F.get("moves", a * k + b)))
+    more = more.groupBy("uid").agg(F.sum("known").alias("known"), F.sum("base").alias("more_base"), F.sum("score").alias("more_score"))
+    both = rows.drop("rest", "open").join(more, "uid", "left")
+    base, total = (F.col(x) + F.coalesce(f"more_{x}", F.lit(0.0)) for x in ("base", "score"))
+    return both.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(int(model.total)).cast("long").alias("train_tokens"), base.alias("base_score"), total.alias("score"), F.pow(F.lit(10.0), -total / F.col("n_tokens")).alias("perplexity"))

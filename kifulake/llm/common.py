@@ -1,15 +1,18 @@
-"""What the corpus operators share: tables, the shared scratch folder, Arrow batches."""
+"""What the corpus operators share: tables, the shared scratch folder, row numbers, Arrow batches."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of some 30 bytes that a join may broadcast; their number is checked, more are shuffled.
+BROADCAST = 300_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -18,21 +21,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: spark.checkpoint.dir.
 
-    Only where the session has none (tests on one machine) a local one is set.
+    Where the session has none, a session on one machine alone (tests) gets one; on a
+    cluster that is an error, as scratch tables would go to the driver's own disk.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     own = spark.sparkContext._jsc.sc().getCheckpointDir()
     if own.isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="kifulake-"))
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(f"/tmp/kifulake-{uuid.uuid4().hex}")
         own = spark.sparkContext._jsc.sc().getCheckpointDir()
     return own.get().rstrip("/")
 
 
+def _store(spark: SparkSession, path: str):
+    """A path of the store it is in, and that store."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
 def scratch(spark: SparkSession, what: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/kifulake-{what}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, in a folder that goes when the application ends."""
+    own = f"{shared_dir(spark)}/kifulake-{spark.sparkContext.applicationId}"
+    at, store = _store(spark, own)
+    if not store.exists(at):
+        store.mkdirs(at)
+        store.deleteOnExit(at)
+    return f"{own}/{what}-{uuid.uuid4().hex}"
 
 
 def saved(df: DataFrame, what: str) -> DataFrame:
@@ -40,16 +58,41 @@ def saved(df: DataFrame, what: str) -> DataFrame:
     costs a re-read, not a re-computation, and row numbers given before stay fixed."""
     path = scratch(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
 
 
 def discard(*frames: DataFrame) -> None:
-    """Deletes scratch tables that no later result reads."""
+    """Deletes tables of ``saved`` that no later result reads."""
     for df in frames:
-        jvm = df.sparkSession._jvm
-        for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(f)
-            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        at, store = _store(df.sparkSession, df._scratch)
+        store.delete(at, True)
+
+
+def _scan(df: DataFrame) -> bool:
+    """Whether each row of a frame is one row of a file."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    return plan.nodeName() == "LogicalRelation"
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with columns f and r, which name a row in every scan alike, however files are
+    split: a hash of its file's path and its place there. The other columns are renamed to
+    c0, c1 ..., so nothing clashes with them; the second result gives the new name of each.
+    Frames that aren't scans of files are saved first."""
+    if not _scan(docs):
+        docs = saved(docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]), "rows").toDF(*docs.columns)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    at = plain.metadataColumn("_metadata")
+    return plain.select(F.xxhash64(at["file_path"]).alias("f"), at["row_index"].alias("r"), *plain.columns), {n: f"c{i}" for i, n in enumerate(docs.columns)}
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A frame of some numbers a row, marked for broadcast if it has few rows."""
+    return F.broadcast(df) if df.limit(BROADCAST + 1).count() <= BROADCAST else df
 
 
 def text_of(df: DataFrame, name: str = "text") -> Column:
@@ -57,17 +100,25 @@ def text_of(df: DataFrame, name: str = "text") -> Column:
     return F.coalesce(df[name].cast("string"), F.lit(""))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, chars: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Parts of the batches with about so many characters of text each, so that what a
-    worker holds does not depend on Spark's batch size; null text counts as empty."""
+def offsets(texts: pa.Array) -> np.ndarray:
+    """Where each text of a string or binary array starts in its buffer, and the last one ends."""
+    kind = "i8" if pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type) else "i4"
+    return np.frombuffer(texts.buffers()[1], kind)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, kind)
+
+
+def parts(batches: Iterator[pa.RecordBatch], column: str, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of the batches with about so many bytes of text each, so that what a worker
+    holds does not depend on Spark's batch size."""
     for batch in batches:
         texts, start = batch.column(column), 0
+        ends = offsets(texts)
         while start < batch.num_rows:
-            n, size = 0, 0
-            while start + n < batch.num_rows and size < chars and n < 4096:
-                v = texts[start + n]
-                size += v.as_buffer().size if v.is_valid else 0
-                n += 1
-            part = batch.slice(start, n)
-            yield part, [x or "" for x in part.column(column).to_pylist()]
-            start += n
+            stop = min(max(start + 1, int(ends.searchsorted(ends[start] + size))), start + 4096, batch.num_rows)
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str, size: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """The same, each with its texts; null text counts as empty."""
+    for part in parts(batches, column, size):
+        yield part, [x or "" for x in part.column(column).to_pylist()]

@@ -11,7 +11,9 @@ The benchmark is broadcast, so its size is checked first: beyond ``most`` charac
 items are dealt into parts and the texts pass once for each part. Documents are never
 shuffled and never cut.
 
-Null or blank items match nothing; an item too short for a budget (n * share < 1) must
+The benchmark's items pass through the driver a part at a time. Ties don't arise: each item
+found is reported with its least number of edits, items in no certain order. Very long texts
+are searched whole. Null or blank items match nothing; an item too short for a budget (n * share < 1) must
 occur unchanged. Null text counts as empty; repeated rows are judged each; items with
 equal text are reported each; an empty table on either side gives no matches.
 """
@@ -166,5 +168,6 @@ def matches(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, most: i
 
 def clean(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, most: int = MOST) -> DataFrame:
     """The rows in whose text no item is found, with all columns."""
-    renamed = docs.withColumnRenamed("text", "_text")
-    return _searched(renamed, benchmark, share, most).where("size(_hits) = 0").drop("_hits").withColumnRenamed("_text", "text")
+    plain_names = {n: "_text" if n == "text" else f"c{i}" for i, n in enumerate(docs.columns)}  # nothing added can clash with these
+    found = _searched(docs.toDF(*plain_names.values()), benchmark, share, most).where("size(_hits) = 0")
+    return found.select(*[F.col(c).alias(n) for n, c in plain_names.items()])

@@ -20,6 +20,7 @@ import gc
 import json
 import os
 import re
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -52,18 +53,33 @@ def family(path: str) -> str:
     return "whole"
 
 
+#: Characters of a piece above which it is encoded anew each time.
+LONGEST = 64
+
+
+@contextmanager
+def uncollected():
+    """Without the garbage collector, which would walk the kept pieces again and again; nothing made here is cyclic."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
 class PieceEncoder:
     """ids(texts): for each text its ids as a uint32 array;
     lengths(texts): for each text the number of its ids.
 
-    most: pieces kept at once. known: (piece, number of ids) pairs kept from the start,
+    most: pieces kept at once, of ``LONGEST`` characters or fewer (text without blanks is one
+    long piece that hardly comes again). known: (piece, number of ids) pairs kept from the start,
     for lengths() alone.
     """
 
     def __init__(self, path: str, most: int = 600_000, known: dict[str, int] | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        gc.freeze()
-        gc.disable()  # nothing here is cyclic; the collector would walk the kept pieces again and again
         from tokenizers import Tokenizer
 
         self.library, self.kind, self.most = Tokenizer.from_file(path), family(path), most
@@ -107,7 +123,8 @@ class PieceEncoder:
             out.update((w, b - a if self.counting else raw[4 * a : 4 * b]) for w, a, b in zip(group, cuts, cuts[1:], strict=False))
         return out
 
-    def _learn(self, missing: set[str]) -> None:
+    def _learn(self, missing: set[str]) -> list[str]:
+        """Encodes these pieces; all that is kept now but shall not stay."""
         kept = self.kept
         words, rest, joined = set(), set(), []
         for piece in missing:
@@ -133,6 +150,7 @@ class PieceEncoder:
             if lead:
                 value = kept[lead] + value
             kept[piece] = value + kept[marks] if marks else value
+        return [x for x in (*words, *rest, *missing) if len(x) > LONGEST]
 
     def _looked_up(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list, list[bool]]:
         """Of all pieces of the texts that can be cut: each one's number among the distinct
@@ -146,10 +164,13 @@ class PieceEncoder:
         if len(self.kept) + len(missing) > self.most:
             self.kept = dict(self.base or {})
             missing = {x for x in names if x not in self.kept}
-        if missing:
-            self._learn(missing)
-        return found.indices.to_numpy(), np.array([c.count("\x00") + 1 for c in joined], "i8"), list(map(self.kept.__getitem__, names)), whole
+        long = self._learn(missing) if missing else []
+        values = list(map(self.kept.__getitem__, names))
+        for x in long:
+            self.kept.pop(x, None)
+        return found.indices.to_numpy(), np.array([c.count("\x00") + 1 for c in joined], "i8"), values, whole
 
+    @uncollected()
     def lengths(self, texts: list[str]) -> np.ndarray:
         if not texts:
             return np.zeros(0, "i8")
@@ -160,6 +181,7 @@ class PieceEncoder:
         out[direct] = self._direct([t for t, w in zip(texts, whole, strict=True) if w])
         return out
 
+    @uncollected()
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         if not texts:
             return []

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import discard, saved
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -33,5 +33,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         # small-star: u and its smaller neighbours go to the least of them
         low = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k")
         moved = large.join(low, large["u"] == low["k"]).select(F.expr("inline(array(struct(v as u, m as v), struct(u as u, m as v)))"))
-        e = saved(moved.where("u > v").distinct(), "edges")
+        before, e = e, saved(moved.where("u > v").distinct(), "edges")
+        discard(before)
     return e.selectExpr("u as node", "v as root").union(e.selectExpr("v as node", "v as root").distinct())

@@ -9,7 +9,9 @@ Base rules: under 50 words, or over half the words in repeated three-word window
 A text is kept if it passes them and the trees give it at least ``threshold``. With no
 usable labels (none, or of one class alone) the base rules decide by themselves.
 
-Null text counts as empty (so it fails); repeated rows are judged each; labels whose
+Ids are compared as text, so they may be of any type. Null text counts as empty (so it
+fails); very long texts are taken whole; repeated rows are judged each; ties between splits
+go to the first feature, then the lowest cut; labels whose
 doc_id or quality is null are ignored; where labels disagree the least quality counts;
 an empty table gives an empty result; columns other than those named are ignored.
 """
@@ -29,7 +31,8 @@ from .text_stats import COLUMNS, statistics
 FEATURES = ("log_words", "mean_word", "symbols_per_word", "symbols_per_char", "dup_line_share", "repeat_share", "words_per_line", "marks_per_word")
 #: -1: the score never rises with the feature.
 MONOTONE = {"symbols_per_word": -1, "symbols_per_char": -1, "repeat_share": -1}
-#: The most labelled rows that the fit uses: those with the least hash of doc_id.
+#: The most labelled documents that the fit uses: those with the least hash of doc_id. Rows that
+#: share a doc_id count as the one with the least statistics.
 FIT_ROWS = 20_000
 
 
@@ -115,16 +118,18 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 3, rate: flo
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, doc_id: str = "doc_id", text: str = "text") -> Trees | None:
     """Fits trees to the quality labels of at most so many documents; None: nothing to learn from."""
-    named = labels.select(F.col("doc_id").cast("long").alias("of"), F.col("quality").cast("int").alias("y")).where("of is not null and y in (0, 1)")
+    named = labels.select(F.col("doc_id").cast("string").alias("of"), F.col("quality").cast("int").alias("y")).where("of is not null and y in (0, 1)")
     chosen = named.groupBy("of").agg(F.min("y").alias("y")).orderBy(F.xxhash64("of"), "of").limit(rows)
-    both = docs.select(docs[doc_id].cast("long").alias("of"), docs[text].cast("string").alias("text")).join(F.broadcast(chosen), "of").select("y", "text")
+    both = docs.select(docs[doc_id].cast("string").alias("of"), docs[text].cast("string").alias("text")).join(F.broadcast(chosen), "of").select("of", "y", "text")
 
     def count(batches):
         for part, texts in slices(batches, "text", 4 << 20):
             s = statistics(texts)
-            yield pa.RecordBatch.from_arrays([part.column("y"), *[pa.array(c) for c in s.T]], ["y", *COLUMNS])
+            yield pa.RecordBatch.from_arrays([part.column("of"), part.column("y"), *[pa.array(c) for c in s.T]], ["of", "y", *COLUMNS])
 
-    found = both.mapInArrow(count, "y int, " + ", ".join(f"{c} long" for c in COLUMNS)).orderBy(*COLUMNS, "y").limit(4 * rows).toPandas()
+    counted = both.mapInArrow(count, "of string, y int, " + ", ".join(f"{c} long" for c in COLUMNS))
+    found = counted.groupBy("of").agg(F.min(F.struct(*COLUMNS, "y")).alias("x")).select("x.*").toPandas()  # ``rows`` at most
+    found = found.sort_values([*COLUMNS, "y"], ignore_index=True)  # sums of the fit don't depend on the order of tasks
     y = found["y"].to_numpy("f8")
     return fit(features(found[list(COLUMNS)].to_numpy("i8")), y) if len(y) and 0 < y.sum() < len(y) else None
 

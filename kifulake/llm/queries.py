@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from . import bagminhash, brown_lm, chat_format, decontaminate, line_dedup, packing, quality_rules, record_files, token_counts, url_filter
 from .common import scratch, table
+from .oracle import ORACLE
+
+__all__ = ["ORACLE", "QUERIES"]
 
 END = 2
 RULES = [url_filter.Rule(*r) for r in (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))]
@@ -15,7 +18,13 @@ PROBE = "\\### Assistant: </turn> ok"
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+    """A row for each document. members: for each line that is a copy or has links
+    "line=document:line of its first occurrence", on that one "~" and the linked lines."""
+    found = line_dedup.line_report(table(spark, sf_dir, "documents"))
+    at = lambda x: F.concat(F.coalesce(x["doc_id"].cast("string"), F.lit("")), F.lit(":"), x["n"].cast("string"))
+    others = lambda m: F.coalesce(F.concat(F.lit("~"), F.array_join(F.transform(m["others"], at), " ")), F.lit(""))
+    members = F.transform("members", lambda m: F.concat(m["n"].cast("string"), F.lit("="), at(m["first"]), others(m)))
+    return found.select("doc_id", "n_lines", "n_copies", "n_near", "n_links", F.array_join("removed", ",").alias("removed"), F.array_join(members, ";").alias("members"))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,5 +72,3 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_quality_rules, op3_bagminhash, op4_brown_lm, op5_chat_format, op6_url_filter, op7_record_files, op8_decontaminate, op9_packing, op10_token_counts)}
-
-ORACLE: dict[str, str] = {}

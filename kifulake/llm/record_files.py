@@ -13,7 +13,8 @@ token and number of tokens, so that a reader can seek in any order.
 
 Null text gives a record with the end id alone; a null id comes first; rows that share
 an id follow each other in the order of their text's hash, then text; an empty table
-gives an empty index; columns other than the two named are ignored.
+gives an empty index; a very long text is one record like any other; columns other than the
+two named are ignored. Ids must be whole numbers: a record has eight bytes for its id.
 """
 
 from __future__ import annotations
@@ -27,11 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, text_of
+from .common import slices, small, text_of
 from .encode import encoder
 
 #: Bytes of input for each shard, by Spark's estimate.
 SHARD = 32 << 20
+#: An estimate above this is counted instead.
+KNOWN = 1 << 40
 INDEX = "doc_id long, shard int, offset long, local_start long, n_tokens long, ids_crc32 long"
 
 
@@ -68,6 +71,8 @@ def write_records(docs: DataFrame, to: str, path: str, end_id: int) -> None:
     wide = max(encoder(path).library.get_vocab_size(), end_id + 1) > 1 << 16
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text")).withColumn("tie", F.xxhash64("text"))
     size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > KNOWN:  # frames without file statistics, or behind joins, have made-up sizes
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD))
     order = [F.col("doc_id").asc_nulls_first(), F.col("tie")]
 
@@ -102,9 +107,10 @@ def _index(spark: SparkSession, to: str) -> DataFrame:
 def read_index(spark: SparkSession, to: str) -> DataFrame:
     """The index with each record's first token counted from the start of all shards.
 
-    The shards before a shard are summed up over one row for each shard, not over records.
+    The shards before a shard are summed up over one row for each shard, not over records;
+    that is a row for each 32 MB of input, so the window and the broadcast stay small.
     """
     index = spark.read.schema(INDEX).parquet(f"{to}/index")
     totals = index.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     before = totals.selectExpr("shard as at", "coalesce(sum(n) over (order by shard rows between unbounded preceding and 1 preceding), 0L) as base")
-    return index.join(F.broadcast(before), index["shard"] == before["at"]).select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32", "shard", "offset")
+    return index.join(small(before), index["shard"] == before["at"]).select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32", "shard", "offset")

@@ -2,10 +2,11 @@
 
 No piece is ever shuffled. A first pass keeps, in each partition, a bounded summary of
 the most frequent pieces (Misra-Gries counters); the summaries merge 32 at a time, so
-neither a task nor the driver gets more than 32 of them. The winners' token counts, at
+no task gets more than 32 of them and the driver one. The winners' token counts, at
 most ``hot`` of them, are broadcast; whatever they miss a worker encodes once and keeps
 in a bounded cache. The tiers decide speed alone: every count equals the library's.
 
+Ties between pieces change the tiers, not the counts. Very long texts are taken whole.
 Null text counts as empty (0 tokens, 0 bytes); repeated rows are counted each; an empty
 table gives an empty result; columns other than the two named are ignored.
 """
@@ -64,14 +65,10 @@ def frequent_pieces(docs: DataFrame, path: str, hot: int = 20_000, text: str = "
     parts = docs.select(text)
     shape = "bucket long, pieces array<string>, counts array<long>"
     left, tree = parts.rdd.getNumPartitions(), parts.mapInArrow(count, shape)
-    while left > 32:
+    while left > 1:
         tree = tree.selectExpr("bucket div 32 * 32 as bucket", "pieces", "counts").groupBy("bucket").applyInArrow(merge, shape)
         left = -(-left // 32)
-    found = Counter()
-    for row in tree.collect():  # 32 summaries at most
-        found.update(dict(zip(row.pieces, row.counts, strict=True)))
-        found = _pruned(found, hot)
-    names = list(found)
+    names = [x for row in tree.collect() for x in row.pieces]  # one summary at most
     return dict(zip(names, PieceEncoder(path, known={}).lengths(names).tolist(), strict=True)) if names else {}
 
 

@@ -1,15 +1,19 @@
 """URL rules with redirect equivalence.
 
 Pages whose url redirects to another (meta refresh) or names another as canonical are
-aliases: they are joined into components, and what a rule decides for one member counts
-for the members that no rule fits. Precedence: a url's own longest rule; else allow if a
-rule allows any alias; else block if a rule blocks any; else allow.
+aliases, and so are a url and its plain form: the host without a leading "www." or "m.",
+the path without a trailing slash, the query without the parameters that only tell where a
+reader came from (``TRACKING``). Aliases are joined into components, and what a rule decides
+for one member (page, link target or plain form) counts for the members that no rule fits.
+Precedence: a url's own longest rule; else allow if a rule allows any alias; else block if a
+rule blocks any; else allow. Ties between rules of equal length go to allow.
 
 Every canonical link and refresh of a page counts; character references in them are decoded.
-A vertex is host and path (without "." and ".." segments) with query but no fragment; two pages with the same vertex are
-aliases too. Null urls, and those without "://", have an empty host and path, fit no
-rule, have no aliases and are allowed. Repeated rows are judged each; an empty table
-gives an empty result; columns other than page_id, url and html are ignored.
+A vertex is host and path (without "." and ".." segments) with query but no fragment; two
+pages with the same vertex are aliases too. Null urls, and those without "://", have an empty
+host and path, fit no rule, have no aliases and are allowed. Null html has no links; very long
+html is searched whole. Repeated rows are judged each; an empty table gives an empty result;
+columns other than page_id, url and html are ignored.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import saved
 from .graph import components
 
 
@@ -29,6 +34,8 @@ class Rule(NamedTuple):
     path: str
 
 
+#: Query parameters that do not change what a url shows.
+TRACKING = r"(?:utm_\w+|ref|fbclid|gclid)"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SPLIT = r"(?s)^.*?://([^/?#]*)([^?#]*)(\?[^#]*)?"
 LINK = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
@@ -75,6 +82,13 @@ def vertex_of(url: Column) -> Column:
     return F.concat(host_of(url), resolved(path_of(url)), F.coalesce(F.regexp_extract(url, SPLIT, 3), F.lit("")))
 
 
+def plain_of(vertex: Column) -> Column:
+    """A vertex's plain form."""
+    host, path, query = (F.regexp_extract(vertex, r"(?s)^([^/?]*)([^?]*)(\?.*)?$", i) for i in (1, 2, 3))
+    kept = F.regexp_replace(F.regexp_replace(query, rf"(?<=[?&]){TRACKING}(=[^&]*)?(&|$)", ""), r"[?&]$", "")
+    return F.concat(F.regexp_replace(host, r"^(www|m)\.(?=.*\.)", ""), F.regexp_replace(path, r"/+$", ""), kept)
+
+
 def longest_rule(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Column, Column]:
     """(rule, verdict) of the longest rule that fits, allow before block where two are equal; else nulls."""
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
@@ -104,12 +118,19 @@ def alias_edges(pages: DataFrame) -> DataFrame:
     return links.select(vertex_of(F.col("url")).alias("a"), vertex_of(absolute(F.col("target"), F.col("url"))).alias("b")).where("a <> b")
 
 
+def plain_edges(vertices: DataFrame) -> DataFrame:
+    """(a, b): each vertex (column a) and its plain form, where that is another."""
+    return vertices.select("a", plain_of(F.col("a")).alias("b")).where("a <> b")
+
+
 def judge(pages: DataFrame, rules: Sequence[Rule], redirects: DataFrame | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict; redirects: more edges as columns source and target (urls)."""
     edges = alias_edges(pages)
     if redirects is not None:
         edges = edges.union(redirects.select(vertex_of(F.col("source")), vertex_of(F.col("target"))))
-    member = components(edges)
+    edges = saved(edges, "links")  # html is searched once
+    ends = edges.select("a").union(edges.select("b")).union(pages.where(pages["url"].contains("://")).select(vertex_of(pages["url"]).alias("a")))
+    member = components(edges.union(plain_edges(ends)))
     cut = F.regexp_extract("node", r"(?s)^([^/?]*)([^?]*)", 1), F.regexp_extract("node", r"(?s)^([^/?]*)([^?]*)", 2)
     named = member.select("node", "root", longest_rule(*cut, rules)[1].alias("said"))
     whole = named.groupBy("root").agg(F.bool_or(F.col("said") == "allow").alias("allows"), F.bool_or(F.col("said") == "block").alias("blocks"))

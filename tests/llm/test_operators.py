@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -9,16 +10,19 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from kifulake.llm import bagminhash, brown_lm, chat_format, decontaminate, graph, line_dedup, packing, quality_rules, record_files, token_counts, url_filter
-from kifulake.llm.common import scratch
+from kifulake.llm.common import numbered, scratch
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
-DOCS = "doc_id long, text string, lang string, uid long, n_chars long, block int"
+#: Beside the table's own columns some that the operators might use themselves.
+DOCS = "doc_id long, text string, lang string, uid long, n_chars long, block int, f int, r int, whole int, gone int, c0 int, _text int, _hits int, cluster int"
+EXTRA = (0,) * 8
 
 
 def sentences(rng, n):
@@ -33,8 +37,8 @@ def rows():
     near[3] = "other"
     line = "this is one line of boilerplate that many of the documents share"
     texts += [" ".join(near), texts[1], texts[1], "", " \n ", "a", "word " * 3000, line + "\nfirst body of text", line.replace("one", "0ne") + "\nsecond body of text", line + "\nfirst body of text", "# $ % & " * 60, "中文 é\n" * 20]
-    out = [(i, t, "en", 1, len(t), 0) for i, t in enumerate(texts)]
-    return out + [(3, texts[3], "en", 1, 1, 0), (None, "no id here but a text of some words", "en", 1, 1, 0), (500, None, None, None, None, None)]
+    out = [(i, t, "en", 1, len(t), 0, *EXTRA) for i, t in enumerate(texts)]
+    return out + [(3, texts[3], "en", 1, 1, 0, *EXTRA), (None, "no id here but a text of some words", "en", 1, 1, 0, *EXTRA), (500, None, None, None, None, None, *EXTRA)]
 
 
 @pytest.fixture(scope="module")
@@ -60,6 +64,16 @@ def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
+def edits_between(a, b):
+    prev = list(range(len(b) + 1))
+    for i, c in enumerate(a, 1):
+        cur = [i]
+        for j, d in enumerate(b, 1):
+            cur.append(min(prev[j - 1] + (c != d), prev[j] + 1, cur[-1] + 1))
+        prev = cur
+    return prev[-1]
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(80), rng.randrange(80)) for _ in range(60)] + [(1, 1), (None, 3)] + [(100, i) for i in range(101, 140)]
@@ -82,19 +96,11 @@ def test_line_dedup(spark, docs, rows, none):
         first.setdefault(x, len(first))
     texts = list(first)
 
-    def close(a, b):
-        prev = list(range(len(b) + 1))
-        for i, c in enumerate(a, 1):
-            cur = [i]
-            for j, d in enumerate(b, 1):
-                cur.append(min(prev[j - 1] + (c != d), prev[j] + 1, cur[-1] + 1))
-            prev = cur
-        return prev[-1] <= 2
-
+    budget = lambda a, b: min(2, min(len(a), len(b)) // 16)
     linked = collections.defaultdict(set)
     for a in texts:
         for b in texts:
-            if a < b and len(a) >= 32 and len(b) >= 32 and abs(len(a) - len(b)) <= 2 and close(a, b):
+            if a < b and abs(len(a) - len(b)) <= budget(a, b) and edits_between(a, b) <= budget(a, b):
                 linked[a].add(b)
                 linked[b].add(a)
     got = collections.Counter((r.doc_id, r.n_lines, r.n_copies + r.n_near, r.n_links, len(r.removed)) for r in line_dedup.line_report(docs).collect())
@@ -123,6 +129,59 @@ def test_line_report_names_the_pairs(spark, tmp_path):
     assert got == {1: [(0, (1, 0), [(3, 0), (4, 0)])], 2: [(1, (1, 0), None)], 3: [(0, (3, 0), [(1, 0), (4, 0)])], 4: [(0, (4, 0), [(1, 0), (3, 0)])], 5: []}
 
 
+def edited(rng, text, most, alphabet):
+    out = list(text)
+    for _ in range(rng.randrange(most + 1)):
+        at = rng.randrange(len(out) + 1)
+        out[at : at + rng.randrange(2)] = rng.choice(["", *alphabet])
+    return "".join(out)
+
+
+@pytest.mark.parametrize("most", [1, 2, 3])
+def test_banded_distance(spark, most):
+    rng = random.Random(most)
+    alphabet = "ab\u00e9\U0001d54f"
+    pairs = []
+    while len(pairs) < 600:
+        a = "".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 40)))
+        b = edited(rng, a, 5, alphabet)
+        if b and abs(len(a) - len(b)) <= most:
+            pairs.append((a, b))
+    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", line_dedup.distance(F.col("a"), F.col("b"), most).alias("d")).collect()
+    assert [min(r.d, most + 1) for r in got] == [min(edits_between(r.a, r.b), most + 1) for r in got]
+
+
+def test_near_lines_of_all_lengths(spark, tmp_path):
+    # every pair within the budget is linked, whatever the lengths on either side of its steps
+    rng, lines = random.Random(11), []
+    for size in (*range(12, 40), 60, 200):
+        a = "".join(rng.choice("abcdefgh ") for _ in range(size)).replace(" ", "x", 1)
+        lines += [a, *(edited(rng, a, 3, "abz") for _ in range(4))]
+    lines = [x for x in dict.fromkeys(lines) if x.strip()]
+    spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "d.parquet"))
+    got = {r.doc_id: sorted(o.doc_id for m in r.members for o in m.others or ()) for r in line_dedup.line_report(spark.read.parquet(str(tmp_path / "d.parquet"))).collect()}
+    close = lambda a, b: abs(len(a) - len(b)) <= (k := min(2, min(len(a), len(b)) // 16)) and edits_between(a, b) <= k
+    assert got == {i: [j for j, b in enumerate(lines) if i != j and close(a, b)] for i, a in enumerate(lines)}
+    assert sum(map(len, got.values())) > 100
+
+
+def test_rows_keep_their_names_however_files_are_split(spark, tmp_path):
+    to = str(tmp_path / "d.parquet")
+    text = "a line of words that many of the rows share, long enough to be near another"
+    spark.range(3000).selectExpr("id div 2 as doc_id", f"concat('{text}', cast(id div 3 as string), '\n', cast(id as string), ' ', repeat('{text} ', 8)) as text").repartition(2).write.option("parquet.block.size", 1 << 15).parquet(to)
+    seen, before = set(), spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("32k", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            rows = numbered(spark.read.parquet(to))[0]
+            seen.add((size, rows.rdd.getNumPartitions() > 4, rows.agg(F.sum(F.xxhash64("f", "r", "c0", "c1").cast("decimal(38,0)")), F.countDistinct("f", "r")).first()))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert {x[1] for x in seen} == {True, False} and len({x[2] for x in seen}) == 1 and next(iter(seen))[2][1] == 3000
+    joined = spark.read.parquet(to).join(spark.range(5), F.col("id") == F.col("doc_id"))  # not a scan: saved first
+    assert numbered(joined)[0].select("f", "r").distinct().count() == 10
+
+
 def test_quality_rules(spark, docs, rows, none):
     labels = spark.createDataFrame([(r[0], int("#" not in (r[1] or "")), 0) for r in rows if r[0] is not None] + [(None, 1, 0), (2, None, 0)], "doc_id long, quality int, toxic int")
     judged = quality_rules.assess(docs, quality_rules.learn(docs, labels))
@@ -154,6 +213,31 @@ def test_near_classes(spark, docs, rows, none):
     assert bagminhash.near_classes(none).count() == 0 and bagminhash.one_of_each(none).count() == 0
 
 
+def number(word):
+    return int(brown_lm.tokens(pa.array([word]))[0][0]) if word != "\n" else brown_lm.END
+
+
+def test_weak_chains_meet_in_small_stars(spark, tmp_path, monkeypatch):
+    # each document shares some 0.6 with the next one; what is compared must grow with their number
+    compared = {}
+    links = bagminhash._links
+
+    def counting(members, pairs, least):
+        n = members.groupBy("cluster", "block").count().toPandas()
+        compared["pairs"] += int((n["count"] * (n["count"] - 1) // 2).sum())
+        return links(members, pairs, least)
+
+    monkeypatch.setattr(bagminhash, "_links", counting)
+    rng, per = random.Random(1), {}
+    words = [f"{rng.randrange(10**6)}" for _ in range(20000)]
+    for n in (60, 240):
+        compared["pairs"], to = 0, str(tmp_path / f"{n}.parquet")
+        spark.createDataFrame([(i, " ".join(words[25 * i : 25 * i + 100])) for i in range(n)], "doc_id long, text string").write.parquet(to)
+        assert bagminhash.near_classes(spark.read.parquet(to)).where("class_size > 1").count() == 0
+        per[n] = compared["pairs"] / n
+    assert 0 < per[240] < 2 * per[60] + 1
+
+
 def test_brown_scores(spark, docs, rows, none):
     low = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
     tokens = [re.findall(r"[^\x20\x09-\x0D]+", (r[1] or "").translate(low)) + ["\n"] for r in rows]
@@ -161,47 +245,59 @@ def test_brown_scores(spark, docs, rows, none):
     counts = collections.Counter(w for t, h in zip(tokens, out, strict=True) if not h for w in t)
     n, v = sum(counts.values()), len(counts)
     want = sorted((r[0] if r[0] is not None else -1, h, len(t), sum(w in counts for w in t), n, round(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in t), 6)) for r, t, h in zip(rows, tokens, out, strict=True))
-    got = brown_lm.score(docs, *brown_lm.learn(docs.where(~brown_lm.held_out(F.col("doc_id"))), hot=60, core=20, classes=6)).collect()
+    model, table = brown_lm.learn(docs, ~brown_lm.held_out(F.col("doc_id")), hot=60, core=20, classes=6)
+    got = brown_lm.score(docs, model, table).collect()
     assert sorted((r.doc_id if r.doc_id is not None else -1, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
-    assert all(r.score < 0 for r in got)
+    # the model's own score, from its tables
+    of = {r.word: r.of for r in table.collect()}
+    assert {r.word: r.c for r in table.where("c > 0").collect()} == {number(w): c for w, c in counts.items()}
+    cls = lambda w: of.get(number(w), model.k - 1)
+    assert all(cls(w) == model.k - 1 for w, c in counts.items() if c < 2 and w != "\n")
+    scores = collections.Counter()
+    for r, t in zip(rows, tokens, strict=True):
+        total, last = 0.0, cls("\n")
+        for w in t:
+            total += model.moves[last, cls(w)] + math.log10((counts[w] + 1) / (model.sizes[cls(w)] + model.kinds[cls(w)] + 1))
+            last = cls(w)
+        scores[r[0], round(total, 5)] += 1
+    assert collections.Counter((r.doc_id, round(r.score, 5)) for r in got) == scores
+    assert all(r.perplexity == pytest.approx(10 ** (-r.score / r.n_tokens)) for r in got)
+    pairs = collections.Counter((cls(a), cls(b)) for t, h in zip(tokens, out, strict=True) if not h for a, b in zip(["\n", *t], t))
+    share = (model.sizes + 1) / (model.sizes.sum() + model.k)
+    for a in range(model.k):
+        row = sum(pairs[a, b] for b in range(model.k))
+        assert model.moves[a] == pytest.approx([math.log10((pairs[a, b] + 2 * share[b]) / (row + 2)) for b in range(model.k)])
     assert brown_lm.score(none, *brown_lm.learn(none)).count() == 0
     nothing = brown_lm.score(docs, *brown_lm.learn(none)).collect()
     assert len(nothing) == len(rows) and all(r.n_known == 0 for r in nothing)
 
 
 def test_class_scores_are_probabilities(spark, docs):
-    model, counts = brown_lm.learn(docs, hot=80, core=20, classes=5)
+    model, table = brown_lm.learn(docs, hot=80, core=20, classes=5)
     assert np.allclose((10.0 ** model.moves).sum(axis=1), 1)
     emitted = collections.Counter()
-    for r in counts.collect():
-        of = int(model.classes([bytes(r.word)])[1][0])
-        emitted[of] += (r.c + 1) / (model.sizes[of] + model.kinds[of] + 1)
+    for r in table.collect():
+        emitted[r.of] += (r.c + 1) / (model.sizes[r.of] + model.kinds[r.of] + 1)
     for of, p in emitted.items():  # what is left is for an unknown token
         assert p + 1 / (model.sizes[of] + model.kinds[of] + 1) == pytest.approx(1)
 
 
-def test_rare_tokens_are_classed_by_their_neighbours(spark, tmp_path):
-    # rare tokens of two kinds end alike; what stands beside them tells the kinds apart
+def test_what_is_broadcast_does_not_change_the_model(spark, tmp_path):
+    # tokens of two kinds end alike; what stands beside them tells the kinds apart
     to = str(tmp_path / "documents.parquet")
     texts = [f"the {x}{i}q runs the big{i % 3} {x}{i}q runs" if x == "n" else f"we {x}{i}q it we can{i % 3} {x}{i}q it" for i in range(60) for x in "nv"]
+    texts += ["held out " + "common " * 50] * 5
     spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3).write.parquet(to)
     docs = spark.read.parquet(to)
     of = {}
-    for hot in (12, 1000):  # what is broadcast does not change the model
-        model, table = brown_lm.learn(docs, hot=hot, core=11, classes=11)
-        of[hot] = {bytes(r.word).decode(): r.of for r in table.collect()}
-        scores = brown_lm.score(docs, model, table).collect()
-        of[hot, "scores"] = sorted((r.doc_id, r.n_known, round(r.score, 6)) for r in scores)
-        for r in scores:
-            cls = [of[hot][w] for w in texts[r.doc_id].split() + ["\n"]]
-            want = sum(model.moves[a, b] for a, b in zip([of[hot]["\n"], *cls], cls)) if r.doc_id < 4 else None
-            c = collections.Counter(w for t in texts for w in t.split() + ["\n"])
-            if want is not None:
-                want += sum(math.log10((c[w] + 1) / (model.sizes[x] + model.kinds[x] + 1)) for w, x in zip(texts[r.doc_id].split() + ["\n"], cls, strict=True))
-                assert r.score == pytest.approx(want)
-    nouns, verbs = ({of[12][f"{x}{i}q"] for i in range(60)} for x in "nv")
+    for hot in (12, 40, 1000):
+        model, table = brown_lm.learn(docs, F.col("doc_id") < 120, hot=hot, core=11, classes=11)
+        assert model.complete == (hot == 1000)
+        of[hot] = sorted((r.word, r.c, r.of) for r in table.collect()), sorted((r.doc_id, r.n_known, round(r.score, 6), round(r.base_score, 6)) for r in brown_lm.score(docs, model, table).collect())
+    assert of[12] == of[40] == of[1000]
+    classes = {w: c for w, _, c in of[12][0]}
+    nouns, verbs = ({classes[number(f"{x}{i}q")] for i in range(60)} for x in "nv")
     assert len(nouns) == len(verbs) == 1 and nouns != verbs
-    assert of[12] == of[1000] and of[12, "scores"] == of[1000, "scores"]
 
 
 def test_chat(spark):
@@ -266,6 +362,48 @@ def test_url_filter(spark):
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string, html string"), rules).count() == 0
 
 
+def test_url_verdicts_against_brute_force(spark):
+    rng = random.Random(5)
+    hosts = ["a.org", "www.a.org", "m.a.org", "b.net", "m.b.net", "c.com", "d.org", "www.com"]
+    make = lambda: f"{rng.choice(['http', 'HTTPS'])}://{rng.choice(hosts)}{rng.choice(['', '/', '/es/', '/es/1', '/fr', f'/{rng.randrange(40)}/'])}{rng.choice(['', '?ref=1', '?utm_source=a&p=2', '?p=2&ref', '#t'])}"
+    pages = [(i, make(), rng.choice([None, "<p>", "", "", "", f'<link rel="canonical" href="{make()}">', f'<meta http-equiv="refresh" content="1;url={make()}">'])) for i in range(120)]
+    rules = [url_filter.Rule("allow", "com", "/"), url_filter.Rule("block", "net", "/es/"), url_filter.Rule("allow", "m.b.net", "/es/"), url_filter.Rule("block", "d.org", "/")]
+
+    def vertex(url):
+        host, path, query = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)(\?[^#]*)?", url).groups()
+        return host.lower() + path + (query or "")
+
+    def plain(v):
+        host, path, query = re.match(r"([^/?]*)([^?]*)(?:\?(.*))?$", v).groups()
+        parts = host.split(".")
+        host = ".".join(parts[1:]) if parts[0] in ("www", "m") and len(parts) > 2 else host
+        kept = [x for x in (query or "").split("&") if x.split("=")[0] not in ("ref", "fbclid", "gclid") and not x.startswith("utm_")] if query else []
+        return host + path.rstrip("/") + ("?" + "&".join(kept) if kept else "")
+
+    def rule(v):
+        host, path = re.match(r"([^/?]*)([^?]*)", v).groups()
+        fits = [r for r in rules if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+        return max(fits, key=lambda r: (len(r.host + r.path), r.verdict == "allow"), default=None)
+
+    root = {}
+    top = lambda x: x if root.setdefault(x, x) == x else top(root[x])
+    for _, url, html in pages:
+        ends = [vertex(url)] + ([vertex(re.search(r'(?:href="|url=)([^"]+)', html)[1])] if html and html != "<p>" else [])
+        for v in ends:
+            root[top(v)] = top(plain(v))
+            root[top(ends[0])] = top(v)
+    said = collections.defaultdict(set)
+    for v in list(root):
+        if rule(v):
+            said[top(v)].add(rule(v).verdict)
+    want = {}
+    for i, url, _ in pages:
+        own = rule(vertex(url))
+        want[i] = (own.host + own.path, own.verdict) if own else (None, "block" if said[top(vertex(url))] == {"block"} else "allow")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), rules).collect()}
+    assert got == want and sum(x == (None, "block") for x in want.values()) > 3
+
+
 def test_record_files(spark, docs, rows, none):
     to = scratch(spark, "test")
     record_files.write_records(docs, to, WORD, 2)
@@ -273,6 +411,10 @@ def test_record_files(spark, docs, rows, none):
     assert [r.doc_id if r.doc_id is not None else -1 for r in got] == sorted(r[0] if r[0] is not None else -1 for r in rows)
     assert [r.start for r in got] == np.cumsum([0] + [r.n_tokens for r in got])[:-1].tolist()
     assert sorted(r.ids_crc32 for r in got) == sorted(map(crc, ids_of(WORD, rows)))
+    made = spark.createDataFrame([(2, "b"), (1, "a")], "doc_id long, text string")  # no file statistics
+    beside = scratch(spark, "test")
+    record_files.write_records(made, beside, WORD, 2)
+    assert [r.doc_id for r in record_files.read_index(spark, beside).orderBy("start").collect()] == [1, 2]
     empty = scratch(spark, "test")
     record_files.write_records(none, empty, WORD, 2)
     assert record_files.read_index(spark, empty).count() == 0
@@ -287,7 +429,7 @@ def test_decontamination(spark, docs, rows, none):
         got = decontaminate.matches(docs, bench, most=most).collect()
         assert sorted((r.doc_id if r.doc_id is not None else -1, sorted(h.item_id for h in r.hits)) for r in got) == want
     assert decontaminate.clean(docs, bench).count() == sum(not w for _, w in want) < len(rows)
-    assert decontaminate.clean(docs, bench).columns != [] and set(decontaminate.clean(docs, bench).columns) == set(docs.columns)
+    assert decontaminate.clean(docs, bench).columns == docs.columns
     assert decontaminate.matches(none, bench).count() == 0 and decontaminate.clean(docs, bench.limit(0)).count() == len(rows)
 
 
@@ -306,6 +448,14 @@ def test_packing(spark, docs, rows, none):
         assert have == collections.Counter(crc(x[a : a + n]) for x in ids for a, n in packing.cuts(len(x), 128))
         if deal > len(got):
             assert len(filled) <= packing.lower_bound(np.array([n for x in ids for _, n in packing.cuts(len(x), 128)]), 128) + 1
+        # the certificate: as many sequences as the rows say, and no fewer than the bound over their pieces
+        for (bins, bound), group in itertools.groupby(sorted(got, key=lambda r: (r.bins, r.bound)), key=lambda r: (r.bins, r.bound)):
+            group = list(group)
+            assert bins >= bound and all(r.certified == (bins == bound) for r in group)
+            if bins > 1 and deal > len(got):
+                assert len({r.sequence_id for r in group}) == bins and bound == packing.lower_bound(np.array([r.length for r in group]), 128)
+    named = packing.pack(docs.withColumn("doc_id", F.concat(F.lit("d"), "doc_id")), BYTE, 2, size=128)
+    assert named.schema["doc_id"].dataType.simpleString() == "string" and named.count() == len(got)
     assert packing.pack(none, BYTE, 2).count() == 0
 
 

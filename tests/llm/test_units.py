@@ -8,12 +8,13 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from kifulake.llm import bagminhash, brown_lm, decontaminate, line_dedup, packing, quality_rules, record_files, text_stats, token_counts
+from kifulake.llm import bagminhash, brown_lm, decontaminate, line_dedup, packing, quality_rules, record_files, text_stats, token_counts, words
 from kifulake.llm.encode import PieceEncoder, family
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -60,6 +61,35 @@ def test_trees_are_monotone_and_learn():
     assert (np.diff(trees.score(probe).reshape(50, 21), axis=1) <= 1e-12).all()
 
 
+def test_node_arrays_score_as_a_walk_does():
+    rng = np.random.default_rng(1)
+    x = rng.random((500, len(quality_rules.FEATURES)))
+    trees = quality_rules.fit(x, (x[:, 0] + x[:, 3] > 1).astype("f8"), trees=12)
+
+    def walk(row):
+        total = trees.start
+        for at in trees.roots:
+            while trees.left[at] != at:
+                at = trees.left[at] if row[trees.feature[at]] <= trees.cut[at] else trees.right[at]
+            total += trees.value[at]
+        return 1 / (1 + math.exp(-total))
+
+    assert trees.score(x).tolist() == pytest.approx([walk(r) for r in x])
+
+
+@pytest.mark.parametrize("window", [16, 1 << 20])
+def test_word_numbers(window, monkeypatch):
+    monkeypatch.setattr(words, "WINDOW", window)
+    rng = random.Random(2)
+    for _ in range(60):
+        texts = [None if rng.random() < 0.1 else "".join(rng.choice("ab \n\x1cA\u00e9c") for _ in range(rng.randrange(60))) for _ in range(8)]
+        found, sizes = words.hashes(pa.array(["zz", *texts], pa.string()).slice(1), fold=True)
+        split = [(t or "").encode().lower().split() for t in texts]
+        assert sizes.tolist() == [len(w) for w in split]
+        named = dict(zip([w for ws in split for w in ws], found.tolist(), strict=True))
+        assert [named[w] for ws in split for w in ws] == found.tolist() and len(set(named.values())) == len(named)
+
+
 def bag(text):
     w = text.split()
     return collections.Counter(zip(*[w[i:] for i in range(5)])) if len(w) >= 5 else collections.Counter([tuple(w)] if w else [])
