@@ -280,6 +280,14 @@ def neighbours(training: DataFrame, model: Model) -> DataFrame:
                 none = pa.nulls(len(blob), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(names[i : i + 50_000]), blob, none, pa.nulls(len(blob), pa.int32()), none], ["word", "blob", "beside", "side", "n"])
 
+        def asked(names, word, beside, some, shift):
+            keys, n = np.unique(word[some] * len(names) + beside[some], return_counts=True)
+            again, number = _entries(np.zeros(len(n), "i8"), n)
+            left = names[keys[again] // len(names)], names[keys[again] % len(names)], number.astype("i8")
+            for i in range(0, len(again), 100_000):
+                word, beside, n = (pa.array(x[i : i + 100_000]) for x in left)
+                yield pa.RecordBatch.from_arrays([word, pa.nulls(len(n), pa.binary()), beside, pa.array(np.full(len(n), shift, "i4")), n], ["word", "blob", "beside", "side", "n"])
+
         for numbers, sizes in _groups(batches):
             names, at = coded(numbers)
             place = m.places(names)
@@ -292,21 +300,18 @@ def neighbours(training: DataFrame, model: Model) -> DataFrame:
             else:
                 alias, titles = np.arange(len(names)), names
             slot = np.r_[np.where(place >= 0, slots[place], -1), -1]
+            keys = []
             for word, beside, shift in ((at, before, 0), (before, at, k)):
                 cls, mine = of[beside], slot[alias[word]]
                 known = cls >= 0
                 often = known & (mine >= 0)
                 whole += np.bincount(mine[often] * 2 * k + cls[often] + shift, minlength=len(whole))
                 rest = known & (mine < 0)
-                keys, n = np.unique(alias[word[rest]] * (2 * k) + cls[rest] + shift, return_counts=True)
-                yield from rows(titles[keys // (2 * k)], keys % (2 * k), n)
+                keys.append(alias[word[rest]] * (2 * k) + cls[rest] + shift)
                 if not m.complete:
-                    asked = cls == -2
-                    keys, n = np.unique(word[asked] * len(names) + beside[asked], return_counts=True)
-                    again, number = _entries(np.zeros(len(n), "i8"), n)
-                    left = [names[keys[again] // len(names)], pa.nulls(len(again), pa.binary()), names[keys[again] % len(names)], np.full(len(again), shift, "i4"), number.astype("i8")]
-                    for i in range(0, len(again), 100_000):
-                        yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000]) if isinstance(x, np.ndarray) else x[i : i + 100_000] for x in left], ["word", "blob", "beside", "side", "n"])
+                    yield from asked(names, word, beside, np.flatnonzero(cls == -2), shift)
+            found, n = np.unique(np.concatenate(keys), return_counts=True)
+            yield from rows(titles[found // (2 * k)], found % (2 * k), n)
         some = np.flatnonzero(whole)
         yield from rows(m.words[top][some // (2 * k)], some % (2 * k), whole[some])
 
@@ -359,7 +364,7 @@ def _classed(rows: DataFrame, now: DataFrame) -> DataFrame:
 
 
 def _round(training: DataFrame, now: DataFrame, model: Model, pair: np.ndarray, size: np.ndarray, least: int) -> DataFrame:
-    """The table (word, c, seen, of) with each token seen often enough in the class that its
+    """The table (word, c, of) with each token seen often enough in the class that its
     neighbours' classes make likeliest, given how often classes follow each other. A token
     without neighbours that have a class goes to the largest class."""
     k = model.k
@@ -372,48 +377,47 @@ def _round(training: DataFrame, now: DataFrame, model: Model, pair: np.ndarray,
         asked = counted.where("blob is null").drop("blob").join(of, "beside")
         number = F.shiftleft((F.col("of") + F.col("side")).cast("long"), BITS) + F.col("n")
         rows = rows.union(asked.select("word", F.unhex(F.lpad(F.hex(number), 8, "0"))))
-    rows = rows.select("word", "blob", *[none.cast(t).alias(x) for x, t in (("c", "long"), ("seen", "long"), ("of", "int"))])
-    rows = rows.union(now.select("word", none.cast("binary"), "c", "seen", "of"))
-    grouped = rows.repartition("word").sortWithinPartitions("word", F.col("c").desc_nulls_last())
+    rows = rows.withColumn("c", none.cast("long")).union(now.select("word", none.cast("binary"), "c"))
+    grouped = rows.repartition("word").sortWithinPartitions("word")
     soft = pair + 0.1
     follows, large, most = np.log(soft / soft.sum(axis=1, keepdims=True)), np.log(size + 1.0), int(size[: k - 1].argmax())
 
     def place(batches):
-        for word, c, seen, n in _words(batches, k):
+        for word, c, n in _words(batches, k):
             gain = (n[:, :k] @ follows + n[:, k:] @ follows.T - (n.sum(axis=1) / 2)[:, None] * large)[:, : k - 1]
             top = gain.max(axis=1, keepdims=True)
             new = (gain >= top - 1e-9 * (1 + np.abs(top))).argmax(axis=1)  # ties keep the lower class, however sums are rounded
             new = np.where(n.any(axis=1), new, most)
             new = np.where((c >= least) | (word == END), new, k - 1)
             own = word != RARE
-            yield pa.RecordBatch.from_arrays([pa.array(x[own]) for x in (word, c, seen, new.astype("i4"))], ["word", "c", "seen", "of"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[own]) for x in (word, c, new.astype("i4"))], ["word", "c", "of"])
 
-    after = saved(grouped.mapInArrow(place, "word long, c long, seen long, of int"), "classes")
+    after = saved(grouped.mapInArrow(place, "word long, c long, of int"), "classes")
     if not model.complete:
         discard(counted)
     return after
 
 
 def _words(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(word, c, seen, counts of its neighbours' classes) of rows sorted by word, of which the
-    first has c and seen; a word's rows may go on in later batches."""
+    """(word, c, counts of its neighbours' classes) of rows sorted by word, one of which has c;
+    a word's rows may go on in later batches."""
     held = None
     for batch in batches:
         if not batch.num_rows:
             continue
         word = batch.column("word").to_numpy()
-        starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-        number = np.cumsum(np.r_[False, word[1:] != word[:-1]])
+        new = np.r_[True, word[1:] != word[:-1]]
+        starts, number = np.flatnonzero(new), np.cumsum(new) - 1
         blobs = batch.column("blob").fill_null(b"") if batch.column("blob").null_count else batch.column("blob")
         cuts = offsets(blobs).astype("i8")
         entries = np.frombuffer(blobs.buffers()[2] or b"", ">u4", (cuts[-1] - cuts[0]) // 4, cuts[0]).astype("i8") if cuts[-1] > cuts[0] else np.zeros(0, "i8")
         owner = np.repeat(number, np.diff(cuts) // 4)
         n = np.bincount(owner * 2 * k + (entries >> BITS), weights=entries & ((1 << BITS) - 1), minlength=len(starts) * 2 * k).reshape(-1, 2 * k)
-        now = [word[starts], *(batch.column(x).fill_null(0).to_numpy()[starts].copy() for x in ("c", "seen")), n]
+        now = [word[starts], np.maximum.reduceat(batch.column("c").fill_null(0).to_numpy(), starts), n]
         if held is not None:
             if held[0][0] == now[0][0]:
-                now[1][0], now[2][0] = held[1][0], held[2][0]
-                now[3][0] += held[3][0]
+                now[1][0] = max(now[1][0], held[1][0])
+                now[2][0] += held[2][0]
             else:
                 yield tuple(held)
         held = [x[-1:] for x in now]
@@ -423,7 +427,7 @@ def _words(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[np.ndarr
 
 
 def learn(docs: DataFrame, training: Column | None = None, hot: int = 2_000_000, core: int = 1_000, classes: int = 64, sweeps: int = 8, rounds: int = 2, least: int = 2) -> tuple[Model | None, DataFrame]:
-    """The model and the table of all tokens (word, c, seen, of). training: which rows it
+    """The model and the table of all training tokens (word, c, of). training: which rows it
     learns from (all); the others only count for what is broadcast. None: no training text."""
     spark = docs.sparkSession
     training = F.lit(True) if training is None else training
@@ -450,12 +454,13 @@ def learn(docs: DataFrame, training: Column | None = None, hot: int = 2_000_000,
     pair, size = member.T @ inner @ member, np.bincount(start, weights=c[order], minlength=k)
     table = counts.where("c > 0").withColumn("of", F.when((F.col("c") < least) & (F.col("word") != END), k - 1).otherwise(-1))
     known = spark.createDataFrame(pa.table({"word": words[order], "start": start.astype("i4")}))
-    table = table.join(F.broadcast(known), "word", "left").select("word", "c", "seen", F.coalesce("start", "of").alias("of"))
+    table = table.join(F.broadcast(known), "word", "left").select("word", "c", F.coalesce("start", "of").alias("of"))
     best = None
     for _ in range(rounds + 1):
         after = _round(rows, table, model, pair, size, least)
-        placed = after.where(is_hot).select("word", "of").toArrow()
         of = np.full(len(words), k - 1, "i4")
+        hot_now = after if complete else after.join(counts.where(is_hot).select("word"), "word", "left_semi")
+        placed = hot_now.where((F.col("c") >= least) | (F.col("word") == END)).select("word", "of").toArrow()  # hot + 1 rows at most
         of[np.searchsorted(words, placed["word"].to_numpy())] = placed["of"].to_numpy()
         model = Model(words, c, of, k, complete, total, distinct)
         pair = class_bigrams(rows, after, model)
@@ -470,8 +475,7 @@ def learn(docs: DataFrame, training: Column | None = None, hot: int = 2_000_000,
         share = (model.sizes + 1) / (model.sizes.sum() + k)
         model.moves = np.log10((pair + 2.0 * share) / (pair.sum(axis=1, keepdims=True) + 2.0))
         best = likely, model, after
-    unseen = counts.where("c = 0").withColumn("of", F.lit(k - 1))
-    return best[1], best[2].union(unseen)
+    return best[1], best[2]
 
 
 def _sizes(now: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 #: Rows of some 30 bytes that a join may broadcast; their number is checked, more are shuffled.
 BROADCAST = 300_000
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,9 +56,15 @@ def scratch(spark: SparkSession, what: str) -> str:
 
 def saved(df: DataFrame, what: str) -> DataFrame:
     """Cuts lineage through a Parquet table in the shared folder, so a lost executor
-    costs a re-read, not a re-computation, and row numbers given before stay fixed."""
-    path = scratch(df.sparkSession, what)
-    df.write.parquet(path)
+    costs a re-read, not a re-computation, and row numbers given before stay fixed. The
+    shuffle files that made it go once it is written."""
+    path, conf = scratch(df.sparkSession, what), df.sparkSession.conf
+    before = conf.get(CLEANUP)
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(CLEANUP, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
