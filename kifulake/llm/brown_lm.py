@@ -20,7 +20,7 @@ transitions towards the class unigram, emissions by adding one to each token of
 to one unknown token.
 
 Tokens are told apart by 64-bit numbers (``words.hashes``). ``hot`` bounds what is broadcast
-(17 bytes a token) and nothing else: the classes of that many frequent tokens are looked up
+(17 bytes a token) and nothing else: the classes of that many tokens seen twice or more are looked up
 in sorted arrays, the others' come from joins on the token. A token outside the hot ones holds
 less than 1 in ``hot`` of all tokens (held-out texts count there), so no join has a hot key.
 Counts of the most frequent tokens are summed up over a whole task before they are shuffled.
@@ -437,7 +437,7 @@ def learn(docs: DataFrame, training: Column | None = None, hot: int = 2_000_000,
     if not total:
         return None, counts.withColumn("of", F.lit(0))
     rows = rows.where("training").select("text")
-    cut = _least_frequent(counts, hot)
+    cut = max(2, _least_frequent(counts, hot))  # what all texts hold once is looked up by a join at any size
     is_hot = (F.col("seen") >= cut) | (F.col("word") == END)
     top = counts.where(is_hot).toArrow().sort_by("word")  # hot + 1 rows at most
     words, c = top["word"].to_numpy(), top["c"].to_numpy()
