@@ -243,9 +243,13 @@ def dates(c: Column) -> Column:
 
     @F.arrow_udf("string")
     def udf(a: pa.Array) -> pa.Array:
-        return pa.array([None if v is None else (date(v) or v) for v in a.to_pylist()], pa.string())
+        found = a.dictionary_encode()  # each spelling is read once a batch
+        normal = pa.array([date(v) or v for v in found.dictionary.to_pylist()], pa.string())
+        return normal.take(found.indices)
 
-    return F.when(c.rlike(r"^\d{4}-\d\d-\d\d$"), c).otherwise(udf(c))
+    usual = c.rlike(r"^\d{4}-\d\d-\d\d$")
+    # Spark runs a UDF on all rows, whatever stands around it: so it gets null where it isn't needed
+    return F.when(usual, c).otherwise(udf(F.when(~usual, c)))
 
 
 def comment_info(c: Column) -> dict[str, Column]:

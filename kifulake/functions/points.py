@@ -59,3 +59,17 @@ def parse_point(text: str, size: int = 19) -> str:
 
 def swapped(color: Column) -> Column:
     return F.when(color == "B", "W").when(color == "W", "B").otherwise(color)
+
+
+#: Names of the reflections.
+FLIPS = {"vflip": 1, "bflip": 3, "hflip": 5, "dflip": 7}
+
+
+def symmetry(name: str) -> int:
+    """A symmetry's number by name: vflip, bflip, hflip, dflip; rot with degrees or quarter turns (one if none)."""
+    if name in FLIPS:
+        return FLIPS[name]
+    turns = int(name.removeprefix("rot") or 1) if name.startswith("rot") else None
+    if turns is None:
+        raise ValueError(f"no such symmetry: {name!r}")
+    return 2 * ((turns // 90 if turns % 90 == 0 else turns) % 4)

@@ -138,14 +138,17 @@ def final_stones(events: Column, upto: int | None = None) -> Column:
         standing = F.filter(events, lambda e: e["is_permanent"] & ~e["is_capture"])
     else:
         now = F.filter(events, lambda e: (e["move_nr"] <= upto) & ~e["is_pass"])
-        standing = F.filter(now, lambda e: ~e["is_capture"] & ~F.exists(now, lambda f: (f["x"] == e["x"]) & (f["y"] == e["y"]) & (f["ev"] > e["ev"])))
+        # the replay is a UDF, so the inner function must not name it again
+        left = lambda es: F.filter(es, lambda e: ~e["is_capture"] & ~F.exists(es, lambda f: (f["x"] == e["x"]) & (f["y"] == e["y"]) & (f["ev"] > e["ev"])))
+        standing = F.get(F.transform(F.array(now), left), 0)
     return F.transform(F.array_sort(F.transform(standing, lambda e: F.struct(e["x"].alias("x"), e["y"].alias("y"), e["color"].alias("color")))), lambda e: e)
 
 
 def position_sgf(stones: Column, size: Column) -> Column:
-    """A position as a record of one node."""
+    """A position as a record of one node; the usual size of 19 isn't stated."""
     side = lambda name, color: F.when(F.exists(stones, lambda s: s["color"] == color), F.concat(F.lit(name), F.array_join(F.transform(F.filter(stones, lambda s: s["color"] == color), lambda s: F.concat(F.lit("["), F.char((s["x"] + 97).cast("int")), F.char((s["y"] + 97).cast("int")), F.lit("]"))), ""))).otherwise("")
-    return F.concat(F.lit("(;SZ["), size.cast("string"), F.lit("]"), side("AB", "B"), side("AW", "W"), F.lit(")"))
+    stated = F.when(size == 19, "").otherwise(F.concat(F.lit("SZ["), size.cast("string"), F.lit("]")))
+    return F.concat(F.lit("(;"), stated, side("AB", "B"), side("AW", "W"), F.lit(")"))
 
 
 def exploded_plays(games: DataFrame, key: str = "game_id") -> DataFrame:

@@ -21,8 +21,11 @@ CLASSES = {
 }
 POINT = r"^\s*([a-zA-Z]{2}|)\s*$"
 AREA = r"^\s*[a-zA-Z]{2}(:[a-zA-Z]{2})?\s*$"
-KOMI = r"^\s*[+-]?\d+(\.\d+)?\s*$"
-RESULT = r"^\s*(0|Draw|Jigo|Void|\?|[BW]\+(\d+(\.\d+)?|R(esign)?|T(ime)?|F(orfeit)?|)?)\s*$"
+KOMI = r"^\s*[+-]?\d*(\.\d*)?\s*$"
+#: Results that are accepted, and spellings of a draw that get a warning.
+RESULT = r"^\s*(0|Draw|Jigo|Void|\?|Unfinished|Game suspended.*|Both lost|Not played|[BW]\+(\d*(\.\d*)?|R(esign)?|T(ime)?|F(orfeit)?|bye))\s*$"
+ODD_DRAW = r"(?i)^\s*(j|jigo|draw)\s*$"
+SINGLE = ("SZ", "HA", "KM", "RE")
 
 
 def class_of(name: Column) -> Column:
@@ -42,14 +45,14 @@ def _if(test: Column, issue: Column) -> Column:
 
 def result_value(re: Column) -> Column:
     """The score of a result as a signed decimal; null where there is none."""
-    n = F.regexp_extract(re, r"^\s*[BW]\+(\d+(?:\.\d+)?)", 1)
-    return F.when(re.rlike(r"^\s*(0|Draw|Jigo)\s*$"), F.lit(0).cast("decimal(9,2)")).when(n != "", F.when(re.rlike(r"^\s*B"), n.cast("decimal(9,2)")).otherwise(-n.cast("decimal(9,2)")))
+    n = F.regexp_extract(re, r"^\s*[BW]\+(\d+(?:\.\d+)?)\s*$", 1).try_cast("decimal(9,2)")
+    return F.when(re.rlike(r"^\s*(0|Draw|Jigo)\s*$"), F.lit(0).cast("decimal(9,2)")).when(n.isNotNull(), F.when(re.rlike(r"^\s*B"), n).otherwise(-n))
 
 
 def komi_fits_result(km: Column, re: Column) -> Column:
     """False where komi and result can't both be right: they differ by no integer, and not
     by a quarter that half-counting leaves."""
-    k = F.when(km.rlike(KOMI), F.trim(km).cast("decimal(9,2)"))
+    k = F.when(km.rlike(KOMI), F.trim(km).try_cast("decimal(9,2)"))
     d = F.abs(F.pmod(k + result_value(re), F.lit(1).cast("decimal(9,2)")))
     quarter = F.pmod(F.abs(k) * 4, F.lit(2).cast("decimal(9,2)")) == 1
     return F.coalesce((d == 0) | quarter, F.lit(True))
@@ -77,10 +80,11 @@ def node_issues(skip: frozenset[str] = frozenset()) -> list[tuple[str, Column]]:
         ("move_syntax", bad(("B", "W"), POINT, "move_syntax")),
         ("setup_syntax", bad(("AB", "AW", "AE"), AREA, "setup_syntax")),
         ("size", _if(sz.isNotNull() & ~F.coalesce(sz.try_cast("int").between(1, 31), F.lit(False)), _issue("error", "size", 0, F.concat(F.lit("SZ["), sz, F.lit("]"))))),
-        ("handicap_syntax", _if(ha.isNotNull() & ~F.coalesce(n.between(0, 25), F.lit(False)), _issue("error", "handicap_syntax", 0, F.concat(F.lit("HA["), ha, F.lit("]"))))),
+        ("handicap_syntax", _if(ha.isNotNull() & ~F.coalesce(n.between(0, 25), F.lit(False)), _issue("warning", "handicap_syntax", 0, F.concat(F.lit("HA["), ha, F.lit("]"))))),
         ("handicap", _if(F.coalesce(n, F.lit(0)) != F.when((F.col("awct") == 0) & (F.col("abct") > 0), F.col("abct")).otherwise(F.coalesce(F.when(F.col("awct") > 0, n), F.lit(0))), _issue("warning", "handicap", 0, "handicap and setup stones differ"))),
-        ("komi_syntax", _if(km.isNotNull() & ~km.rlike(KOMI), _issue("error", "komi_syntax", 0, F.concat(F.lit("KM["), km, F.lit("]"))))),
-        ("result_syntax", _if(re.isNotNull() & ~re.rlike(RESULT), _issue("error", "result_syntax", 0, F.concat(F.lit("RE["), re, F.lit("]"))))),
+        ("komi_syntax", _if(km.isNotNull() & ~km.rlike(KOMI), _issue("warning", "komi_syntax", 0, F.concat(F.lit("KM["), km, F.lit("]"))))),
+        ("result_syntax", _if(re.isNotNull() & ~re.rlike(RESULT), _issue("error", "result_syntax", 0, F.concat(F.lit("RE["), re, F.lit("]"))).withField("severity", F.when(re.rlike(ODD_DRAW), "warning").otherwise("error")))),
+        ("single_value", F.flatten(F.transform(main, lambda x: F.transform(F.filter(x["props"], lambda p: p["id"].isin(*SINGLE) & (F.size(p["vals"]) != 1)), lambda p: _issue("error", "single_value", x["node_id"], F.concat(p["id"], F.lit(" should have a single value"))))))),
         ("komi_result", _if(~komi_fits_result(km, re), _issue("warning", "komi_result", 0, "komi and result don't fit"))),
         ("first_color", _if((first["color"] == "W") & (F.col("abct") == 0), _issue("warning", "first_color", 0, "white plays first"))),
         ("first_color", _if((first["color"] == "B") & (n >= 2), _issue("warning", "first_color", 0, "black plays first after a handicap"))),

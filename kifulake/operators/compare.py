@@ -202,6 +202,11 @@ def merged_moves(a: Column, b: Column, most: int = 0) -> Column:
     return F.when(F.size(diffs) <= most, F.struct(longer.alias("moves"), notes.alias("notes")))
 
 
+def joined_notes(notes: Column) -> Column:
+    """An array of notes as one comment, as merging several records' comments gives it."""
+    return F.array_join(F.filter(notes, lambda n: n != ""), ".\n")
+
+
 def merged_properties(a: Column, b: Column) -> Column:
     """Two property lists in a row without exact repeats; a result that begins another gives way to it."""
     both = F.array_distinct(F.concat(a, b))

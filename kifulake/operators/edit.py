@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.points import mirrored
+from ..functions.points import mirrored, symmetry
 
 #: Properties whose values are points, in the first part or in both parts.
 POINTED = ("B", "W", "AB", "AW", "AE", "TR", "CR", "MA", "SL", "SQ", "TB", "TW", "DD", "VW", "LB")
@@ -30,7 +30,7 @@ def prop(name: Column | str, vals: Column) -> Column:
 
 @dataclass(frozen=True)
 class StripRule:
-    """Which values go: all of that name, those that hold a text, or those equal to it."""
+    """Which properties go: all of that name, those whose first value holds a text, or those where it equals it."""
 
     name: str
     op: str = ""
@@ -44,23 +44,24 @@ class StripRule:
         return cls(text)
 
     def hits(self, p: Column) -> Column:
-        named = p["id"] == self.name
+        """Of a property of that name."""
+        first = F.get(p["vals"], F.lit(0))
         if self.op == ":":
-            return named & F.exists(p["vals"], lambda v: v.contains(self.value))
+            return F.coalesce(first.contains(self.value), F.lit(False))
         if self.op == "=":
-            return named & F.exists(p["vals"], lambda v: v == self.value)
-        return named
+            return F.coalesce(first == self.value, F.lit(False))
+        return F.lit(True)
 
 
 def stripped(nodes: Column, rules: list[StripRule], zone: str = "all", last: Column | None = None) -> Column:
-    """Without the properties that a rule hits; zone: head (root), middle, tail (last node) or all."""
+    """Without the properties that a rule hits: the first of its name decides. zone: head (root), middle, tail (last node) or all."""
     last = F.size(nodes) - 1 if last is None else last
     inside = {"all": lambda n: F.lit(True), "head": lambda n: n["node_id"] == 0, "tail": lambda n: n["node_id"] == last, "middle": lambda n: (n["node_id"] > 0) & (n["node_id"] < last)}[zone]
 
     def hit(p):
         out = F.lit(False)
-        for r in rules:
-            out = out | r.hits(p)
+        for r in reversed(rules):
+            out = F.when(p["id"] == r.name, r.hits(p)).otherwise(out)
         return out
 
     return each_props(nodes, lambda n, ps: F.when(inside(n), F.filter(ps, lambda p: ~hit(p))).otherwise(ps))
@@ -72,7 +73,7 @@ def without_empty(nodes: Column) -> Column:
 
 
 def trimmed_values(nodes: Column) -> Column:
-    return each_props(nodes, lambda n, ps: F.transform(ps, lambda p: prop(p["id"], F.transform(p["vals"], lambda v: F.trim(v)))))
+    return each_props(nodes, lambda n, ps: F.transform(ps, lambda p: prop(p["id"], F.transform(p["vals"], lambda v: F.btrim(v, F.lit(" \t\r\n"))))))
 
 
 def without_variations(nodes: Column) -> Column:
@@ -102,9 +103,9 @@ def _mirrored_value(v: Column, t: int, last: Column, rectangles: bool) -> Column
     return F.when(colon, F.concat(first, F.lit(":"), second)).otherwise(_mirrored_point(v, t, last))
 
 
-def transformed_nodes(nodes: Column, t: int, size: Column | int = 19, swap_colors: bool = False) -> Column:
+def transformed_nodes(nodes: Column, t: int | str, size: Column | int = 19, swap_colors: bool = False) -> Column:
     """All points of all variations under symmetry t; swap: black and white moves and stones change places."""
-    last = (F.lit(size) if isinstance(size, int) else size) - 1
+    last, t = (F.lit(size) if isinstance(size, int) else size) - 1, symmetry(t) if isinstance(t, str) else t
 
     def one(p):
         name, vals = p["id"], p["vals"]
@@ -119,12 +120,19 @@ def transformed_nodes(nodes: Column, t: int, size: Column | int = 19, swap_color
     return each_props(nodes, lambda n, ps: F.transform(ps, one))
 
 
-def sorted_stones(nodes: Column) -> Column:
-    """Stone lists: neighbours of one name merged, values sorted."""
+def sorted_stones(nodes: Column, distinct: bool = False) -> Column:
+    """Stone lists: neighbours of one name merged, values sorted, each once where ``distinct``."""
+
+    def added(done, p):
+        last = F.get(F.slice(done, -1, 1), F.lit(0))
+        joins = p["id"].isin(*STONE_SETS) & (last["id"] == p["id"])
+        longer = F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(prop(p["id"], F.concat(last["vals"], p["vals"]))))
+        return F.when(joins, longer).otherwise(F.concat(done, F.array(p)))
+
     def merged(ps):
-        same = lambda p: F.flatten(F.transform(F.filter(ps, lambda q: q["id"] == p["id"]), lambda q: q["vals"]))
-        kept = F.filter(ps, lambda p, i: ~p["id"].isin(*STONE_SETS) | ~F.exists(F.slice(ps, 1, i), lambda q: q["id"] == p["id"]))
-        return F.transform(kept, lambda p: prop(p["id"], F.when(p["id"].isin(*STONE_SETS), F.array_sort(same(p))).otherwise(p["vals"])))
+        joined = F.aggregate(ps, F.slice(ps, 1, 0), added)
+        order = lambda vals: F.array_sort(F.array_distinct(vals) if distinct else vals)
+        return F.transform(joined, lambda p: prop(p["id"], F.when(p["id"].isin(*STONE_SETS), order(p["vals"])).otherwise(p["vals"])))
 
     return each_props(nodes, lambda n, ps: F.when(F.size(ps) > 0, merged(ps)).otherwise(ps))
 

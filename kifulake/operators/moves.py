@@ -81,6 +81,17 @@ class Wanted:
     color: str | None = None
 
 
+def every(moves: Column, setup: Column, which: str = "", what: str = "") -> Column:
+    """All moves as numbered lines. which: "" (moves), I (initial stones) or A (both);
+    what: "" (letters), c (the colour alone) or x (colour and letters)."""
+    n = F.size(moves)
+    first = setup if which == "" else F.lit(0)
+    chosen = F.slice(moves, first + 1, F.greatest((setup if which == "I" else n) - first, F.lit(0)))
+    color = lambda m: F.coalesce(m["color"], F.lit("X"))
+    body = {"": lambda m: m["mv"], "c": color, "x": lambda m: F.concat(color(m), m["mv"])}[what]
+    return F.array_join(F.transform(chosen, lambda m, i: F.concat((i + 1).cast("string"), F.lit(". "), body(m))), "\n")
+
+
 def positions(text: str, color: str | None = None, size: int = 19) -> list[Wanted]:
     """'cf,dd' or 'C14:1-20,dd': a range holds for the items after it too."""
     out, lo, hi = [], None, None

@@ -15,6 +15,7 @@ from ..functions.points import swapped, transformed
 from ..functions.predicates import Interval, conjunction, string_test
 from ..operators import board, check, compare, edit, moves, pattern, properties, signatures
 from ..session import table
+from .collection import Collection
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -138,15 +139,8 @@ def filter_and(spark, sf):
     return p.where(conjunction([Interval.parse("5-9").test(p["p_size"]), string_test(p["p_brand"], "=", "Brand#13"), string_test(p["p_type"], "!=", "STANDARD")])).select("p_partkey", "p_name")
 
 
-@query("select doc_id, source from documents where contains(source, 'src1') and doc_id <= 500")
-def filter_filename(spark, sf):
-    d = table(spark, sf, "documents")
-    return d.where(string_test(d["source"], ":", "src1") & Interval.parse("-500").test(d["doc_id"])).select("doc_id", "source")
-
-
 @query("select doc_id, source from documents where contains(source, 'src1')")
-def filter_filename_all(spark, sf):
-    """filter_filename over all documents."""
+def filter_filename(spark, sf):
     d = table(spark, sf, "documents")
     return d.where(string_test(d["source"], ":", "src1")).select("doc_id", "source")
 
@@ -247,9 +241,9 @@ def truncate_tail(spark, sf):
     return games(spark, sf).select("game_id", signatures.joined(moves.truncated(F.col("moves"), drop=40)).alias("mv")).where("mv <> ''")
 
 
-@query(f"with {MOVES}, n as (select game_id as g, max(case when is_pass = 0 then k end) as n from moves where k <= 20 group by game_id) select game_id, count(*) as left_moves from moves join n on g = game_id where k <= n group by game_id")
+@query(f"with {MOVES}, n as (select game_id as g, max(case when is_pass = 0 then k end) as n from moves group by game_id) select game_id, count(*) as left_moves from moves join n on g = game_id where k <= n group by game_id")
 def strip_trailing_pass(spark, sf):
-    return games(spark, sf).select("game_id", big(F.size(moves.without_trailing_passes(F.slice("moves", 1, 20))), "left_moves"))
+    return games(spark, sf).select("game_id", big(F.size(moves.without_trailing_passes(F.col("moves"))), "left_moves"))
 
 
 @query(f"with {MOVES} select distinct game_id from moves where mv = 'dd' and game_id in (select game_id from moves where mv = 'cf')")
@@ -316,9 +310,9 @@ def sig_dyer_norm(spark, sf):
     return games(spark, sf).select("game_id", signatures.dyer_normalised(F.col("moves"), "A").alias("sig"))
 
 
-@query(f"with {SYM} select game_id, cast(t as bigint) as t, string_agg(mv, '' order by k) as mv from sym where k <= 12 group by game_id, t")
+@query(f"with {SYM} select game_id, cast(t as bigint) as t, string_agg(mv, '' order by k) as mv from sym group by game_id, t")
 def transform_8(spark, sf):
-    g = games(spark, sf).select("game_id", F.slice("moves", 1, 12).alias("m"))
+    g = games(spark, sf).select("game_id", F.col("moves").alias("m"))
     each = F.array(*[F.struct(F.lit(t).cast("long").alias("t"), signatures.joined(F.col("m"), t).alias("mv")) for t in range(8)])
     return g.select("game_id", F.inline(each))
 
@@ -334,20 +328,20 @@ def swap_colors(spark, sf):
     return games(spark, sf).select("game_id", F.array_join(F.transform(moves.colors_swapped(F.col("moves")), lambda m: F.concat(m["color"], m["mv"])), " ").alias("mv"))
 
 
-@query(f"with {MOVES}, s as (select game_id, md5(string_agg(mv, '' order by k) || chr(10)) as sig from moves where k <= 1 group by game_id) select sig, min(game_id) as game_id, count(*) as copies from s group by sig")
+@query(f"with {MOVES}, s as (select game_id, md5(string_agg(mv, '' order by k) || chr(10)) as sig from moves group by game_id) select sig, min(game_id) as game_id, count(*) as copies from s group by sig")
 def dedupe_by_signature(spark, sf):
-    g = games(spark, sf).select("game_id", signatures.md5(moves.truncated(F.col("moves"), keep=1)).alias("sig"))
+    g = games(spark, sf).select("game_id", signatures.md5(F.col("moves")).alias("sig"))
     return g.groupBy("sig").agg(F.min("game_id").alias("game_id"), F.count("*").alias("copies"))
 
 
 # ---------------------------------------------------------------- semi and anti joins
 
 
-@query(f"with {MOVES}, s as (select game_id, string_agg(mv, '' order by k) as sig from moves where k in (1, 2) group by game_id) select s.game_id, s.sig from s where substr(sig, 1, 1) in (select substr(sig, 1, 1) from s where game_id = (select min(game_id) from s))")
+@query(f"with {MOVES}, s as (select game_id, count(*) as n from moves group by game_id) select game_id, n as movect from s where n = (select n from s where game_id = (select min(game_id) from s))")
 def ref_semi_join(spark, sf):
-    s = games(spark, sf).select("game_id", signatures.joined(F.slice("moves", 1, 2)).alias("sig")).withColumn("at", F.substring("sig", 1, 1))
-    ref = s.orderBy("game_id").limit(1).select("at")  # the reference record: one row, so a broadcast
-    return s.join(F.broadcast(ref), "at", "left_semi").select("game_id", "sig")
+    all_games = Collection(games(spark, sf).withColumn("setup", F.lit(0)))
+    reference = Collection(all_games.games.orderBy("game_id").limit(1))  # the reference record
+    return all_games.like(reference, "m").games.select("game_id", big(F.size("moves"), "movect"))
 
 
 @query("select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_orderstatus = 'P')")
@@ -433,16 +427,30 @@ def merge_result_subsume(spark, sf):
 def gc_listagg(spark, sf):
     c = table(spark, sf, "conversations")
     note = F.concat("role", F.lit(":"), F.char_length("text").cast("string"))
-    return c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", note.alias("n")))), lambda s: s["n"]), ".\n").alias("gc"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("turn", note.alias("n")))), lambda s: s["n"])
+    return c.groupBy("conv_id").agg(compare.joined_notes(ordered).alias("gc"))
 
 
 # ---------------------------------------------------------------- validation
 
 
-@query(f"with {LINES} select game_id, rf as id, count(*) as n from l group by game_id, rf having count(*) > 1")
+def one_node(spark, sf, name: Column) -> DataFrame:
+    """Orders as games of one node, with a property for each line."""
+    li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("game_id"), edit.prop(name, F.array("l_linestatus")).alias("p"))
+    node = F.struct(F.lit(0).alias("node_id"), F.lit(True).alias("is_main"), F.col("ps").alias("props"))
+    g = li.groupBy("game_id").agg(F.collect_list("p").alias("ps")).select("game_id", F.array(node).alias("nodes"))
+    none = F.array().cast("array<struct<color:string,x:int,y:int,mv:string>>")
+    return g.withColumns({"moves": none, "setup": F.lit(0), "abct": F.lit(0), "awct": F.lit(0)})
+
+
+def broken(spark, sf, rule: str, name: Column) -> DataFrame:
+    """The games that break a rule of the validator."""
+    return one_node(spark, sf, name).where(F.size(dict(check.node_issues())[rule]) > 0).select("game_id")
+
+
+@query(f"with {LINES} select game_id from l group by game_id having count(*) > count(distinct rf)")
 def dup_ids(spark, sf):
-    li = table(spark, sf, "lineitem")
-    return li.groupBy(F.col("l_orderkey").alias("game_id"), F.col("l_returnflag").alias("id")).agg(F.count("*").alias("n")).where("n > 1")
+    return broken(spark, sf, "duplicate", F.col("l_returnflag"))
 
 
 @query(f"with {MOVES}, c as (select game_id, k, case when x % 2 = 0 then 'B' else 'W' end as c from moves), p as (select *, lag(c) over (partition by game_id order by k) as q from c) select game_id, k from p where c = q")
@@ -453,10 +461,7 @@ def same_color_twice(spark, sf):
 
 @query("select l_orderkey as game_id from lineitem group by l_orderkey having bool_or(l_returnflag = 'R') and bool_or(l_returnflag = 'N')")
 def mixed_classes(spark, sf):
-    ids = {"R": "B", "N": "AB"}
-    name = F.when(F.col("l_returnflag") == "R", ids["R"]).when(F.col("l_returnflag") == "N", ids["N"]).otherwise("C")
-    li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("game_id"), check.class_of(name).alias("kind"))
-    return li.groupBy("game_id").agg(F.bool_or(F.col("kind") == "move").alias("m"), F.bool_or(F.col("kind") == "setup").alias("s")).where("m and s").select("game_id")
+    return broken(spark, sf, "mixed", F.when(F.col("l_returnflag") == "R", "B").when(F.col("l_returnflag") == "N", "AB").otherwise("C"))
 
 
 @query("select o_orderkey as game_id from orders where (o_orderkey % 14) % 2 <> (o_custkey % 30) % 2")
@@ -555,15 +560,8 @@ def strip_props(spark, sf):
     return order_nodes(spark, sf).select("game_id", big(F.size(several), "left_props"))
 
 
-@query("select doc_id, replace(replace(text, chr(10), ' '), chr(13), ' ') as text from documents where doc_id < 50")
-def replace_nl(spark, sf):
-    d = table(spark, sf, "documents").where("doc_id < 50")
-    return d.select("doc_id", properties.one_line(F.col("text")).alias("text"))
-
-
 @query("select doc_id, replace(replace(text, chr(10), ' '), chr(13), ' ') as text from documents")
-def replace_nl_all(spark, sf):
-    """replace_nl over all documents."""
+def replace_nl(spark, sf):
     return table(spark, sf, "documents").select("doc_id", properties.one_line(F.col("text")).alias("text"))
 
 

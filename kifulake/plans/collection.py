@@ -7,16 +7,20 @@ fields, the replay) and pushes what can be decided by path into the scan.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.points import symmetry
 from ..functions.predicates import Interval, string_test
 from ..operators import board, moves, pattern, properties, signatures
 from ..sources import sgf, writer
 
+#: Projections that the database holds as columns, which Parquet's statistics can prune by.
+STORED = {"m": "movect", "Bcapt": "black_captured", "Wcapt": "white_captured"}
 PROPERTIES = ("prop", "rprop", "nrprop", "mprop", "mrprop")
 
 
@@ -39,8 +43,12 @@ class Collection:
 
     def value(self, name: str) -> Column:
         """A projection by name: x, fn, sz, h, m, N, player, winner, loser, md5, can, canx,
-        DsA, DsB, DsC, DnA, s, Bcapt, Wcapt, capt, P, propXY, rpropXY, nrpropXY, mpropXY,
-        prop, rprop, nrprop, mprop, M<list>."""
+        DsA, DsB, DsC, DnA, s, Bcapt, Wcapt, capt, P, P<move>, k (after where_pattern), propXY,
+        rpropXY, nrpropXY, mpropXY, prop, rprop, nrprop, mprop, M<list>, and all moves as
+        numbered lines: M, Mc, Mx, with I or A behind the M for initial stones or both. Of the
+        database, m and the captures are columns of their own."""
+        if self.stored and name in STORED:
+            return F.col(STORED[name])
         m, setup = F.col("moves"), F.col("setup")
         simple: dict[str, Callable[[], Column]] = {
             "x": lambda: F.col("game_nr"),
@@ -67,6 +75,14 @@ class Collection:
             return signatures.dyer(m, name[2:] if name[2:] in signatures.DYER else tuple(map(int, name[2:].split(","))))
         if name[:2] == "Dn":
             return signatures.dyer_normalised(m, name[2:] if name[2:] in signatures.DYER else tuple(map(int, name[2:].split(","))), F.col("size") - 1)
+        if name == "k":
+            if "k" not in self.games.columns:
+                raise ValueError("k is there after where_pattern alone")
+            return F.col("k")
+        if re.fullmatch(r"P\d+", name):
+            return board.position_sgf(board.final_stones(self.events(), int(name[1:])), F.col("size"))
+        if found := re.fullmatch(r"M([IA]?)([cx]?)|M([cx])([IA])", name):
+            return moves.every(m, setup, found[1] or found[4] or "", found[2] or found[3] or "")
         if name[:1] == "M":
             return F.array_join(moves.listed(m, name[1:] or None, setup=setup), " ")
         for prefix, where, kind in (("mrprop", "root", "all"), ("mprop", "all", "all"), ("nrprop", "rest", "first"), ("rprop", "root", "first"), ("prop", "all", "first"), ("--", "all", "first")):
@@ -108,10 +124,15 @@ class Collection:
         return replace(self, games=here.join(F.broadcast(ref), keys, "left_semi").drop(*keys))
 
     def truncated(self, keep: int | None = None, drop: int | None = None) -> Collection:
+        """Moves are cut, and what the database holds of their number follows; captures stay those of the whole game."""
+        cut = moves.truncated(F.col("moves"), keep, drop, F.col("setup"))
+        if self.stored:
+            return replace(self, games=self.games.withColumns({"moves": cut, "movect": F.size(cut) - F.col("setup")}))
         return replace(self, games=self.games.withColumn("moves", moves.truncated(F.col("moves"), keep, drop, F.col("setup"))))
 
-    def turned(self, t: int) -> Collection:
-        """All moves under symmetry t; rotations are t = 2 * quarter turns."""
+    def turned(self, t: int | str) -> Collection:
+        """All moves under symmetry t, by number or name (points.symmetry)."""
+        t = symmetry(t) if isinstance(t, str) else t
         return replace(self, games=self.games.withColumn("moves", moves.with_symmetry(F.col("moves"), t, F.col("size") - 1)))
 
     # ---- results

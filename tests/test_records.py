@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from kifulake.functions import points
 from kifulake.operators import board, check, compare, edit, moves, pattern, properties, render, tree
 from kifulake.plans import bridge
 from kifulake.plans.collection import Collection
@@ -215,9 +216,9 @@ def test_replies_behind_many_nodes_without_a_move(spark):
 def test_text_queries_run_over_all_documents(spark, tmp_path):
     rows = [(i, f"a\nb\r{i}\n", f"src{i % 3}/x") for i in range(0, 1200, 7)] + [(None, None, None)]
     spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {(r.doc_id, r.text) for r in bridge.QUERIES["replace_nl_all"](spark, str(tmp_path)).collect()}
+    got = {(r.doc_id, r.text) for r in bridge.QUERIES["replace_nl"](spark, str(tmp_path)).collect()}
     assert got == {(i, t and t.replace("\n", " ").replace("\r", " ")) for i, t, _ in rows}
-    got = {(r.doc_id, r.source) for r in bridge.QUERIES["filter_filename_all"](spark, str(tmp_path)).collect()}
+    got = {(r.doc_id, r.source) for r in bridge.QUERIES["filter_filename"](spark, str(tmp_path)).collect()}
     assert got == {(i, s) for i, _, s in rows if s and "src1" in s}
 
 
@@ -280,3 +281,59 @@ def test_stream(spark, folder, tmp_path):
 
 def test_listing():
     assert moves.ranges("3,5-7,9-") == [(3, 3), (5, 7), (9, None)]
+
+
+def _one(spark, text, tmp_path, **options):
+    (tmp_path / "g.sgf").write_text(text)
+    return Collection.of_files(spark, str(tmp_path), **options)
+
+
+@pytest.mark.parametrize(
+    ("root", "want"),
+    [
+        ("RE[Unfinished]", set()), ("RE[Game suspended at move 10]", set()), ("RE[Both lost]", set()), ("RE[Not played]", set()), ("RE[B+bye]", set()), ("RE[W+]", set()),
+        ("RE[jigo]", {("result_syntax", "warning")}), ("RE[J]", {("result_syntax", "warning")}), ("RE[Black wins]", {("result_syntax", "error")}), ("RE[B+3x]", {("result_syntax", "error")}),
+        ("KM[x]", {("komi_syntax", "warning")}), ("KM[5.]", set()), ("KM[5][6]", {("single_value", "error")}), ("RE[B+R][W+R]", {("single_value", "error")}), ("SZ[50]", {("size", "error")}),
+        ("HA[x]", {("handicap_syntax", "warning")}), ("HA[30]AB[dd]AW[ee]", {("handicap_syntax", "warning")}),
+    ],
+)
+def test_severities(spark, tmp_path, root, want):
+    games = _one(spark, f"(;{root}C[a];C[b])", tmp_path).games.withColumns({"issues": F.expr("cast(array() as array<struct<severity:string,rule:string,line:int,message:string>>)")})
+    kept = {"result_syntax", "komi_syntax", "single_value", "size", "handicap_syntax"}
+    assert {(r.rule, r.severity) for r in check.issues(games).collect() if r.rule in kept} == want
+
+
+def test_first_rule_of_a_name_decides_on_the_first_value(spark, tmp_path):
+    games = _one(spark, "(;AB[aa][bb]C[x]PL[B])", tmp_path).games
+    left = lambda *rules: [p.id for p in games.select(F.inline(edit.stripped(F.col("nodes"), [edit.StripRule.parse(r) for r in rules]))).first().props]
+    assert left("AB=bb") == ["AB", "C", "PL"] and left("AB=aa") == ["C", "PL"]
+    assert left("C=y", "C") == ["AB", "C", "PL"] and left("C:x", "PL=W") == ["AB", "PL"]
+
+
+def test_stones_of_neighbours_merge(spark, tmp_path):
+    games = _one(spark, "(;AB[cc]AB[aa][aa]C[x]AB[bb])", tmp_path).games
+    shown = lambda **o: [(p.id, p.vals) for p in games.select(F.inline(edit.sorted_stones(F.col("nodes"), **o))).first().props]
+    assert shown() == [("AB", ["aa", "aa", "cc"]), ("C", ["x"]), ("AB", ["bb"])]
+    assert shown(distinct=True)[0] == ("AB", ["aa", "cc"])
+
+
+def test_listings_and_positions(spark, tmp_path):
+    c = _one(spark, "(;SZ[9]AB[aa];W[bb];B[cc];W[])", tmp_path)
+    row = c.select("M", "Mc", "Mx", "MI", "MAx", "P1", "P").first()
+    assert list(row) == ["1. bb\n2. cc\n3. tt", "1. W\n2. B\n3. W", "1. Wbb\n2. Bcc\n3. Wtt", "1. aa", "1. Baa\n2. Wbb\n3. Bcc\n4. Wtt", "(;SZ[9]AB[aa]AW[bb])", "(;SZ[9]AB[aa][cc]AW[bb])"]
+    found = c.where_pattern("(;SZ[9]AB[cc])").select("k", "x").first()
+    assert found.k == 2
+    with pytest.raises(ValueError, match="where_pattern"):
+        c.select("k")
+    assert c.turned("vflip").select("M").first() == c.turned(1).select("M").first() and points.symmetry("rot") == points.symmetry("rot90") == 2 and points.symmetry("rot180") == 4
+
+
+def test_database_answers_from_its_columns(spark, tmp_path):
+    c = _one(spark, "(;SZ[9];B[aa];W[ab];B[bb];W[ba];B[cc])", tmp_path)
+    writer.write_database(c.games.withColumn("parse_error", F.lit(None).cast("string")), str(tmp_path / "db"))
+    db = Collection.of_database(spark, str(tmp_path / "db"))
+    want = c.select("m", "Bcapt", "Wcapt", "capt").first()
+    assert list(db.select("m", "Bcapt", "Wcapt", "capt").first()) == list(want)
+    assert list(db.truncated(keep=2).select("m").first()) == list(c.truncated(keep=2).select("m").first()) == [2]
+    plan = db.where("m", "5-").select("fn")._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(movect,5)" in plan and "moves" not in plan.split("ReadSchema")[1]
