@@ -59,7 +59,7 @@ def _segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
 
 def _key(line: Column, length: Column, i: int, shift: int, edits: int) -> Column:
     start, size = _segment(length, i, edits)
-    return F.xxhash64(length, F.lit(i), F.substring(line, start + shift, size))
+    return F.xxhash64(length, F.lit(i + 8 * edits), F.substring(line, start + shift, size))
 
 
 def shifts(i: int, difference: int, edits: int) -> range:
@@ -83,18 +83,18 @@ def lookups(line: Column, size: Column, edits: int = EDITS) -> tuple[list[Column
 
 
 #: Characters whose counts a line's mark holds, two bits each.
-MARKED = "etaoinshrl ,"
+MARKED = "etaoinshrdlucmfwypvbgk ,.01234-T"
 
 
 def mark(line: Column) -> Column:
     """Counts of some characters modulo 4, in Gray code. An edit changes two counts by one at
     most, and the bits in which two marks differ are at most what the counts differ by: so
     lines within e edits have marks that differ in 2 e bits at most."""
-    size, out = F.octet_length(line), F.lit(0)
+    size, out = F.octet_length(line), F.lit(0).cast("long")
     for i, c in enumerate(MARKED):
         n = size - F.octet_length(F.replace(line, F.lit(c), F.lit("")))
         gray = (n.bitwiseXOR(F.shiftright(n, 1))).bitwiseAND(F.lit(1)).bitwiseOR(n.bitwiseAND(F.lit(2)))
-        out = out.bitwiseOR(F.shiftleft(gray, 2 * i))
+        out = out.bitwiseOR(F.shiftleft(gray.cast("long"), 2 * i))
     return out
 
 
@@ -162,7 +162,24 @@ def distance(a: Column, b: Column, most: int) -> Column:
         first = F.struct(F.lit(((1 << (most + 1)) - 1) << most).cast("long").alias("up"), F.lit(0).cast("long").alias("down"), F.least(F.lit(most), n).cast("long").alias("value"))
         return F.aggregate(F.sequence(F.lit(0), F.size(y) - 1), first, step, lambda state: state["value"])
 
-    return _let(F.struct(F.split(a, "").alias("a"), F.split(b, "").alias("b")), run)
+    return _let(_middles(a, b), lambda m: F.when((m["a"] == "") | (m["b"] == ""), F.abs(F.char_length(m["a"]) - F.char_length(m["b"])).cast("long")).otherwise(_let(F.struct(F.split(m["a"], "").alias("a"), F.split(m["b"], "").alias("b")), run)))
+
+
+def _middles(a: Column, b: Column) -> Column:
+    """What is left of both strings without equal ends (to eight characters), which need no edits."""
+
+    def rest(x: Column, y: Column, step: int) -> Column:
+        same = F.substring(x, 1, step) == F.substring(y, 1, step)
+        cut = lambda z: F.when(same & (F.char_length(x) > step) & (F.char_length(y) > step), F.substring(z, step + 1, 1 << 30)).otherwise(z)
+        return F.struct(cut(x).alias("a"), cut(y).alias("b"))
+
+    def cut(pair: Column) -> Column:
+        for step in (512, 256, 128, 64, 32, 16, 8):
+            pair = _let(pair, lambda p, step=step: rest(p["a"], p["b"], step))
+        return pair
+
+    front = cut(F.struct(a.alias("a"), b.alias("b")))
+    return _let(cut(_let(front, lambda p: F.struct(F.reverse(p["a"]).alias("a"), F.reverse(p["b"]).alias("b")))), lambda p: p)
 
 
 def _texts(rows: DataFrame, named: DataFrame) -> DataFrame:
