@@ -52,7 +52,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("line_dedup", line_repeats), ("near_dedup", near_duplicates), ("decontaminate", benchmark_leaks), ("packing", packed)]
 
-#: No SQL expresses the trees, the edit join or the tokenizer: tests hold each stage against brute force.
+#: No SQL expresses the trees or the tokenizer: tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
