@@ -367,6 +367,7 @@ def test_url_verdicts_against_brute_force(spark):
     hosts = ["a.org", "www.a.org", "m.a.org", "b.net", "m.b.net", "c.com", "d.org", "www.com"]
     make = lambda: f"{rng.choice(['http', 'HTTPS'])}://{rng.choice(hosts)}{rng.choice(['', '/', '/es/', '/es/1', '/fr', f'/{rng.randrange(40)}/'])}{rng.choice(['', '?ref=1', '?utm_source=a&p=2', '?p=2&ref', '#t'])}"
     pages = [(i, make(), rng.choice([None, "<p>", "", "", "", f'<link rel="canonical" href="{make()}">', f'<meta http-equiv="refresh" content="1;url={make()}">'])) for i in range(120)]
+    pages += [(200 + i, f"http://e{i}.org/p", '<link rel="canonical" href="http://b.net/es/zz">') for i in range(5)]
     rules = [url_filter.Rule("allow", "com", "/"), url_filter.Rule("block", "net", "/es/"), url_filter.Rule("allow", "m.b.net", "/es/"), url_filter.Rule("block", "d.org", "/")]
 
     def vertex(url):
