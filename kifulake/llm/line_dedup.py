@@ -109,8 +109,10 @@ def near_pairs(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     # the keys travel instead of the text: half its bytes; numbers, so that copies are dropped by hashing, not by sorting
     keyed = lines.where(size >= PER_EDIT).select(*ID, *[k.alias(n) for k, n in zip(keys, names, strict=True)], mark(F.col("line")).alias("mark"))
     distinct = keyed.groupBy(*ID).agg(*[F.min(n).alias(n) for n in [*names, "mark"]])
-    held = distinct.select(F.col("h1").alias("a"), F.col("mark").alias("ma"), F.explode(F.array(*[names[i] for i in own])).alias("key")).where("key is not null")
-    asked = distinct.select(F.col("h1").alias("b"), F.col("mark").alias("mb"), F.explode(F.array(*names)).alias("key")).where("key is not null")
+    # both sides take all keys, so the lines are read and shuffled once for the two: fewer columns would be another shuffle
+    every = distinct.select("h1", "mark", F.posexplode(F.array(*names)).alias("at", "key")).where("key is not null")
+    held = every.where(F.col("at").isin(own)).select(F.col("h1").alias("a"), F.col("mark").alias("ma"), "key")
+    asked = every.select(F.col("h1").alias("b"), F.col("mark").alias("mb"), "key")
     found = held.join(asked, (held["key"] == asked["key"]) & (F.col("a") != F.col("b")) & (F.bit_count(F.col("ma").bitwiseXOR(F.col("mb"))) <= 2 * edits))
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
