@@ -78,4 +78,27 @@ judged as (select page_id, c.host, c.path, host || path || query as v, (select s
 select page_id, host, path, own.r as rule, coalesce(own.s, i.verdict, 'allow') as verdict from judged j left join inherited i on i.v = j.v
 """
 
-ORACLE = {"op1_line_dedup": OP1, "op3_bagminhash": OP3, "op5_chat_format": OP5, "op6_url_filter": OP6}
+OP11 = r"""
+with texts as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t from documents),
+words as (select *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as w, min(doc_id) over (partition by t) as first from texts),
+said as (select doc_id, bool_or(quality = 1) as good, bool_or(toxic = 1) as toxic from labels group by doc_id),
+failing as (select part, coalesce(good, false) as good, coalesce(toxic, false) as toxic,
+  {'A': len(w) < 100, 'B': 100 * len(list_distinct(w)) < 80 * len(w), 'C': 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t), 'D': regexp_matches(t, '[#$%&*|]'), 'E': coalesce(doc_id > first, false)} as f
+  from words left join said using (doc_id)),
+letters as (select unnest(['A', 'B', 'C', 'D', 'E']) as x),
+fails as (select part, good, toxic, list_filter(['A', 'B', 'C', 'D', 'E'], lambda x: case x when 'A' then f.A when 'B' then f.B when 'C' then f.C when 'D' then f.D else f.E end) as failed from failing),
+bins as (select part, failed, count(*) as n, count(*) filter (good) as good, count(*) filter (toxic) as toxic from fails group by part, failed),
+orders as (select a.x || b.x || c.x || d.x || e.x as filter_order from letters a, letters b, letters c, letters d, letters e where len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps as (select filter_order, s::int as step, filter_order[s] as x, string_split(left(filter_order, s - 1), '') as before from orders, unnest(range(1, 6)) as u(s)),
+told as (select part, filter_order, step, x,
+  coalesce(sum(n) filter (not list_contains(failed, x) and not list_has_any(failed, before)), 0)::bigint as kept,
+  coalesce(sum(n) filter (list_contains(failed, x) and not list_has_any(failed, before)), 0)::bigint as removed,
+  coalesce(sum(n) filter (list_contains(failed, x) and list_has_any(failed, before)), 0)::bigint as redundant,
+  coalesce(sum(n) filter (failed = [x]), 0)::bigint as unique_fails,
+  coalesce(sum(good) filter (list_contains(failed, x) and not list_has_any(failed, before)), 0)::bigint as good_lost,
+  coalesce(sum(toxic) filter (list_contains(failed, x) and not list_has_any(failed, before)), 0)::bigint as toxic_lost
+  from bins, steps group by part, filter_order, step, x)
+select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) over (partition by part, x))::bigint as shapley from told
+"""
+
+ORACLE = {"op1_line_dedup": OP1, "op3_bagminhash": OP3, "op5_chat_format": OP5, "op6_url_filter": OP6, "op11_filter_audit": OP11}
