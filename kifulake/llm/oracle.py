@@ -101,4 +101,19 @@ told as (select part, filter_order, step, x,
 select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) over (partition by part, x))::bigint as shapley from told
 """
 
-ORACLE = {"op1_line_dedup": OP1, "op3_bagminhash": OP3, "op5_chat_format": OP5, "op6_url_filter": OP6, "op11_filter_audit": OP11}
+OP12 = r"""
+with pieces as (select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+split as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces),
+totals as (select lang, sum(len(w))::bigint as n from split group by lang),
+sizes as (select unnest(range(1, 6)) as k),
+phrases as (select lang, k, array_to_string(w[i : i + k - 1], ' ') as phrase from split, sizes, lateral (select unnest(range(1, len(w) - k + 2)) as i)),
+found as (select lang, k, phrase, count(*) as a from phrases group by lang, k, phrase having count(*) >= 100),
+kept as (select * from found c where k >= 2 and not exists (select 1 from found o where o.lang = c.lang and o.k > c.k and 100 * o.a >= 100 * c.a and contains(' ' || o.phrase || ' ', ' ' || c.phrase || ' '))),
+cuts as (select c.*, i, array_to_string(string_split(phrase, ' ')[: i], ' ') as p, array_to_string(string_split(phrase, ' ')[i + 1 :], ' ') as q from kept c, lateral (select unnest(range(1, c.k)) as i)),
+scored as (select c.lang, c.phrase, c.a, x.a as l, y.a as r, n, i, (1000::hugeint * c.a * n) // (x.a::hugeint * y.a) as score
+  from cuts c join found x on x.lang = c.lang and x.phrase = p join found y on y.lang = c.lang and y.phrase = q join totals t on t.lang = c.lang),
+best as (select * from scored qualify row_number() over (partition by lang, phrase order by score, i) = 1)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score::bigint as score from best qualify rank <= 2000
+"""
+
+ORACLE = {"op1_line_dedup": OP1, "op3_bagminhash": OP3, "op5_chat_format": OP5, "op6_url_filter": OP6, "op11_filter_audit": OP11, "op12_collocations": OP12}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, brown_lm, chat_format, decontaminate, filter_audit, line_dedup, packing, quality_rules, record_files, sentence_pieces, token_counts, url_filter
+from . import bagminhash, brown_lm, chat_format, collocations, decontaminate, filter_audit, line_dedup, packing, quality_rules, record_files, sentence_pieces, token_counts, url_filter
 from .common import scratch, table
 from .oracle import ORACLE
 
@@ -76,8 +76,12 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(filter_audit.failures(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.digests(sentence_pieces.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_quality_rules, op3_bagminhash, op4_brown_lm, op5_chat_format, op6_url_filter, op7_record_files, op8_decontaminate, op9_packing, op10_token_counts, op11_filter_audit, op13_sentence_pieces)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_quality_rules, op3_bagminhash, op4_brown_lm, op5_chat_format, op6_url_filter, op7_record_files, op8_decontaminate, op9_packing, op10_token_counts, op11_filter_audit, op12_collocations, op13_sentence_pieces)}
