@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.points import symmetry
 from ..functions.predicates import Interval, string_test
 from ..operators import board, moves, pattern, properties, signatures
-from ..sources import sgf, writer
+from ..sources import sgf, split, writer
 
 #: Projections that the database holds as columns, which Parquet's statistics can prune by.
 STORED = {"m": "movect", "Bcapt": "black_captured", "Wcapt": "white_captured"}
@@ -26,14 +26,24 @@ PROPERTIES = ("prop", "rprop", "nrprop", "mprop", "mrprop")
 
 @dataclass(frozen=True)
 class Collection:
-    """games: a row for each game. stored: the rows come from the database, without properties."""
+    """games: a row for each game. stored: the rows come from the database, without properties.
+    texts: they have the game's text, from which properties are read one by one (full_ids:
+    with the lower-case letters of their names)."""
 
     games: DataFrame
     stored: bool = False
+    texts: bool = False
+    full_ids: bool = False
 
     @classmethod
-    def of_files(cls, spark: SparkSession, paths, recursive: bool = False, extension: str = ".sgf", **options) -> Collection:
-        return cls(sgf.games(sgf.scan(spark, paths, recursive, extension), **options))
+    def of_files(cls, spark: SparkSession, paths, recursive: bool = False, extension: str = ".sgf", strict: bool = False, full_ids: bool = False, many: bool = False, second_node: bool = False, large: int = split.LARGE) -> Collection:
+        """strict: files are parsed whole, and issues are found. large: bytes above which a file
+        is read in parts, by many tasks."""
+        if strict:
+            return cls(sgf.games(sgf.scan(spark, paths, recursive, extension), strict=True, full_ids=full_ids, many=many, second_node=second_node))
+        found = split.texts(spark, paths, recursive, extension, large)
+        found = found.where((F.col("run") & (F.col("game_nr") > 0)) | (F.col("n_games") == 0) if not many else (F.col("game_nr") > 0) | (F.col("n_games") == 0))
+        return cls(sgf.typed(found, full_ids, second_node), texts=True, full_ids=full_ids)
 
     @classmethod
     def of_database(cls, spark: SparkSession, path: str) -> Collection:
@@ -55,7 +65,7 @@ class Collection:
             "fn": lambda: F.col("path"),
             "sz": lambda: F.col("size"),
             "h": lambda: properties.handicap(F.col("abct"), F.col("awct")),
-            "m": lambda: F.size(m) - setup,
+            "m": lambda: F.col("movect") if "movect" in self.games.columns else F.size(m) - setup,
             "N": lambda: F.col("n_games"),
             "s": lambda: signatures.joined(m),
             "md5": lambda: signatures.md5(m),
@@ -90,6 +100,8 @@ class Collection:
                 if self.stored:
                     raise ValueError("the database holds no properties")
                 nodes, of = F.col("nodes"), name[len(prefix) :]
+                if self.texts and kind == "first" and of:
+                    return sgf.first_value(F.col("text"), of, where, self.full_ids)
                 if not of:
                     return properties.multi_ids(nodes, where) if kind == "all" else properties.ids(nodes, where)
                 return properties.first_all(nodes, of, where) if kind == "all" else properties.first_value(nodes, of, where)
@@ -103,9 +115,19 @@ class Collection:
     def where(self, name: str, op: str = "", value: str = "") -> Collection:
         """An interval for numbers (where('m', '100-')), else a string test (where('propDT', ':', '2003'))."""
         if op in ("=", ":", "!", "!=", "!:"):
-            return replace(self, games=self.games.where(string_test(self.value(name), op, value)))
+            test = string_test(self.value(name), op, value)
+            return replace(self, games=self.games.where(self.may_hold(name, op, value) & test if self.texts else test))
         return replace(self, games=self.games.where(Interval.parse(op).test(self.value(name))))
 
+    def may_hold(self, name: str, op: str, value: str) -> Column:
+        """Whether a game's text can pass a test, told by its bytes before anything is parsed:
+        a property's value stands in the text as it is, but for white space behind brackets.
+        Text that isn't UTF-8 may hold other bytes for what isn't ASCII."""
+        if op not in ("=", ":") or not value or "]" in value or not re.match(r"(n?r)?prop[A-Z]|--|winner|loser", name):
+            return F.lit(True)
+        found = F.contains(F.col("text"), F.lit(value.encode()))
+        return found if value.isascii() else found | ~F.is_valid_utf8(F.col("text").cast("string"))
+
     def where_played(self, text: str, color: str | None = None) -> Collection:
         return replace(self, games=self.games.where(moves.played(F.col("moves"), moves.positions(text, color), F.col("setup"))))
 
@@ -126,9 +148,7 @@ class Collection:
     def truncated(self, keep: int | None = None, drop: int | None = None) -> Collection:
         """Moves are cut, and what the database holds of their number follows; captures stay those of the whole game."""
         cut = moves.truncated(F.col("moves"), keep, drop, F.col("setup"))
-        if self.stored:
-            return replace(self, games=self.games.withColumns({"moves": cut, "movect": F.size(cut) - F.col("setup")}))
-        return replace(self, games=self.games.withColumn("moves", moves.truncated(F.col("moves"), keep, drop, F.col("setup"))))
+        return replace(self, games=self.games.withColumns({"moves": cut, "movect": F.size(cut) - F.col("setup")}))
 
     def turned(self, t: int | str) -> Collection:
         """All moves under symmetry t, by number or name (points.symmetry)."""

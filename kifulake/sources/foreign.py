@@ -215,13 +215,13 @@ def nihon_kiin(text: str) -> str:
     from .writer import serialised
 
     out = []
-    for game in parse(text.encode("utf-8").decode("latin-1")):
+    for game in parse(text):
         if game["parse_error"]:
             raise ValueError(game["parse_error"])
         for n in game["nodes"]:
             n["props"] = [{"id": RENAMED.get(p["id"], p["id"]), "vals": p["vals"]} for p in n["props"]]
         out.append(serialised(game["nodes"]))
-    return "".join(out).encode("latin-1").decode("utf-8")
+    return "".join(out)
 
 
 FORMATS = {"ngf": (ngf, "cp932"), "nip": (nip, "utf-8"), "gib": (gib, "utf-8"), "ugi": (ugi, "cp932"), "ugf": (ugi, "cp932"), "nk": (nihon_kiin, "cp932")}

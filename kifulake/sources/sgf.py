@@ -7,7 +7,13 @@ on path, length or time into the scan.
 
 Trees are stored flat, nodes in pre-order. Leaves are numbered from 1; a node holds the
 leaves [var_lo, var_hi], so 'is on variation v' is a range test and needs no recursion.
-Bytes are kept one to a character (Latin-1) until a character set is chosen for them.
+Bytes become text before they are parsed, so that brackets inside the double bytes of East
+Asian sets are none: UTF-8 where they are valid as that, else the set that the record states
+(CA), else the one they look like.
+
+``typed`` has a column for each thing that a query may ask of a game, each a UDF of its own
+over the game's text: what isn't asked for isn't built, and the root alone is read for what
+stands there.
 """
 
 from __future__ import annotations
@@ -15,6 +21,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,7 +34,7 @@ ISSUE = "struct<severity:string,rule:string,line:int,message:string>"
 GAME = f"struct<game_nr:int,size:int,abct:int,awct:int,setup:int,moves:array<{MOVE}>,nodes:array<{NODE}>,parse_error:string,issues:array<{ISSUE}>>"
 
 LINE_END = re.compile("\n")
-BOM = "\xef\xbb\xbf"
+BOM = "\ufeff"
 START = re.compile(r"\(\s*;|\(\s*(?=T[A-Z]?\[)")
 CLOSING = re.compile(r"\s*(?:[;()\[A-Za-z]|\Z)")
 IDENT = re.compile(r"[A-Za-z\s]+")
@@ -44,6 +51,28 @@ class Broken(Exception):
     """The text can't be read further."""
 
 
+class Enough(Exception):
+    """The nodes asked for are read."""
+
+
+def decoded(data: bytes) -> str:
+    """Bytes as text: UTF-8, the stated set, the detected one, or Latin-1, the first that fits."""
+    try:
+        return data.decode("utf-8")
+    except UnicodeDecodeError:
+        from ..functions.charset import ALIASES, SETS, STATED, candidates
+
+    m = STATED.search(data)
+    stated = m[1].decode("latin-1").lower() if m else ""
+    stated = ALIASES.get(stated, stated)
+    for name in [*[x for x in SETS if x.lower() == stated.lower()], *candidates(data)]:
+        try:
+            return data.decode(SETS[name])
+        except UnicodeDecodeError:
+            continue
+    return data.decode("latin-1")
+
+
 class Node:
     """at: where it begins in the text."""
 
@@ -64,10 +93,11 @@ class Game:
 
 class Reader:
     """Reads the games of one text. strict: report what is tolerated. full_ids: keep
-    lower-case letters of property names. many: look for more games behind other text."""
+    lower-case letters of property names. many: look for more games behind other text.
+    most: read so many nodes of a game alone."""
 
-    def __init__(self, text: str, strict: bool = False, full_ids: bool = False, many: bool = False):
-        self.text, self.at, self.strict, self.full_ids, self.many = text, 0, strict, full_ids, many
+    def __init__(self, text: str, strict: bool = False, full_ids: bool = False, many: bool = False, most: int | None = None):
+        self.text, self.at, self.strict, self.full_ids, self.many, self.most = text, 0, strict, full_ids, many, most
         self.game, self.counted, self.line = Game(), 0, 1
 
     def line_now(self) -> int:
@@ -111,6 +141,8 @@ class Reader:
                 self.tree()
             except Broken as e:
                 self.game.error = f"line {self.line_now()}: {e}"
+            except Enough:
+                return [*out, self.game]
             out.append(self.game)
             failed, early, self.game = self.game.error, [], Game()
             if failed and not self.many:
@@ -125,6 +157,8 @@ class Reader:
         # of each open tree: node its first node hangs on, depth, main line?, last node, children, first node, first leaf
         stack: list[list] = []
         while True:
+            if self.most is not None and len(game.nodes) > self.most:
+                raise Enough
             self.blank()
             if self.at >= len(text):
                 raise Broken("the text ends within a game")
@@ -323,7 +357,7 @@ def parse(data: bytes | str, second_node: bool = False, **options) -> list[dict]
 
 def _rows(data: bytes | str, second_node: bool = False, **options) -> list[tuple]:
     """As parse, in tuples: Arrow takes these much faster than dicts."""
-    text = data.decode("latin-1") if isinstance(data, bytes) else data
+    text = decoded(data) if isinstance(data, bytes) else data
     out = []
     ends = [m.start() for m in LINE_END.finditer(text)]
     for nr, game in enumerate(Reader(text, **options).games(), 1):
@@ -351,6 +385,89 @@ def parsed(content: Column, strict: bool = False, full_ids: bool = False, many:
     return udf(content)
 
 
+#: The columns of typed that come of the root alone, and those that a count of moves needs.
+ROOT = "struct<size:int,abct:int,awct:int,setup:int>"
+ENDS = "struct<movect:int,parse_error:string>"
+
+
+def _game(data: bytes | None, full_ids: bool, most: int | None = None) -> Game:
+    """The one game of a text that split has cut."""
+    found = Reader(decoded(data or b""), full_ids=full_ids, most=most).games()
+    return found[0] if found else Game(error="no game found")
+
+
+def _lists(flat: list[pa.Array], names: list[str], sizes: list[int]) -> pa.ListArray:
+    """Lists of structs from the columns of all their elements in a row."""
+    cuts = pa.array([0, *accumulate(sizes)], pa.int32())
+    return pa.ListArray.from_arrays(cuts, pa.StructArray.from_arrays(flat, names=names) if len(names) > 1 else flat[0])
+
+
+def moves_array(games_: list[list[tuple]]) -> pa.Array:
+    """Lists of (color, x, y, mv) as Arrow lists, built column by column."""
+    every = [m for moves in games_ for m in moves]
+    columns = list(zip(*every, strict=True)) or [()] * 4
+    kinds = (pa.string(), pa.int32(), pa.int32(), pa.string())
+    return _lists([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["color", "x", "y", "mv"], [len(m) for m in games_])
+
+
+def nodes_array(games_: list[Game]) -> pa.Array:
+    """The nodes of games as Arrow lists, built column by column."""
+    every = [n for g in games_ for n in g.nodes]
+    props = [p for n in every for p in n.props]
+    vals = _lists([pa.array([v for _, vs in props for v in vs], pa.string())], ["vals"], [len(vs) for _, vs in props])
+    held = _lists([pa.array([i for i, _ in props], pa.string()), vals], ["id", "vals"], [len(n.props) for n in every])
+    number = lambda values: pa.array(values, pa.int32())
+    columns = [number([i for g in games_ for i in range(len(g.nodes))]), *(number([getattr(n, a) for n in every]) for a in ("parent", "depth", "var_lo", "var_hi")), pa.array([n.is_main for n in every], pa.bool_()), number([n.at for n in every]), held]
+    return _lists(columns, ["node_id", "parent", "depth", "var_lo", "var_hi", "is_main", "line", "props"], [len(g.nodes) for g in games_])
+
+
+def typed(texts: DataFrame, full_ids: bool = False, second_node: bool = False) -> DataFrame:
+    """The games of split.texts with the fields of GAME, and movect, each column by itself."""
+    shapes = {k: arrow_type(k) for k in (ROOT, ENDS)}
+
+    @F.arrow_udf(ROOT)
+    def root(a: pa.Array) -> pa.Array:
+        found = [main_line(_game(x, full_ids, 2 if second_node else 1), second_node) for x in a.to_pylist()]
+        return pa.array([(s, b, w, n) for s, b, w, n, _ in found], shapes[ROOT])
+
+    @F.arrow_udf(ENDS)
+    def ends(a: pa.Array) -> pa.Array:
+        found = [_game(x, full_ids) for x in a.to_pylist()]
+        return pa.array([(sum(len(v) for n in g.nodes if n.is_main for i, v in n.props if i in ("B", "W")), g.error) for g in found], shapes[ENDS])
+
+    @F.arrow_udf(f"array<{MOVE}>")
+    def moves(a: pa.Array) -> pa.Array:
+        return moves_array([main_line(_game(x, full_ids), second_node)[4] for x in a.to_pylist()])
+
+    @F.arrow_udf(f"array<{NODE}>")
+    def nodes_(a: pa.Array) -> pa.Array:
+        found = [_game(x, full_ids) for x in a.to_pylist()]
+        for x, g in zip(a.to_pylist(), found, strict=True):
+            lines = [m.start() for m in LINE_END.finditer(decoded(x or b""))]
+            for n in g.nodes:
+                n.at = bisect_left(lines, n.at) + 1
+        return nodes_array(found)
+
+    out = texts.withColumns({"_root": root("text"), "_ends": ends("text"), "moves": moves("text"), "nodes": nodes_("text")})
+    issues = F.array().cast(f"array<{ISSUE}>")  # of the strict parser alone
+    return out.select("path", "n_games", "game_nr", "_root.*", "_ends.movect", "moves", "nodes", "_ends.parse_error", issues.alias("issues"), F.concat_ws("#", "path", F.col("game_nr").cast("string")).alias("game_id"), "text")
+
+
+def first_value(text: Column, name: str, where: str = "all", full_ids: bool = False) -> Column:
+    """As properties.first_value, of a game's text: no node is handed on but the value."""
+
+    @F.arrow_udf("string")
+    def udf(a: pa.Array) -> pa.Array:
+        out = []
+        for x in a.to_pylist():
+            nodes_ = _game(x, full_ids, 1 if where == "root" else None).nodes
+            some = {"all": nodes_, "root": nodes_[:1], "rest": nodes_[1:]}[where]
+            out.append(next((vals[0] if vals else None for n in some for i, vals in n.props if i == name), None))
+        return pa.array(out, pa.string())
+
+    return udf(text)
+
+
 def scan(spark: SparkSession, paths: str | list[str], recursive: bool = False, extension: str = ".sgf") -> DataFrame:
     """files(path, modificationTime, length, content); an empty extension takes all files."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
