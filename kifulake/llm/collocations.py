@@ -143,28 +143,22 @@ def chained(pairs: np.ndarray, k: int) -> np.ndarray:
 
 
 def packed(found: np.ndarray, cap: int, block: int) -> Iterator[tuple[int, int, bytes]]:
-    """(block, 1 for a counter each or 0 for a list, compressed bytes) of buckets that occurred."""
+    """(block, buckets, compressed bytes) of the buckets that occurred and how often: steps
+    from one to the next, byte by byte of all (the upper ones are mostly 0), then counters."""
     at, n = np.unique(found, return_counts=True)
     n = np.minimum(n, cap).astype("u2")
     cuts = np.flatnonzero(np.diff(at.astype("i8") // block, prepend=-1, append=-1)) if len(at) else []
     for a, b in pairwise(cuts):
-        inner, count = at[a:b] % block, n[a:b]
-        if dense := 6 * (b - a) > 2 * block:
-            every = np.zeros(block, "u2")
-            every[inner] = count
-            data = every.tobytes()
-        else:
-            data = inner.tobytes() + count.tobytes()
-        yield int(at[a]) // block, len(data) * (-1 if dense else 1), pa.compress(data, codec="zstd", asbytes=True)
+        steps = np.diff(at[a:b] % block, prepend=np.zeros(1, at.dtype)).astype("<u4")
+        planes = np.concatenate([steps.view("u1").reshape(-1, 4).T.ravel(), n[a:b].view("u1").reshape(-1, 2).T.ravel()])
+        yield int(at[a]) // block, b - a, pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
 def counters(size: int, data: bytes, block: int) -> np.ndarray:
-    """The counters of a block again; size: the bytes before compression, less than 0 for a counter each."""
-    raw = pa.decompress(data, abs(size), codec="zstd", asbytes=True)
-    if size < 0:
-        return np.frombuffer(raw, "u2")
-    n, out = size // 6, np.zeros(block, "u2")
-    out[np.frombuffer(raw, "u4", n)] = np.frombuffer(raw, "u2", n, 4 * n)
+    """The counters of a block again."""
+    planes, out = np.frombuffer(pa.decompress(data, 6 * size, codec="zstd", asbytes=True), "u1"), np.zeros(block, "u2")
+    steps = np.ascontiguousarray(planes[: 4 * size].reshape(4, -1).T).view("<u4").ravel()
+    out[np.cumsum(steps)] = np.ascontiguousarray(planes[4 * size :].reshape(2, -1).T).view("<u2").ravel()
     return out
 
 
@@ -237,6 +231,11 @@ def matches(chunk: Chunk, candidates: list[np.ndarray]) -> Iterator[tuple[str, i
 def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, text: str = "text", lang: str = "lang", sizes: Sizes = SIZES) -> DataFrame:
     """lang, phrase, a: all phrases of up to ``longest`` words that occur ``least`` times or more,
     exactly; the phrase '' counts the words of the language."""
+    return candidate_counts(docs, least, longest, text, lang, sizes).where((F.col("a") >= least) | (F.col("phrase") == ""))
+
+
+def candidate_counts(docs: DataFrame, least: int, longest: int, text: str = "text", lang: str = "lang", sizes: Sizes = SIZES) -> DataFrame:
+    """The same of all phrases that pass their bits."""
     texts = docs.select(F.coalesce(docs[lang].cast("string"), F.lit("und")).alias("lang"), text_of(docs, text).alias("text"))
     spark = docs.sparkSession
     size = texts.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
@@ -276,8 +275,7 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, t
                 total.clear()
         yield from sent()
 
-    counted = texts.mapInArrow(count, "lang string, phrase string, a long").groupBy("lang", "phrase").agg(F.sum("a").alias("a"))
-    return counted.where((F.col("a") >= least) | (F.col("phrase") == ""))
+    return texts.mapInArrow(count, "lang string, phrase string, a long").groupBy("lang", "phrase").agg(F.sum("a").alias("a"))
 
 
 def ranked(counts: DataFrame, first: int = FIRST, spread: int = 64) -> DataFrame:
