@@ -13,7 +13,7 @@ from ..functions.points import mirrored, symmetry
 POINTED = ("B", "W", "AB", "AW", "AE", "TR", "CR", "MA", "SL", "SQ", "TB", "TW", "DD", "VW", "LB")
 LINED = ("AR", "LN")
 #: The order of root properties; the rest follow.
-ROOT_ORDER = ("FF", "EV", "RO", "PB", "BR", "BT", "PW", "WR", "WT", "KM", "HA", "OH", "RU", "TM", "OT", "DT", "PC", "RE", "SZ", "CA", "GN", "US", "SO")
+ROOT_ORDER = ("FF", "EV", "EVX", "RO", "ID", "PB", "BR", "PW", "WR", "TM", "KM", "RE", "JD", "DT", "DTX", "PC", "BC", "WC", "BT", "WT", "RU", "OH", "HA")
 DROPPED = ("GM", "SY", "BS", "WS", "KI")
 COMMENTS = ("C", "LB")
 STONE_SETS = ("AB", "AW", "AE", "TB", "TW")

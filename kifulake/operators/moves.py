@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.points import mirrored, parse_point, swapped, transformed
+from .bitmap import holds
 
 
 def truncated(moves: Column, keep: int | None = None, drop: int | None = None, setup: Column | int = 0) -> Column:
@@ -127,6 +128,25 @@ def played(moves: Column, wanted: list[Wanted], setup: Column | int = 0) -> Colu
     return out
 
 
+def played_bits(black: Column, white: Column, wanted: list[Wanted]) -> tuple[Column, list[Wanted]]:
+    """As played, from the points' bits: a test that all games must pass, and what it leaves
+    open, which the moves must tell: those with a range, and passes."""
+    out, rest = F.lit(True), []
+    for w in wanted:
+        if len(w.mv) != 2 or w.mv == "tt":
+            rest.append(w)
+            continue
+        point = [(ord(w.mv[0]) - 97, ord(w.mv[1]) - 97)]
+        sides = {"B": [black], "W": [white]}.get(w.color, [black, white])
+        hit = holds(sides[0], point)
+        for side in sides[1:]:
+            hit = hit | holds(side, point)
+        out = out & hit
+        if w.first is not None or w.last is not None:
+            rest.append(w)
+    return out, rest
+
+
 def exploded(games: DataFrame, key: str = "game_id") -> DataFrame:
     """A row for each move: k from 1."""
     return games.select(key, F.posexplode("moves").alias("i", "m")).select(key, (F.col("i") + 1).alias("k"), "m.color", "m.x", "m.y", "m.mv")

@@ -16,11 +16,15 @@ from pyspark.sql import functions as F
 
 from ..functions.points import symmetry
 from ..functions.predicates import Interval, string_test
-from ..operators import board, moves, pattern, properties, signatures
-from ..sources import sgf, split, writer
+from ..operators import bitmap, board, moves, pattern, properties, signatures
+from ..sources import index, sgf, split, writer
 
 #: Projections that the database holds as columns, which Parquet's statistics can prune by.
-STORED = {"m": "movect", "Bcapt": "black_captured", "Wcapt": "white_captured"}
+STORED = {"m": "movect", "Bcapt": "black_captured", "Wcapt": "white_captured", "md5": "md5", "can": "can", "canx": "canx"}
+#: What no longer holds of a game whose moves are cut or turned.
+OF_MOVES = ("md5", "can", "canx", "black", "white")
+#: Rows of a reference that a join may broadcast; their number is checked.
+BROADCAST = 300_000
 PROPERTIES = ("prop", "rprop", "nrprop", "mprop", "mrprop")
 
 
@@ -49,6 +53,11 @@ class Collection:
     def of_database(cls, spark: SparkSession, path: str) -> Collection:
         return cls(writer.read_database(spark, path), True)
 
+    @classmethod
+    def of_index(cls, spark: SparkSession, path: str, buckets: int = index.BUCKETS) -> Collection:
+        """Signatures alone (md5, can, canx), with m, x and fn."""
+        return cls(index.read_index(spark, path, buckets), True)
+
     # ---- columns
 
     def value(self, name: str) -> Column:
@@ -57,7 +66,7 @@ class Collection:
         rpropXY, nrpropXY, mpropXY, prop, rprop, nrprop, mprop, M<list>, and all moves as
         numbered lines: M, Mc, Mx, with I or A behind the M for initial stones or both. Of the
         database, m and the captures are columns of their own."""
-        if self.stored and name in STORED:
+        if self.stored and STORED.get(name) in self.games.columns:
             return F.col(STORED[name])
         m, setup = F.col("moves"), F.col("setup")
         simple: dict[str, Callable[[], Column]] = {
@@ -129,31 +138,44 @@ class Collection:
         return found if value.isascii() else found | ~F.is_valid_utf8(F.col("text").cast("string"))
 
     def where_played(self, text: str, color: str | None = None) -> Collection:
-        return replace(self, games=self.games.where(moves.played(F.col("moves"), moves.positions(text, color), F.col("setup"))))
+        wanted = moves.positions(text, color)
+        if "black" in self.games.columns:
+            bits, rest = moves.played_bits(F.col("black"), F.col("white"), wanted)
+            return replace(self, games=self.games.where(bits & moves.played(F.col("moves"), rest, F.col("setup")) if rest else bits))
+        return replace(self, games=self.games.where(moves.played(F.col("moves"), wanted, F.col("setup"))))
 
     def where_pattern(self, text: str, all_symmetries: bool = False, swap: bool = False) -> Collection:
         """Games with the pattern; the move of the first match comes as column k."""
         size, wanted = pattern.constraints(text)
-        events = self.games.select("game_id", F.explode(self.events()).alias("e")).select("game_id", "e.*")
-        found = pattern.first_match(events, pattern.variants(wanted, size - 1, all_symmetries, swap))
-        return replace(self, games=self.games.where(F.col("size") == size).join(found.select("game_id", F.col("first_move").alias("k")), "game_id"))
-
-    def like(self, reference: Collection, *names: str) -> Collection:
-        """Games whose projections equal those of the reference's one game."""
-        ref = reference.games.select(*[reference.value(n).alias(f"_{i}") for i, n in enumerate(names)]).limit(1)
-        here = self.games.withColumns({f"_{i}": self.value(n) for i, n in enumerate(names)})
+        rows = pattern.variants(wanted, size - 1, all_symmetries, swap)
+        # games that never had the stones of any variant aren't replayed, nor are their events unnested
+        bits = (F.col(c) if c in self.games.columns else bitmap.point_words(F.col("moves"), k) for k, c in bitmap.COLUMNS.items())
+        able = self.games.where((F.col("size") == size) & bitmap.may_match(*bits, rows))
+        events = able.select("game_id", F.explode(self.events()).alias("e")).select("game_id", "e.*")
+        found = pattern.first_match(events, rows)
+        return replace(self, games=able.join(found.select("game_id", F.col("first_move").alias("k")), "game_id"))
+
+    def like(self, reference: Collection, *names: str, every: bool = False) -> Collection:
+        """Games whose projections equal those of the reference's one game; every: of any of its
+        games, as many as there are. Few references are broadcast; where there are more, they
+        are dealt to an index's buckets, and its games stay where they are."""
+        ref = reference.games.select(*[reference.value(n).alias(f"_{i}") for i, n in enumerate(names)])
+        ref = ref.distinct() if every else ref.limit(1)
+        if not every or ref.limit(BROADCAST + 1).count() <= BROADCAST:
+            ref = F.broadcast(ref)
         keys = [f"_{i}" for i in range(len(names))]
-        return replace(self, games=here.join(F.broadcast(ref), keys, "left_semi").drop(*keys))
+        same = [self.value(n) == ref[k] for n, k in zip(names, keys, strict=True)]
+        return replace(self, games=self.games.join(ref, same, "left_semi"))
 
     def truncated(self, keep: int | None = None, drop: int | None = None) -> Collection:
         """Moves are cut, and what the database holds of their number follows; captures stay those of the whole game."""
         cut = moves.truncated(F.col("moves"), keep, drop, F.col("setup"))
-        return replace(self, games=self.games.withColumns({"moves": cut, "movect": F.size(cut) - F.col("setup")}))
+        return replace(self, games=self.games.withColumns({"moves": cut, "movect": F.size(cut) - F.col("setup")}).drop(*OF_MOVES))
 
     def turned(self, t: int | str) -> Collection:
         """All moves under symmetry t, by number or name (points.symmetry)."""
         t = symmetry(t) if isinstance(t, str) else t
-        return replace(self, games=self.games.withColumn("moves", moves.with_symmetry(F.col("moves"), t, F.col("size") - 1)))
+        return replace(self, games=self.games.withColumn("moves", moves.with_symmetry(F.col("moves"), t, F.col("size") - 1)).drop(*OF_MOVES))
 
     # ---- results
 

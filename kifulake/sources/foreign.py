@@ -13,8 +13,9 @@ from ..functions.normalize import RESIGN_WORDS
 from .sgf import arrow_type, parse
 
 CONVERTED = "struct<text:string,error:string>"
-#: Where handicap stones stand, by their number, in the two formats that say no more than that.
+#: Where handicap stones stand, by their number, in the two formats that say no more than that (GIB, NGF).
 CORNERS = {2: "pd dp", 3: "pd dp pp", 4: "dd pd dp pp", 5: "dd pd jj dp pp", 6: "dd pd dj pj dp pp", 7: "dd pd dj jj pj dp pp", 8: "dd jd pd dj pj dp jp pp", 9: "dd jd pd dj jj pj dp jp pp"}
+NGF_CORNERS = {2: "pd dp", 3: "pd dp pp", 4: "dd pd dp pp", 5: "dd pd jj dp pp", 6: "pj dj dd pp dp pd", 7: "dj jj pj pp dp dd pd", 8: "dj jp jd pj dd dp pp pd", 9: "jp jd jj dj pj dp pp dd pd"}
 #: What the Nihon Ki-in's records call properties.
 RENAMED = {"TE": "EV", "RD": "DT", "KO": "KM", "GK": "GM", "LT": "OT", "HD": "HA"}
 
@@ -30,8 +31,8 @@ def record(props: list[tuple[str, str | list[str]]], moves: list[tuple[str, str]
     return f"(;\n{head}{body}\n)\n"
 
 
-def stones(n: int) -> list[str]:
-    return CORNERS[n].split() if n in CORNERS else []
+def stones(n: int, corners: dict[int, str] = CORNERS) -> list[str]:
+    return corners[n].split() if n in corners else []
 
 
 def ngf(text: str) -> str:
@@ -53,8 +54,8 @@ def ngf(text: str) -> str:
     if handicap > 1:
         props.append(("HA", str(handicap)))
     props += [("KM", komi if handicap else f"{komi}.5"), ("RE", named_result(result)), ("DT", f"{date[:4]}-{date[4:6]}-{date[6:8]}"), ("PC", site), ("GC", title), ("C", f"{count} moves"), ("SZ", str(size))]
-    if stones(handicap):
-        props += [("AB", stones(handicap)), ("PL", "W")]
+    if stones(handicap, NGF_CORNERS):
+        props += [("AB", stones(handicap, NGF_CORNERS)), ("PL", "W")]
     moves = []
     for line in lines[12:]:
         if not line.strip():

@@ -6,8 +6,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.bitmap import COLUMNS as BITS
+from ..operators.bitmap import point_words
 from ..operators.board import EVENT, with_plays
 from ..operators.moves import truncated
+from .index import BLOOM, signed
 
 #: What stays on a line with its move.
 INLINE = ("B", "W", "BL", "WL", "OB", "OW", "CR")
@@ -68,15 +71,17 @@ def write_games(games: DataFrame, to: str, name: Column | None = None) -> None:
 
 
 #: What the database holds of a game: enough for every query but those on properties.
-COLUMNS = ("game_id", "path", "game_nr", "size", "abct", "awct", "setup", "movect", "black_captured", "white_captured", "moves", "events")
+COLUMNS = ("game_id", "path", "game_nr", "size", "abct", "awct", "setup", "movect", "black_captured", "white_captured", "md5", "can", "canx", "black", "white", "moves", "events")
 
 
 def write_database(games: DataFrame, to: str, mode: str = "errorifexists") -> None:
-    """Replayed games as Parquet; readers prune columns and skip row groups by statistics."""
+    """Replayed games as Parquet; readers prune columns and skip row groups by statistics and,
+    for signatures, Bloom filters. Points ever black and white are bits of their own."""
     g = with_plays(games).where("parse_error is null")
     caught = lambda c: F.size(F.filter("plays.events", lambda e: e["is_capture"] & (e["color"] == c)))
     g = g.withColumns({"movect": F.size("moves") - F.col("setup"), "black_captured": caught("B"), "white_captured": caught("W"), "events": F.col("plays.events").cast(f"array<{EVENT}>")})
-    g.select(*COLUMNS).sortWithinPartitions("movect").write.mode(mode).parquet(to)
+    g = g.withColumns({**signed(F.col("moves"), F.col("size")), **{c: point_words(F.col("moves"), k) for k, c in BITS.items()}})
+    g.select(*COLUMNS).sortWithinPartitions("movect").write.mode(mode).options(**BLOOM).parquet(to)
 
 
 def read_database(spark: SparkSession, path: str) -> DataFrame:

@@ -158,6 +158,20 @@ def test_root_order_and_push_down(spark):
     assert [(n.node_id, n.parent) for n in out] == [(0, -1), (1, 0), (2, 1)]
 
 
+def test_root_order_of_the_published_example(spark):
+    text = "(;PB[Cho Chikun]BR[9th dan]PW[Takemiya Masaki]WR[9-Dan]DT[2/3 October 1996]\nKM[5 1/2]RE[B+11.5]HA[2]ID[x]EVX[y]JD[z]SZ[19]FF[4];B[pd])"
+    g = spark.createDataFrame([(sgf.parse(text)[0]["nodes"],)], f"nodes array<{sgf.NODE}>")
+    out = g.select(edit.ordered_root(F.col("nodes")).alias("n")).first().n[0].props
+    assert [p.id for p in out] == ["FF", "EVX", "ID", "PB", "BR", "PW", "WR", "KM", "RE", "JD", "DT", "HA", "SZ"]
+
+
+def test_handicap_stones_of_each_format(spark, tmp_path):
+    ngf = "t\n19\nw 7段\nb 5段\nsite\n6\n0\n0\n20110812\n480\n白5.5目勝ち!\n0\n"
+    (tmp_path / "a.ngf").write_bytes(ngf.encode("cp932"))
+    text = foreign.converted(sgf.scan(spark, str(tmp_path), extension=".ngf"), "ngf").first().text
+    assert "AB[pj][dj][dd][pp][dp][pd]" in text and foreign.stones(6) == ["dd", "pd", "dj", "pj", "dp", "pp"]
+
+
 def test_comparison(spark):
     one = lambda s: sgf.parse(s)[0]["moves"]
     df = spark.createDataFrame([(one("(;B[aa];W[bb];B[cc])"), one("(;B[aa];W[bd])"), one("(;B[aa];W[bb])"))], f"a array<{sgf.MOVE}>, b array<{sgf.MOVE}>, c array<{sgf.MOVE}>")
