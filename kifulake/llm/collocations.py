@@ -9,8 +9,9 @@ Texts are lower-cased (A-Z alone) and cut into pieces at [.,;:!?\x0A-\x0D], piec
 2. The same of the longer phrases all of whose pairs can.
 3. Chunk by chunk the phrases that pass all their bits (upper bounds: none that is frequent
    can fail) are compiled into an Aho-Corasick automaton, blanks around each, and the chunk
-   is scanned for all overlapping matches. Counts are summed over the corpus; the threshold
-   then holds exactly.
+   is scanned for all overlapping matches. A task sends its counts in shards by the phrase's
+   hash, a list a shard; each shard is summed by itself, and the threshold then holds exactly.
+   Shards are as many more as the corpus is larger, so what one holds stays alike.
 
 The sketch's width follows the corpus up to ``Sizes.most`` buckets a row (the bits that are
 broadcast are 32 MB a row and pass then); a corpus beyond that has more candidates to
@@ -49,7 +50,8 @@ PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\x0b\x0c\r", b"abcde
 class Sizes:
     """What bounds memory; no result depends on it. per_bucket: bytes of text to a bucket of
     the sketch; fewest, most: bounds of a row's buckets; block: buckets that are summed
-    together; chunk: bytes of text; kept, phrases: what a task holds before it sends them."""
+    together; chunk: bytes of text; kept, phrases: what a task holds before it sends them; shards: lists
+    that it sends at least."""
 
     per_bucket: int = 128
     fewest: int = 1 << 20
@@ -58,6 +60,7 @@ class Sizes:
     chunk: int = 1 << 20
     kept: int = 4 << 20
     phrases: int = 300_000
+    shards: int = 64
 
     def width(self, size: int) -> int:
         return min(max(self.fewest, 1 << (size // self.per_bucket).bit_length()), self.most)
@@ -252,10 +255,12 @@ def candidate_counts(docs: DataFrame, least: int, longest: int, text: str = "tex
         bits, total = every.value, {}
 
         def sent():
-            rows = list(total.items())
-            for at in range(0, len(rows), 10_000):
-                some = rows[at : at + 10_000]
-                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in some], pa.string()), pa.array([k[1] for k, _ in some], pa.string()), pa.array([n for _, n in some], pa.int64())], ["lang", "phrase", "a"])
+            by: dict[int, list] = {}
+            for key, n in total.items():
+                by.setdefault(zlib.crc32("\n".join(key).encode()) % shards, []).append((*key, n))
+            for shard, rows in by.items():
+                lists = [pa.array([list(c)], pa.list_(t)) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int64()), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), *lists], ["shard", "langs", "phrases", "counts"])
 
         for lang, text, again in chunks(batches, longest, sizes.chunk):
             chunk = Chunk(lang, text, again, longest)
@@ -275,7 +280,20 @@ def candidate_counts(docs: DataFrame, least: int, longest: int, text: str = "tex
                 total.clear()
         yield from sent()
 
-    return texts.mapInArrow(count, "lang string, phrase string, a long").groupBy("lang", "phrase").agg(F.sum("a").alias("a"))
+    def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict = {}
+        for batch in batches:
+            columns = [batch.column(c).flatten().to_pylist() for c in ("langs", "phrases", "counts")]
+            for lang, phrase, n in zip(*columns, strict=True):
+                total[lang, phrase] = total.get((lang, phrase), 0) + n
+        rows = list(total.items())
+        for at in range(0, len(rows), 10_000):
+            some = rows[at : at + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in some], pa.string()), pa.array([k[1] for k, _ in some], pa.string()), pa.array([n for _, n in some], pa.int64())], ["lang", "phrase", "a"])
+
+    shards = max(sizes.shards, width // sizes.block)
+    sent = texts.mapInArrow(count, "shard long, langs array<string>, phrases array<string>, counts array<long>")
+    return sent.groupBy("shard").applyInArrow(add, "lang string, phrase string, a long")
 
 
 def ranked(counts: DataFrame, first: int = FIRST, spread: int = 64) -> DataFrame:
