@@ -73,17 +73,29 @@ def replies(nodes: Column, after: list[str] | None = None) -> Column:
     return F.array_distinct(F.transform(found, move_of))
 
 
+def move_numbers(nodes_rows: DataFrame) -> DataFrame:
+    """Of nodes as rows: mv (1 where the node has a move) and nr, the moves on the way to it.
+
+    A walk around the tree opens each node at its first leaf and closes it behind its last;
+    one running sum over both gives all ways at once, in proportion to the nodes."""
+    from pyspark.sql import Window
+
+    key = ["path", "game_nr"]
+    moved = F.exists("props", lambda p: p["id"].isin("B", "W")).cast("int")
+    n = nodes_rows.select(*key, "node_id", "depth", "var_lo", "var_hi", moved.alias("mv"))
+    open_, close = F.struct(F.col("var_lo").alias("leaf"), F.lit(0).alias("closes"), F.col("mv").alias("step")), F.struct(F.col("var_hi").alias("leaf"), F.lit(1).alias("closes"), (-F.col("mv")).alias("step"))
+    walk = n.withColumn("e", F.explode(F.array(open_, close)))
+    w = Window.partitionBy(*key).orderBy("e.leaf", "e.closes", "node_id").rowsBetween(Window.unboundedPreceding, 0)
+    return walk.withColumn("nr", F.sum("e.step").over(w)).where("e.closes = 0").drop("e")
+
+
 def tree_rows(nodes_rows: DataFrame) -> DataFrame:
     """Of nodes as rows (with path, game_nr): a row for each run of nodes without a branch,
     indented by depth, as 'first-last' move numbers, in the order of the record."""
     from pyspark.sql import Window
 
     key = ["path", "game_nr"]
-    moved = F.exists("props", lambda p: p["id"].isin("B", "W")).cast("int")
-    up = nodes_rows.select(*key, F.col("node_id").alias("of"), F.col("var_lo").alias("lo"), F.col("var_hi").alias("hi"), moved.alias("mv"))
-    # a node's move number: moves on the way to it, found by interval instead of recursion
-    n = nodes_rows.withColumn("mv", moved)
-    numbered = n.join(up.select(*key, "of", "lo", "hi", F.col("mv").alias("m")), key).where("of <= node_id and lo <= var_lo and var_hi <= hi").groupBy(*key, "node_id", "depth", "var_lo", "var_hi", "mv").agg(F.sum("m").alias("nr"))
+    numbered = move_numbers(nodes_rows)
     w = Window.partitionBy(*key).orderBy("node_id")
     new = F.when((F.lag("var_lo").over(w) == F.col("var_lo")) & (F.lag("var_hi").over(w) == F.col("var_hi")) & (F.lag("depth").over(w) == F.col("depth")), 0).otherwise(1)
     runs = numbered.withColumn("new", new).withColumn("run", F.sum("new").over(w))
@@ -92,4 +104,4 @@ def tree_rows(nodes_rows: DataFrame) -> DataFrame:
     return spans.select(*key, "run", label.alias("label"))
 
 
-__all__ = ["first_difference", "has_move", "move_of", "moves_with_properties", "n_moves", "n_variations", "on_variation", "properties_at", "replies", "shown", "tree_rows", "upto_move"]
+__all__ = ["first_difference", "has_move", "move_numbers", "move_of", "moves_with_properties", "n_moves", "n_variations", "on_variation", "properties_at", "replies", "shown", "tree_rows", "upto_move"]

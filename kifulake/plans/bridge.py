@@ -7,14 +7,17 @@ the tables; the SQL says the same over rows.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import normalize
 from ..functions.points import swapped, transformed
 from ..functions.predicates import Interval, conjunction, string_test
-from ..operators import board, check, compare, edit, moves, pattern, properties, signatures
+from ..operators import bitmap, board, check, compare, edit, moves, pattern, properties, repeats, signatures
 from ..session import table
+from ..sources import split
 from .collection import Collection
 
 QUERIES: dict = {}
@@ -261,6 +264,38 @@ def pos_played_color(spark, sf):
     return games(spark, sf).where(moves.played(F.col("moves"), moves.positions("pp", color="W"))).select("game_id")
 
 
+@query(f"with {MOVES} select distinct a.game_id from moves a join moves b on a.game_id = b.game_id where a.mv = 'dd' and b.mv = 'qd' and b.color = 'B'")
+def pos_played_bits(spark, sf):
+    """By the points' bits alone, as the database answers it."""
+    black, white = (bitmap.point_words(F.col("moves"), c) for c in "BW")
+    bits, rest = moves.played_bits(black, white, [*moves.positions("dd"), *moves.positions("qd", "B")])
+    return games(spark, sf).where(bits & moves.played(F.col("moves"), rest)).select("game_id")
+
+
+TWO_STONES = "(;SZ[19]AB[cd]AW[qf])"
+
+
+@query("with " + MOVES + ", marks as (select distinct game_id, color, x, y from moves where is_pass = 0), want as (" + " union all ".join(
+    f"select {t} as t, {s} as s, '{b}' as black, '{w}' as white, {a} as x, {c} as y, {d} as u, {e} as v" for t, ((a, c), (d, e)) in enumerate(zip(((2, 3), (2, 15), (3, 16), (3, 2), (16, 15), (16, 3), (15, 2), (15, 16)), ((16, 5), (16, 13), (5, 2), (5, 16), (2, 13), (2, 5), (13, 16), (13, 2)), strict=True)) for s, b, w in ((0, "B", "W"), (1, "W", "B"))
+) + ") select distinct p.game_id from want join marks p on p.color = black and p.x = want.x and p.y = want.y join marks q on q.game_id = p.game_id and q.color = white and q.x = u and q.y = v")
+def pattern_bits(spark, sf):
+    """Games that some of a pattern's 16 variants can match, before any move is a row."""
+    size, wanted = pattern.constraints(TWO_STONES)
+    black, white = (bitmap.point_words(F.col("moves"), c) for c in "BW")
+    return games(spark, sf).where(bitmap.may_match(black, white, pattern.variants(wanted, size - 1, True, True))).select("game_id")
+
+
+@query(f"""with {MOVES}, marks as (select *, lag(color) over (partition by game_id, x, y order by k) as before from moves where is_pass = 0),
+boards as (select m.game_id, m.k, string_agg(s.x || ',' || s.y || s.color, ' ' order by s.x, s.y) as board from marks m join
+  (select game_id, k, x, y, color, lead(k, 1, 1000000000) over (partition by game_id, x, y order by k) as until from marks) s on s.game_id = m.game_id and s.k <= m.k and s.until > m.k group by m.game_id, m.k)
+select game_id, k as move_nr from (select *, row_number() over (partition by game_id, board order by k) as n from boards) where n > 1""")
+def repeated_positions(spark, sf):
+    """Moves after which the board is as it was before; a stone takes the place of the one it is set on."""
+    w = Window.partitionBy("game_id", "x", "y").orderBy("k")
+    events = move_rows(spark, sf).where("not is_pass").withColumn("replaces", F.lag("color").over(w)).withColumn("move_nr", F.col("k"))
+    return repeats.repeated(events, order="k")
+
+
 # ---------------------------------------------------------------- signatures and symmetries
 
 
@@ -344,6 +379,22 @@ def ref_semi_join(spark, sf):
     return all_games.like(reference, "m").games.select("game_id", big(F.size("moves"), "movect"))
 
 
+@query(f"with {MOVES}, n as (select game_id, count(*) as movect, bool_or(mv = 'cd') as wanted from moves group by game_id) select game_id, movect from n where movect in (select movect from n where wanted)")
+def ref_many_semi_join(spark, sf):
+    """Games as long as some game of a reference of many."""
+    every = Collection(games(spark, sf).withColumn("setup", F.lit(0)))
+    return every.like(every.where_played("cd"), "m", every=True).games.select("game_id", big(F.size("moves"), "movect"))
+
+
+@query(f"with {MOVES} select game_id, count(*) as movect, md5(string_agg(mv, '' order by k) || chr(10)) as sig from moves group by game_id")
+def scan_in_parts(spark, sf):
+    """Games written as collections and read back, as large files are: in parts, cut by their brackets."""
+    to = f"{split.shared_folder(spark)}/collections-{uuid.uuid4().hex}"
+    games(spark, sf).select(F.concat(F.lit("(;SZ[19]GN["), F.col("game_id").cast("string"), F.lit("]"), F.array_join(F.transform("moves", lambda m: F.concat(F.lit(";"), m["color"], F.lit("["), m["mv"], F.lit("]"))), ""), F.lit(")")).alias("value")).write.text(to)
+    found = Collection.of_files(spark, to, extension="", large=1)
+    return found.select("propGN", "m", "md5").select(F.col("propGN").cast("long").alias("game_id"), big("m", "movect"), F.col("md5").alias("sig"))
+
+
 @query("select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_orderstatus = 'P')")
 def ok_files_anti(spark, sf):
     found = table(spark, sf, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("path"))

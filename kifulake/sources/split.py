@@ -314,14 +314,20 @@ def large_texts(spark: SparkSession, paths: list[str]) -> DataFrame:
     return numbered.select("path", (F.col("n_games")).cast("int").alias("n_games"), F.when(bare, 0).otherwise(F.col("nr")).cast("int").alias("game_nr"), run.alias("run"), "lead", "text")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """A copy in the shared folder; a session on one machine that has none gets one."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors see; a session on one machine that has none gets one."""
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = context.getConf().get("spark.checkpoint.dir", None)
         if not folder and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(folder or f"/tmp/kifulake-{uuid.uuid4().hex}")
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """A copy in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
