@@ -44,6 +44,9 @@ VALUE = re.compile(r"\[([^\]\\]*(?:\\.[^\]\\]*)*)\](?=\s*(?:[;()\[A-Za-z]|\Z))[
 #: Nodes that hold one move and nothing else, in a row; such moves.
 PLAIN = re.compile(r"(?:;\s*[BW]\[[a-z]{0,2}\]\s*)+(?=[;()])")
 MOVES = re.compile(r";\s*([BW])\[([a-z]{0,2})\]")
+#: A root without odd names or brackets; one property of it.
+ROOT_NODE = re.compile(r"\s*+\(\s*+;((?:\s*+[A-Z]++(?:\s*+\[[^\]\\]*+(?:\\.[^\]\\]*+)*+\](?=\s*+(?:[;()\[A-Za-z]|\Z)))++)*+)\s*+(?=[;()])", re.S)
+PROPERTY = re.compile(r"([A-Z]++)((?:\s*+\[[^\]\\]*+(?:\\.[^\]\\]*+)*+\])++)", re.S)
 STONES = {"AB": "B", "AW": "W", "AE": "E"}
 
 
@@ -220,6 +223,8 @@ class Reader:
         for m in MOVES.finditer(self.text, run.start(), run.end()):
             nodes.append(Node(at, depth, m.start(), main, [(m[1], [m[2]])]))
             at = len(nodes) - 1
+            if self.most is not None and at >= self.most:
+                break
         tree[3] = at
         self.at = run.end()
 
@@ -396,6 +401,45 @@ def _game(data: bytes | None, full_ids: bool, most: int | None = None) -> Game:
     return found[0] if found else Game(error="no game found")
 
 
+def _simple(text: str) -> tuple[Game, list[tuple[str, str]]] | None:
+    """The root and the moves behind it of a game that is nothing but those, as most are: two
+    matches of a pattern. None: other games, which the reader reads."""
+    m = ROOT_NODE.match(text)
+    run = m and PLAIN.match(text, m.end())
+    end = run.end() if run else m.end() if m else 0
+    if not m or text[end:].strip() != ")":
+        return None
+    root = Node(-1, 0, 0, True, [(p[1], [v[1] for v in VALUE.finditer(p[2])]) for p in PROPERTY.finditer(m[1])])
+    return Game([root]), MOVES.findall(run[0]) if run else []
+
+
+#: A plain move as a row of MOVE, on boards of 19 lines and less, and on larger ones.
+_POINTS: tuple[dict, dict] = ({}, {})
+
+
+def _line(data: bytes | None, full_ids: bool, second_node: bool) -> tuple:
+    """main_line of the game of a text."""
+    text = decoded(data or b"")
+    found = None if full_ids or second_node else _simple(text)
+    if found is None:
+        return main_line(_game(data, full_ids), second_node)
+    size, black, white, setup, moves = main_line(found[0])
+    known = _POINTS[size > 19]
+    for color, value in set(found[1]).difference(known):
+        at = None if is_pass(value, size) else square(value)
+        known[color, value] = (color, *at, value) if at else (color, None, None, "tt" if is_pass(value, size) else value)
+    moves += map(known.__getitem__, found[1])
+    return size, black, white, setup, moves
+
+
+def _root(data: bytes | None, full_ids: bool) -> Game:
+    """A game's root alone."""
+    m = None if full_ids else ROOT_NODE.match(decoded(data or b""))
+    if m is None:
+        return _game(data, full_ids, 0)
+    return Game([Node(-1, 0, 0, True, [(p[1], [v[1] for v in VALUE.finditer(p[2])]) for p in PROPERTY.finditer(m[1])])])
+
+
 def _lists(flat: list[pa.Array], names: list[str], sizes: list[int]) -> pa.ListArray:
     """Lists of structs from the columns of all their elements in a row."""
     cuts = pa.array([0, *accumulate(sizes)], pa.int32())
@@ -427,17 +471,21 @@ def typed(texts: DataFrame, full_ids: bool = False, second_node: bool = False) -
 
     @F.arrow_udf(ROOT)
     def root(a: pa.Array) -> pa.Array:
-        found = [main_line(_game(x, full_ids, 2 if second_node else 1), second_node) for x in a.to_pylist()]
+        found = [main_line(_game(x, full_ids, 1) if second_node else _root(x, full_ids), second_node) for x in a.to_pylist()]
         return pa.array([(s, b, w, n) for s, b, w, n, _ in found], shapes[ROOT])
 
     @F.arrow_udf(ENDS)
     def ends(a: pa.Array) -> pa.Array:
-        found = [_game(x, full_ids) for x in a.to_pylist()]
-        return pa.array([(sum(len(v) for n in g.nodes if n.is_main for i, v in n.props if i in ("B", "W")), g.error) for g in found], shapes[ENDS])
+        out = []
+        for x in a.to_pylist():
+            simple = None if full_ids else _simple(decoded(x or b""))
+            g, n = (simple[0], len(simple[1])) if simple else (_game(x, full_ids), 0)
+            out.append((n + sum(len(v) for n in g.nodes if n.is_main for i, v in n.props if i in ("B", "W")), g.error))
+        return pa.array(out, shapes[ENDS])
 
     @F.arrow_udf(f"array<{MOVE}>")
     def moves(a: pa.Array) -> pa.Array:
-        return moves_array([main_line(_game(x, full_ids), second_node)[4] for x in a.to_pylist()])
+        return moves_array([_line(x, full_ids, second_node)[4] for x in a.to_pylist()])
 
     @F.arrow_udf(f"array<{NODE}>")
     def nodes_(a: pa.Array) -> pa.Array:
@@ -460,7 +508,8 @@ def first_value(text: Column, name: str, where: str = "all", full_ids: bool = Fa
     def udf(a: pa.Array) -> pa.Array:
         out = []
         for x in a.to_pylist():
-            nodes_ = _game(x, full_ids, 1 if where == "root" else None).nodes
+            simple = None if full_ids or name in ("B", "W") else _simple(decoded(x or b""))
+            nodes_ = simple[0].nodes if simple else _root(x, full_ids).nodes if where == "root" else _game(x, full_ids).nodes
             some = {"all": nodes_, "root": nodes_[:1], "rest": nodes_[1:]}[where]
             out.append(next((vals[0] if vals else None for n in some for i, vals in n.props if i == name), None))
         return pa.array(out, pa.string())

@@ -149,3 +149,33 @@ def test_only_what_is_asked_for_is_built(spark, tmp_path):
     assert asked.index("udf(text") < asked.index("ontains(text") if "udf(text" in asked else True
     listing = split.texts(spark, str(tmp_path)).where(F.col("path").contains("a.sgf"))
     assert listing.count() == 1
+
+
+def odd_records():
+    rng = random.Random(11)
+    roots = ["SZ[9]", "SZ[9]AB[aa][bb:cc]AW[dd]", "GM[1]C[a\\]b]SZ[21]", "ga[x]", "G M[1]", "", "C[a] b]", "B[cc]W[dd]", " PB [x] [y] ", "KM[0.5]\n\nRE[B+R]", "SZ[9]C[(;B[aa\\])]", "AB[aa]\r\n", "Sz[19]C[open"]
+    bodies = ["", ";B[aa];W[bb]", ";B[];W[tt];B[pass]", ";B[a];W[bb]\n;B[cc] ", ";B[aa]C[x];W[bb]", ";B[aa](;W[bb])(;W[cc])", ";B[aa];;W[bb]", ";B[aa][bb]", ";b[aa]", ";B [aa]", ";AB[ee];W[ff]", "; B[aa];W[ bb ]", ";B[AA]", "B[aa]"]
+    ends = [")", ") ", "\n)\n", "", ")x"]
+    return ["(" + ";" + r + b + e for r in roots for b in bodies for e in rng.sample(ends, 3)] + ["", "x", "(", "( ;B[aa])", "(TE[x]B[aa])"]
+
+
+@pytest.mark.parametrize("full_ids", [False, True])
+@pytest.mark.parametrize("second_node", [False, True])
+def test_columns_are_those_of_the_whole_parse(spark, full_ids, second_node):
+    records = odd_records()
+    texts = spark.createDataFrame([("p", 1, i, t.encode()) for i, t in enumerate(records)], "path string, n_games int, game_nr int, text binary")
+    props = [sgf.first_value(F.col("text"), n, w, full_ids).alias(f"{n}_{w}") for n in ("C", "SZ", "B", "PB", "AB") for w in ("all", "root", "rest")]
+    found = sgf.typed(texts, full_ids, second_node).select("*", *props).orderBy("game_nr").collect()
+    for t, r in zip(records, found, strict=True):
+        parsed = sgf.parse(t.encode(), second_node=second_node, full_ids=full_ids)
+        want = parsed[0] if parsed else {"size": 19, "abct": 0, "awct": 0, "setup": 0, "moves": [], "nodes": [], "parse_error": "no game found"}
+        for name in ("size", "abct", "awct", "setup", "parse_error"):
+            if name == "parse_error" or want["parse_error"] is None:
+                assert r[name] == want[name], (t, name)
+        assert [m.asDict() for m in r.moves] == want["moves"] and [n.asDict(True) for n in r.nodes] == want["nodes"], t
+        assert r.movect == sum(len(p["vals"]) for n in want["nodes"] if n["is_main"] for p in n["props"] if p["id"] in ("B", "W")), t
+        if want["parse_error"] is None:
+            for n in ("C", "SZ", "B", "PB", "AB"):
+                some = {"all": want["nodes"], "root": want["nodes"][:1], "rest": want["nodes"][1:]}
+                for w, nodes in some.items():
+                    assert r[f"{n}_{w}"] == next((p["vals"][0] for x in nodes for p in x["props"] if p["id"] == n), None), (t, n, w)
