@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import normalize
 from ..functions.points import swapped, transformed
 from ..functions.predicates import Interval, conjunction, string_test
-from ..operators import bitmap, board, check, compare, edit, moves, pattern, properties, repeats, signatures
+from ..operators import bitmap, board, check, compare, edit, merge, moves, pattern, properties, repeats, signatures
 from ..session import table
 from ..sources import split
 from .collection import Collection
@@ -296,6 +296,22 @@ def repeated_positions(spark, sf):
     return repeats.repeated(events, order="k")
 
 
+@query(f"""with {PAIRS}, joined as (select coalesce(a.pair, b.pair) as pair, coalesce(a.k, b.k) as k, coalesce(a.mv, b.mv) as mv, a.mv as m1, b.mv as m2 from a full join b on a.pair = b.pair and a.k = b.k where coalesce(a.pair, b.pair) in (select pair from ids)),
+ends as (select pair, greatest(count(m1), coalesce(max(k) filter (mv <> 'tt'), 0)) as n, count(m1) as n1, count(m2) as n2 from joined group by pair)
+select b.pair, max(n) as movect, md5(string_agg(mv, '' order by k) || chr(10)) as sig, count(*) filter (m1 <> m2) as differences,
+ coalesce(string_agg(case when m1 <> m2 then 'Some sources have ' || case when k % 2 = 1 then 'B' else 'W' end || ' ' || k || ' at ' || m2 end, '.' || chr(10) order by k), '')
+ || case when max(n1) <> max(n2) and max(n) > least(max(n1), max(n2)) and bool_or(k > least(n1, n2) and mv <> 'tt')
+  then case when count(*) filter (m1 <> m2) > 0 then '.' || chr(10) else '' end || 'Some sources have ' || least(max(n1), max(n2)) || ' moves' else '' end as notes
+from joined b join ends e on e.pair = b.pair and b.k <= e.n group by b.pair""")
+def merge_collections(spark, sf):
+    """Each game merged with the next user's, however many moves differ, with the notes that this gives."""
+    node = lambda m: F.struct(F.lit(True).alias("is_main"), F.array(F.struct(m["color"].alias("id"), F.array(m["mv"]).alias("vals"))).alias("props"))
+    root = F.array(F.struct(F.lit(True).alias("is_main"), F.array().cast("array<struct<id:string,vals:array<string>>>").alias("props")))
+    both = pairs(spark, sf).select("pair", F.explode(F.array(*[F.struct(F.lit(i).alias("place"), F.concat(root, F.transform(c, node)).alias("nodes")) for i, c in enumerate("ab")])).alias("s")).select("pair", "s.*")
+    found = merge.merged(both, "pair", most=1000)
+    return found.select("pair", big(F.size("moves"), "movect"), F.md5(F.concat(F.array_join(F.transform("moves", lambda m: m["mv"]), ""), F.lit("\n")).cast("binary")).alias("sig"), big(F.size("differences"), "differences"), compare.joined_notes(F.col("notes")).alias("notes"))
+
+
 # ---------------------------------------------------------------- signatures and symmetries
 
 

@@ -12,46 +12,52 @@ from ..operators.board import EVENT, with_plays
 from ..operators.moves import truncated
 from .index import BLOOM, signed
 
-#: What stays on a line with its move.
-INLINE = ("B", "W", "BL", "WL", "OB", "OW", "CR")
+#: Properties that stay on the line of their move, which they end.
+INLINE = ("BL", "WL", "OB", "OW", "CR")
+
+
+def _shown(p: dict) -> str:
+    return p["id"] + "".join(f"[{v}]" for v in p["vals"])
+
+
+def _node(props: list[dict], used: int, per_line: int) -> tuple[str, int]:
+    """A node's text, and the moves on the line that it leaves; used: those before it."""
+    out, rest, lines = ";", props, False
+    if props and props[0]["id"] in ("B", "W") and len(props[0]["vals"]) == 1:
+        out, used = ("\n;", 1) if used >= per_line else (";", used + 1)
+        out, rest = out + _shown(props[0]), props[1:]
+    for p in rest:
+        if p["id"] in INLINE:
+            out, used = out + _shown(p), per_line
+        else:
+            out, used, lines = out + ("" if lines else "\n") + _shown(p) + "\n", 0, True
+    return out, used
 
 
 def serialised(nodes: list[dict], per_line: int = 10) -> str:
-    """A record's text: root properties one a line, moves ten a line, variations in brackets."""
+    """A record's text: root properties one a line and a blank line, moves ten a line,
+    other properties on lines of their own, variations in brackets."""
     if not nodes:
         return "(;)\n"
     children: dict[int, list[int]] = {}
     for n in nodes:
         children.setdefault(n["parent"], []).append(n["node_id"])
-    by_id, out = {n["node_id"]: n for n in nodes}, []
-    shown = lambda p: p["id"] + "".join(f"[{v}]" for v in p["vals"])
+    by_id, out, used = {n["node_id"]: n for n in nodes}, [], 0
     todo: list = [("open", r) for r in reversed(children.get(-1, []))]
-    count = 0
     while todo:
         what, at = todo.pop()
         if what == "close":
-            out.append("\n)" if out and not out[-1].endswith("\n") else ")")
+            out.append(")\n")
+            used = 0
             continue
         if what == "open":
-            out.append("(" if not out or out[-1].endswith("\n") else "\n(")
+            out.append("(")
             todo.append(("close", at))
-            count = 0
-        node = by_id[at]
-        quiet = all(p["id"] in INLINE for p in node["props"]) and node["props"]
-        if quiet:
-            if count and count % per_line == 0:
-                out.append("\n")
-            out.append(";" + "".join(map(shown, node["props"])))
-            count += 1
-        else:
-            out.append(("" if not out or out[-1].endswith(("\n", "(")) else "\n") + ";\n" + "".join(shown(p) + "\n" for p in node["props"]))
-            count = 0
+        body, used = _node(by_id[at]["props"], used, per_line)
+        out.append(body + "\n" if by_id[at]["parent"] == -1 else body)
         next_ = children.get(at, [])
-        if len(next_) == 1:
-            todo.append(("go", next_[0]))
-        else:
-            todo += [("open", c) for c in reversed(next_)]
-    return "".join(out) + "\n"
+        todo += [("go", next_[0])] if len(next_) == 1 else [("open", c) for c in reversed(next_)]
+    return "".join(out)
 
 
 def text(nodes: Column, per_line: int = 10) -> Column:

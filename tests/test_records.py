@@ -158,6 +158,15 @@ def test_root_order_and_push_down(spark):
     assert [(n.node_id, n.parent) for n in out] == [(0, -1), (1, 0), (2, 1)]
 
 
+def test_layout_of_the_published_example():
+    head = "(;\nPB[Cho Chikun]\nBR[9d]\nPW[Takemiya Masaki]\nWR[9d]\nKM[5.5]\nRE[B+11.5]\nDT[1996-10-02,03]\n\n"
+    body = ";B[pd];W[dp];B[pp];W[dd];B[fq];W[dn];B[jp];W[qk];B[qm];W[pg]\n;B[gq];W[dk];B[gj];W[dl];\nC[...]\n)\n"
+    (g,) = sgf.parse(head + body)
+    assert writer.serialised(g["nodes"]) == head + body
+    (g,) = sgf.parse("(;AB[aa];B[bb]BL[9]C[x]N[y];W[cc](;B[dd])(;B[ee]))")
+    assert writer.serialised(g["nodes"]) == "(;\nAB[aa]\n\n;B[bb]BL[9]\nC[x]\nN[y]\n;W[cc](;B[dd])\n(;B[ee])\n)\n"
+
+
 def test_root_order_of_the_published_example(spark):
     text = "(;PB[Cho Chikun]BR[9th dan]PW[Takemiya Masaki]WR[9-Dan]DT[2/3 October 1996]\nKM[5 1/2]RE[B+11.5]HA[2]ID[x]EVX[y]JD[z]SZ[19]FF[4];B[pd])"
     g = spark.createDataFrame([(sgf.parse(text)[0]["nodes"],)], f"nodes array<{sgf.NODE}>")
