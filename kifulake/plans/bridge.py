@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import normalize
 from ..functions.points import swapped, transformed
 from ..functions.predicates import Interval, conjunction, string_test
-from ..operators import bitmap, board, check, compare, edit, merge, moves, pattern, properties, repeats, signatures
+from ..operators import bitmap, board, check, chunks, compare, edit, merge, moves, pattern, properties, repeats, signatures
 from ..session import table
 from ..sources import split
 from .collection import Collection
@@ -650,9 +650,22 @@ def board_replay(spark, sf):
     return e.select("game_id", big(F.size("plays.events"), "n_events"), big(board.captured(F.col("plays.events")), "captured"), F.col("plays.error_rule").alias("ended_by"))
 
 
-@query(None)
+@query(f"""with {PAIRS}, fa as (select * from a where pair in (select pair from ids)), fb as (select * from b where pair in (select pair from ids)),
+ua as (select pair, mv, min(k) as k1 from fa group by pair, mv having count(*) = 1), ub as (select pair, mv, min(k) as k2 from fb group by pair, mv having count(*) = 1),
+anchors as (select ua.pair, k1, k1 - k2 as d from ua join ub on ua.pair = ub.pair and ua.mv = ub.mv),
+cells as (select fa.pair, s.d, fa.k as k1, n.k1 as anchor from fa join (select distinct pair, d from anchors) s on s.pair = fa.pair join fb on fb.pair = fa.pair and fb.k = fa.k - s.d and fb.mv = fa.mv left join anchors n on n.pair = fa.pair and n.d = s.d and n.k1 = fa.k),
+islands as (select pair, d, min(k1) as low, max(k1) as high, min(anchor) as anchor from (select *, k1 - row_number() over (partition by pair, d order by k1) as g from cells) group by pair, d, g having min(anchor) is not null),
+shared as (select pair, greatest(low, coalesce(lag(high) over (partition by pair order by anchor) + 1, 1)) as k1, high, d from islands),
+held as (select pair, k1, k1 - d as k2, high - k1 + 1 as length from shared),
+sizes as (select pair, (select count(*) from fa where fa.pair = ids.pair) as n1, (select count(*) from fb where fb.pair = ids.pair) as n2 from ids),
+alone1 as (select fa.pair, k, k - row_number() over (partition by fa.pair order by k) as g from fa where not exists (select 1 from held h where h.pair = fa.pair and fa.k between h.k1 and h.k1 + h.length - 1)),
+alone2 as (select fb.pair, k, k - row_number() over (partition by fb.pair order by k) as g from fb where not exists (select 1 from held h where h.pair = fb.pair and fb.k between h.k2 and h.k2 + h.length - 1))
+select pair, 3::bigint as type, k1::bigint as k1, k2::bigint as k2, length::bigint as length from held
+union all select pair, 1, min(k), null, count(*) from (select a1.*, coalesce((select count(*) from held h where h.pair = a1.pair and h.k1 < a1.k), 0) as part from alone1 a1) group by pair, g, part
+union all select pair, 2, null, min(k), count(*) from alone2 group by pair, g""")
 def chunk_diff(spark, sf):
-    found = compare.chunks(pairs(spark, sf))
+    """What each game and the next share, and what is in one alone."""
+    found = chunks.chunks(pairs(spark, sf))
     return found.select("pair", big("type", "type"), big("k1", "k1"), big("k2", "k2"), big("length", "length"))
 
 

@@ -69,7 +69,7 @@ def test_move_numbers_of_trees(spark, tmp_path):
     assert labels[0] == "1-500" and labels[1:] == ["  501-501"] * 2000
 
 
-@pytest.mark.parametrize("name", ["pos_played_bits", "pattern_bits", "repeated_positions", "ref_many_semi_join", "scan_in_parts", "merge_collections"])
+@pytest.mark.parametrize("name", ["pos_played_bits", "pattern_bits", "repeated_positions", "ref_many_semi_join", "scan_in_parts", "merge_collections", "chunk_diff"])
 def test_rows_are_those_of_the_sql(spark, name):
     con = duckdb.connect()
     con.sql(f"create view events as select * from '{SF}/events.parquet'")
