@@ -6,11 +6,13 @@ but the join that made the pairs.
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.points import mirrored, transformed
+from ..functions.points import FIXED, mirrored, transformed
 
 
 def _mv(moves: Column, t: int = 0) -> Column:
@@ -55,37 +57,78 @@ def best_symmetry(pairs: DataFrame, most: int = 12, key: str = "pair") -> DataFr
     Untransformed wins unless another is strictly nearer; a symmetry counts only up to a
     distance of twice ``most``. Beyond that, games of different lengths are tried again as
     cut to the shorter one (t_cut, distance_cut; null where not tried): 'truncated' if that
-    is near enough. Else the games are 'different'. Each move becomes a row of +1 or -1 for
-    each symmetry, and two grouped sums, combined before they shuffle, give all eight distances.
+    is near enough. Else the games are 'different'. All eight distances come from the pair's
+    own row, so nothing is unnested or shuffled; pairs without one of the games give no row.
     """
-    best = _nearest(pairs, key)
-    far = best.where((F.col("t") > 0) & (F.col("distance") > 2 * most)).select(key)
-    short = F.least(F.size("a"), F.size("b"))
-    again = pairs.where(F.size("a") != F.size("b")).join(far, key, "left_semi").select(key, F.slice("a", 1, short).alias("a"), F.slice("b", 1, short).alias("b"))
-    cut = _nearest(again, key, most=2 * most).select(key, F.col("t").alias("t_cut"), F.col("distance").alias("distance_cut"))
+    a, b = F.col("a"), F.col("b")
+    best = pairs.where(a.isNotNull() & b.isNotNull()).withColumn("best", nearest(a, b))
+    far = (F.col("best.t") > 0) & (F.col("best.distance") > 2 * most) & (F.size("a") != F.size("b"))
+    short = lambda side: F.when(far, F.slice(side, 1, F.least(F.size("a"), F.size("b"))))
+    both = best.withColumn("cut", nearest(short(a), short(b), most=2 * most)).select(key, "best.*", F.col("cut.t").alias("t_cut"), F.col("cut.distance").alias("distance_cut"))
     said = (
         F.when(F.col("t") == 0, "same orientation")
         .when(F.col("distance") <= 2 * most, "transformed")
         .when(F.col("distance_cut") <= 2 * most, "truncated")
         .otherwise("different")
     )
-    return best.join(cut, key, "left").select(key, "t", "distance", said.alias("verdict"), "t_cut", "distance_cut")
-
-
-def _nearest(pairs: DataFrame, key: str, most: int = -1) -> DataFrame:
-    """(key, t, distance), the least distance; untransformed if its distance is within ``most``."""
-    ours = F.flatten(F.array(*[_signed("a", t, 1) for t in range(8)]))
-    theirs = F.flatten(F.array(*[_signed("b", t, -1, turn=False) for t in range(8)]))
-    rows = pairs.select(key, F.inline(F.concat(ours, theirs)))
-    counts = rows.groupBy(key, "t", "mv").agg(F.sum("n").alias("n"))
-    distances = counts.groupBy(key, "t").agg(F.sum(F.abs("n")).alias("distance"))
-    taken = (F.col("t") == 0) & (F.col("distance") <= most)
-    best = distances.groupBy(key).agg(F.min(F.struct((~taken).alias("later"), "distance", "t")).alias("s"))
-    return best.select(key, "s.t", "s.distance")
-
-
-def _signed(side: str, t: int, n: int, turn: bool = True) -> Column:
-    return F.transform(side, lambda m: F.struct(F.lit(t).alias("t"), (transformed(m, t) if turn else m["mv"]).alias("mv"), F.lit(n).alias("n")))
+    return both.select(key, "t", "distance", said.alias("verdict"), "t_cut", "distance_cut")
+
+
+#: Moves, and counts of points, that are looked at at once.
+BLOCK = 1 << 20
+
+
+def nearest(a: Column, b: Column, most: int = -1) -> Column:
+    """(t, distance), the least distance; untransformed if its distance is within ``most``; null if either game is."""
+
+    @F.arrow_udf("struct<t:int,distance:bigint>")
+    def udf(x: pa.Array, y: pa.Array, mv: pa.Array, other: pa.Array) -> pa.Array:
+        found = np.zeros((len(mv), 8), "i8")
+        ends, at = np.cumsum(_sizes(mv) + _sizes(other)), 0
+        while at < len(mv):
+            to = max(at + 1, int(ends.searchsorted(BLOCK + (ends[at - 1] if at else 0), "right")))
+            found[at:to] = distances(*[side.slice(at, to - at) for side in (x, y, mv, other)])
+            at = to
+        t = np.where(found[:, 0] <= most, 0, found.argmin(1))  # the first of the least
+        none = pc.or_(mv.is_null(), other.is_null())
+        return pa.StructArray.from_arrays([pa.array(t, pa.int32()), pa.array(found[np.arange(len(t)), t], pa.int64())], ["t", "distance"], mask=none)
+
+    return udf(a["x"], a["y"], a["mv"], b["mv"])
+
+
+def _sizes(lists: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype("i8")
+
+
+def distances(x: pa.Array, y: pa.Array, mv: pa.Array, other: pa.Array) -> np.ndarray:
+    """A row for each pair, a column for each symmetry: how far the counts of all points are
+    apart. x, y and mv are lists of the first games' moves, other of the second's."""
+    numbers: dict = {}
+    number = lambda name: numbers.setdefault(name, len(numbers))
+
+    def numbered(names: pa.Array) -> np.ndarray:
+        found = names.dictionary_encode("encode")
+        return np.array([number(n) for n in found.dictionary.to_pylist()], "i8")[found.indices.to_numpy()]
+
+    def turned(t: int, px: int, py: int) -> int:
+        return number("".join(chr((z + 97) % 256) for z in mirrored(t, px, py, 18) if z >= -97))
+
+    ours, theirs = numbered(mv.flatten()), numbered(other.flatten())
+    points = pc.invert(pc.or_(x.flatten().is_null(), pc.is_in(mv.flatten(), pa.array(FIXED)))).to_numpy(zero_copy_only=False)
+    px, py = (pc.fill_null(side.flatten(), 0).to_numpy(zero_copy_only=False).astype("i8")[points] for side in (x, y))
+    each, which = np.unique(px << 32 | py, return_inverse=True)
+    names = np.array([[turned(t, p >> 32, p & 0xFFFFFFFF) for t in range(8)] for p in each.tolist()], "i8").reshape(-1, 8)
+    a_ends, b_ends = ([0, *np.cumsum(_sizes(side)).tolist()] for side in (mv, other))
+    a_row, b_row = (np.repeat(np.arange(len(mv)), _sizes(side)) * len(numbers) for side in (mv, other))
+    out, step = np.zeros((len(mv), 8), "i8"), max(1, BLOCK // max(1, len(numbers)))
+    for t in range(8) if numbers else ():
+        ours[points] = names[which, t]
+        a_cells, b_cells = a_row + ours, b_row + theirs
+        for at in range(0, len(mv), step):
+            to = min(at + step, len(mv))
+            count = lambda cells, ends: np.bincount(cells[ends[at] : ends[to]] - at * len(numbers), minlength=(to - at) * len(numbers))  # noqa: B023, E731
+            out[at:to, t] = np.abs(count(a_cells, a_ends) - count(b_cells, b_ends)).reshape(to - at, -1).sum(1)
+    return out
 
 
 def alternating(moves: Column) -> Column:
