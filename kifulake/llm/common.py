@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 #: Rows of some 30 bytes that a join may broadcast; their number is checked, more are shuffled.
 BROADCAST = 300_000
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -54,17 +55,20 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{own}/{what}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, what: str) -> DataFrame:
+def saved(df: DataFrame, what: str, rows: int | None = None) -> DataFrame:
     """Cuts lineage through a Parquet table in the shared folder, so a lost executor
     costs a re-read, not a re-computation, and row numbers given before stay fixed. The
-    shuffle files that made it go once it is written."""
+    shuffle files that made it go once it is written. rows: that go to a Python worker at once."""
     path, conf = scratch(df.sparkSession, what), df.sparkSession.conf
-    before = conf.get(CLEANUP)
-    conf.set(CLEANUP, "true")
+    now = {CLEANUP: "true"} | ({BATCH: str(rows)} if rows else {})
+    before = {k: conf.get(k) for k in now}
     try:
+        for k, v in now.items():
+            conf.set(k, v)
         df.write.parquet(path)
     finally:
-        conf.set(CLEANUP, before)
+        for k, v in before.items():
+            conf.set(k, v)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out

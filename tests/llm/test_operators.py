@@ -485,3 +485,15 @@ def test_pipeline(spark, docs, rows, none, tmp_path):
             assert now.columns == columns
     assert len(rows) > counts[0] >= counts[1] >= counts[2] >= counts[3] > 0
     assert corpus_pipeline.run(spark, sf).count() == counts[-1]
+
+
+def test_rows_that_go_to_a_worker_at_once(spark):
+    from kifulake.llm import common
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+
+    before = spark.conf.get(common.BATCH)
+    got = common.saved(spark.range(100).coalesce(1).mapInArrow(sizes, "n long"), "sizes", rows=30)
+    assert sorted(r.n for r in got.collect()) == [10, 30, 30, 30] and spark.conf.get(common.BATCH) == before
