@@ -55,6 +55,8 @@ def family(path: str) -> str:
 
 #: Characters of a piece above which it is encoded anew each time.
 LONGEST = 64
+#: Pieces that a worker keeps: some 0.4 kB each.
+MOST = 600_000
 
 
 @contextmanager
@@ -78,7 +80,7 @@ class PieceEncoder:
     for lengths() alone.
     """
 
-    def __init__(self, path: str, most: int = 600_000, known: dict[str, int] | None = None):
+    def __init__(self, path: str, most: int = MOST, known: dict[str, int] | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -123,11 +125,14 @@ class PieceEncoder:
             out.update((w, b - a if self.counting else raw[4 * a : 4 * b]) for w, a, b in zip(group, cuts, cuts[1:], strict=False))
         return out
 
-    def _learn(self, missing: set[str]) -> list[str]:
+    def _learn(self, missing: list[str]) -> list[str]:
         """Encodes these pieces; all that is kept now but shall not stay."""
         kept = self.kept
         words, rest, joined = set(), set(), []
         for piece in missing:
+            if piece.isalpha() or (piece[:1] == " " and piece[1:].isalpha()):  # most are, and need no pattern
+                words.add(piece)
+                continue
             m = WORD_MARKS.match(piece)
             if not m:
                 rest.add(piece)
@@ -160,14 +165,15 @@ class PieceEncoder:
         joined = [c for c in cut if c is not None]
         found = pc.split_pattern(pa.array(["\x00".join(joined)], pa.large_string()), "\x00").flatten().dictionary_encode()
         names = found.dictionary.to_pylist()
-        missing = {x for x in names if x not in self.kept}
-        if len(self.kept) + len(missing) > self.most:
-            self.kept = dict(self.base or {})
-            missing = {x for x in names if x not in self.kept}
-        long = self._learn(missing) if missing else []
-        values = list(map(self.kept.__getitem__, names))
-        for x in long:
-            self.kept.pop(x, None)
+        values = list(map(self.kept.get, names))
+        missing = [x for x, v in zip(names, values, strict=True) if v is None]
+        if missing:
+            if len(self.kept) + len(missing) > self.most:  # what these texts hold stays, so frequent pieces aren't encoded anew
+                self.kept = dict(self.base or {}) | {x: v for x, v in zip(names, values, strict=True) if v is not None}
+            long = self._learn(missing)
+            values = [self.kept[x] if v is None else v for x, v in zip(names, values, strict=True)]
+            for x in long:
+                self.kept.pop(x, None)
         return found.indices.to_numpy(), np.array([c.count("\x00") + 1 for c in joined], "i8"), values, whole
 
     @uncollected()
@@ -197,6 +203,6 @@ class PieceEncoder:
 
 
 @lru_cache(4)
-def encoder(path: str, most: int = 600_000) -> PieceEncoder:
+def encoder(path: str, most: int = MOST) -> PieceEncoder:
     """One for each worker process and tokenizer."""
     return PieceEncoder(path, most)

@@ -212,3 +212,13 @@ def test_heavy_hitters_keep_what_is_frequent():
 def test_shifts_cover_the_pass_join_windows():
     assert [list(line_dedup.shifts(i, d, 2)) for d in range(3) for i in range(3)] == [[0], [-1, 0, 1], [0], [0], [0, 1], [1], [0], [1], [2]]
     assert zlib.crc32(b"x") == 0x8CDC1683
+
+
+def test_pieces_of_the_texts_at_hand_outlast_a_full_cache():
+    e, asked = PieceEncoder(public_tokenizers.path("byte_bpe_50k.json"), 6), []
+    learn = e._learn
+    e._learn = lambda missing: asked.append(sorted(missing)) or learn(missing)
+    first = e.ids(["one two three four"])[0]
+    e.ids(["one two five six seven"])  # more than fit: what these texts hold stays
+    assert asked[1] == [" five", " seven", " six"]
+    assert e.ids(["one two three four"])[0].tolist() == first.tolist()
