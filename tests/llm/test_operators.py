@@ -497,3 +497,11 @@ def test_rows_that_go_to_a_worker_at_once(spark):
     before = spark.conf.get(common.BATCH)
     got = common.saved(spark.range(100).coalesce(1).mapInArrow(sizes, "n long"), "sizes", rows=30)
     assert sorted(r.n for r in got.collect()) == [10, 30, 30, 30] and spark.conf.get(common.BATCH) == before
+
+
+def test_marks_of_lines_within_edits_are_near(spark):
+    """A mark reads a line 20 times at most, and an edit changes two of its bits at most."""
+    assert len(set(line_dedup.MARKED)) == len(line_dedup.MARKED) <= 20
+    pairs = [("the cat sat on 10 mats", "the cat sat on 11 mats"), ("eeeee and more of it", "eeee and more of it"), ("Größe, nation", "Größe nation"), ("a b", "c b")]
+    m = spark.createDataFrame(pairs, "a string, b string").select(F.bit_count(line_dedup.mark(F.col("a")).bitwiseXOR(line_dedup.mark(F.col("b")))).alias("n"))
+    assert max(r.n for r in m.collect()) <= 2
