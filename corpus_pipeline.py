@@ -18,6 +18,9 @@ from kifulake.llm import bagminhash, decontaminate, line_dedup, packing, quality
 from kifulake.llm.common import saved, table
 
 END = 2
+#: Pieces of text that a packing worker keeps and bytes that it encodes together: fewer than where packing
+#: runs alone, as the stages before it have filled the executors' heaps.
+KEPT, PART = 150_000, 1 << 20
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +50,7 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents, each with its sequence and its place there."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), END)
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), END, kept=KEPT, part_size=PART)
 
 
 STAGES = [("quality", quality), ("line_dedup", line_repeats), ("near_dedup", near_duplicates), ("decontaminate", benchmark_leaks), ("packing", packed)]

@@ -127,6 +127,7 @@ def parts(batches: Iterator[pa.RecordBatch], column: str, size: int = 1 << 20) -
             stop = min(max(start + 1, int(ends.searchsorted(ends[start] + size))), start + 4096, batch.num_rows)
             yield batch.slice(start, stop - start)
             start = stop
+    pa.default_memory_pool().release_unused()  # the worker stays, for tasks of other stages too
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, size: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:

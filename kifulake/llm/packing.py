@@ -36,9 +36,8 @@ from .encode import encoder
 DEAL = 50_000
 #: Orders that a partition tries in a turn after the first, while its bound isn't met.
 TRIES = 4
-#: Pieces of text that a worker keeps, and rows that come to it at once: beside what the stages
-#: before it left in an executor, more than these took its memory past 3 GB.
-KEPT, ROWS = 350_000, 1000
+#: Pieces of text that a worker keeps, bytes of text that it encodes together, and rows that come to it at once.
+KEPT, PART, ROWS = 350_000, 4 << 20, 1000
 PIECES = "uid long, doc_id {}, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long, bins long, bound long, full boolean"
 
@@ -92,14 +91,14 @@ def lower_bound(lengths: np.ndarray, size: int) -> int:
     return best
 
 
-def cut_documents(docs: DataFrame, path: str, end_id: int, size: int) -> DataFrame:
+def cut_documents(docs: DataFrame, path: str, end_id: int, size: int, kept: int = KEPT, part_size: int = PART) -> DataFrame:
     """One row for each piece; uid tells apart the pieces of all rows."""
 
     def apply(batches):
         at = TaskContext.get().partitionId() << 40
-        for part, texts in slices(batches, "text", 4 << 20):
+        for part, texts in slices(batches, "text", part_size):
             rows = []
-            for key, ids in zip(part.column("doc_id").to_pylist(), encoder(path, KEPT).ids(texts), strict=True):
+            for key, ids in zip(part.column("doc_id").to_pylist(), encoder(path, kept).ids(texts), strict=True):
                 raw = memoryview(np.append(ids, np.uint32(end_id)).astype("<u4").tobytes())
                 for k, (a, n) in enumerate(cuts(len(raw) // 4, size)):
                     rows.append((at, key, k, a, n, zlib.crc32(raw[4 * a : 4 * (a + n)])))
@@ -132,10 +131,12 @@ def _packed(pieces: DataFrame, parts: int, turn: int, size: int) -> DataFrame:
     return dealt.groupBy("deal").applyInPandas(apply, PACKED.format(pieces.schema["doc_id"].dataType.simpleString()))
 
 
-def pack(docs: DataFrame, path: str, end_id: int, size: int = 1024, deal: int = DEAL) -> DataFrame:
+def pack(docs: DataFrame, path: str, end_id: int, size: int = 1024, deal: int = DEAL, kept: int = KEPT, part_size: int = PART) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece, and bins and
-    bound of the partition that packed it: certified where they are equal."""
-    pieces = saved(cut_documents(docs, path, end_id, size), "pieces", rows=ROWS)
+    bound of the partition that packed it: certified where they are equal. kept, part_size:
+    pieces of text that a worker keeps, bytes that it encodes together; they cost time and
+    change no result."""
+    pieces = saved(cut_documents(docs, path, end_id, size, kept, part_size), "pieces", rows=ROWS)
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "bins", "bound", (F.col("bins") == F.col("bound")).alias("certified")]
     full = pieces.where(F.col("length") == size).selectExpr("*", "-1 - uid as sequence_id", "0L as offset", "1L as bins", "1L as bound").select(columns)
     pool = pieces.where(F.col("length") < size)

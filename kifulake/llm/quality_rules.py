@@ -123,7 +123,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, doc_id: str
     both = docs.select(docs[doc_id].cast("string").alias("of"), docs[text].cast("string").alias("text")).join(F.broadcast(chosen), "of").select("of", "y", "text")
 
     def count(batches):
-        for part, texts in slices(batches, "text", 4 << 20):
+        for part, texts in slices(batches, "text"):
             s = statistics(texts)
             yield pa.RecordBatch.from_arrays([part.column("of"), part.column("y"), *[pa.array(c) for c in s.T]], ["of", "y", *COLUMNS])
 
@@ -142,7 +142,7 @@ def assess(docs: DataFrame, trees: Trees | None, threshold: float = 0.5, carry:
 
     def apply(batches):
         model = shared.value
-        for part, texts in slices(batches, text, 4 << 20):
+        for part, texts in slices(batches, text):
             s = statistics(texts)
             failed = (s[:, 0] < 50) | (100 * s[:, 4] > 50 * s[:, 0])
             score = model.score(features(s)) if model else None
