@@ -69,9 +69,18 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def coded(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct numbers, and of each number its place among them."""
+    """Distinct numbers, and of each number its place among them, in 32 bits: see ``joint``."""
     found = pa.array(numbers).dictionary_encode()
-    return found.dictionary.to_numpy(), found.indices.to_numpy().astype("i8")  # products of places must not overflow
+    return found.dictionary.to_numpy(), found.indices.to_numpy()
+
+
+def joint(a: np.ndarray, n: int, b: np.ndarray, cells: int) -> np.ndarray:
+    """a * n + b, less than cells, in 32 bits where that holds it: a worker's memory is mostly these."""
+    kind = "i4" if cells <= 1 << 31 else "i8"
+    out = a.astype(kind)
+    out *= n
+    out += b.astype(kind, copy=False)
+    return out
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -81,10 +90,17 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
         held.append(tokens(part.column("text")))
         n += len(held[-1][0])
         if n >= GROUP:
-            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
-            held, n = [], 0
+            yield _joined(held)
+            n = 0
     if held:
-        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+        yield _joined(held)
+
+
+def _joined(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """The parts in a row; held is empty then."""
+    out = tuple(np.concatenate(x) for x in zip(*held, strict=True))
+    held.clear()
+    return out
 
 
 def previous(ids: np.ndarray, sizes: np.ndarray, first: int) -> np.ndarray:
@@ -229,11 +245,11 @@ def _core_bigrams(training: DataFrame, core: np.ndarray) -> np.ndarray:
         for numbers, sizes in _groups(batches):
             names, at = coded(numbers)
             found = np.minimum(np.searchsorted(names_of, names), n - 1)
-            mine = np.where(names_of[found] == names, place[found], -1)
+            mine = np.where(names_of[found] == names, place[found], -1).astype("i4")
             here = mine[at]
             before = previous(here, sizes, int(mine[names == END][0]))
             both = (here >= 0) & (before >= 0)
-            out += np.bincount(before[both] * n + here[both], minlength=n * n)
+            out += np.bincount(joint(before[both], n, here[both], n * n), minlength=n * n)
         some = np.flatnonzero(out)
         for i in range(0, len(some), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(some[i : i + 100_000]), pa.array(out[some[i : i + 100_000]])], ["cell", "n"])
@@ -263,7 +279,7 @@ def neighbours(training: DataFrame, model: Model) -> DataFrame:
     def count(batches):
         m = shared.value
         k, dense = m.k, min(DENSE, len(m.words))
-        slots = np.full(len(m.words), -1)
+        slots = np.full(len(m.words), -1, "i4")
         top = np.argsort(-m.counts, kind="stable")[:dense]
         slots[top] = np.arange(dense)
         whole = np.zeros(dense * 2 * k, "i8")
@@ -281,7 +297,7 @@ def neighbours(training: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(names[i : i + 50_000]), blob, none, pa.nulls(len(blob), pa.int32()), none], ["word", "blob", "beside", "side", "n"])
 
         def asked(names, word, beside, some, shift):
-            keys, n = np.unique(word[some] * len(names) + beside[some], return_counts=True)
+            keys, n = np.unique(joint(word[some], len(names), beside[some], len(names) ** 2), return_counts=True)
             again, number = _entries(np.zeros(len(n), "i8"), n)
             left = names[keys[again] // len(names)], names[keys[again] % len(names)], number.astype("i8")
             for i in range(0, len(again), 100_000):
@@ -291,26 +307,30 @@ def neighbours(training: DataFrame, model: Model) -> DataFrame:
         for numbers, sizes in _groups(batches):
             names, at = coded(numbers)
             place = m.places(names)
-            of = np.where(place >= 0, m.of[place], k - 1 if m.complete else -2)
+            of = np.where(place >= 0, m.of[place], k - 1 if m.complete else -2).astype("i4")
             first = int(np.flatnonzero(names == END)[0])
             before = previous(at, sizes, first)
             if m.complete:  # tokens that aren't frequent are all rare ones
-                alias = np.where(place >= 0, np.arange(len(names)), len(names))
+                alias = np.where(place >= 0, np.arange(len(names)), len(names)).astype("i4")
                 titles = np.r_[names, RARE]
             else:
-                alias, titles = np.arange(len(names)), names
-            slot = np.r_[np.where(place >= 0, slots[place], -1), -1]
+                alias, titles = np.arange(len(names), dtype="i4"), names
+            slot = np.where(place >= 0, slots[place], -1)
             keys = []
             for word, beside, shift in ((at, before, 0), (before, at, k)):
-                cls, mine = of[beside], slot[alias[word]]
-                known = cls >= 0
-                often = known & (mine >= 0)
-                whole += np.bincount(mine[often] * 2 * k + cls[often] + shift, minlength=len(whole))
-                rest = known & (mine < 0)
-                keys.append(alias[word[rest]] * (2 * k) + cls[rest] + shift)
+                cls, mine = of[beside], slot[word]
+                often = (cls >= 0) & (mine >= 0)
+                whole += np.bincount(joint(mine[often], 2 * k, cls[often] + shift, len(whole)), minlength=len(whole))
+                rest = (cls >= 0) & (mine < 0)
+                keys.append(joint(alias[word[rest]], 2 * k, cls[rest] + shift, len(titles) * 2 * k))
                 if not m.complete:
                     yield from asked(names, word, beside, np.flatnonzero(cls == -2), shift)
-            found, n = np.unique(np.concatenate(keys), return_counts=True)
+            del numbers, at, before, word, beside, cls, mine, often, rest  # the keys are sorted, which takes as much again
+            keys = np.concatenate(keys)
+            keys.sort()
+            cuts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, "i8")
+            found, n = keys[cuts].astype("i8"), np.diff(np.r_[cuts, len(keys)])
+            del keys
             yield from rows(titles[found // (2 * k)], found % (2 * k), n)
         some = np.flatnonzero(whole)
         yield from rows(m.words[top][some // (2 * k)], some % (2 * k), whole[some])
@@ -327,12 +347,12 @@ def class_bigrams(training: DataFrame, now: DataFrame, model: Model) -> np.ndarr
         for numbers, sizes in _groups(batches):
             names, at = coded(numbers)
             place = m.places(names)
-            of = np.where(place >= 0, m.of[place], k - 1 if m.complete else -1)
+            of = np.where(place >= 0, m.of[place], k - 1 if m.complete else -1).astype("i4")
             before = previous(at, sizes, int(np.flatnonzero(names == END)[0]))
             x, y = of[before], of[at]
             known = (x >= 0) & (y >= 0)
-            whole += np.bincount(x[known] * k + y[known], minlength=k * k)
-            keys, n = np.unique(before[~known] * len(names) + at[~known], return_counts=True)
+            whole += np.bincount(joint(x[known], k, y[known], k * k), minlength=k * k)
+            keys, n = np.unique(joint(before[~known], len(names), at[~known], len(names) ** 2), return_counts=True)
             yield from _open_pairs(names, of, keys // len(names), keys % len(names), n)
         cells = np.flatnonzero(whole)
         none = pa.nulls(len(cells), pa.int64())
@@ -519,7 +539,7 @@ def score(docs: DataFrame, model: Model | None, table: DataFrame) -> DataFrame:
             starts, owner = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sizes)), sizes)
             moved = np.where(both, m.moves[of[before], of[at]], 0.0)
             gone = ~hot[at]
-            keys, n = np.unique(owner[gone] * len(names) + at[gone], return_counts=True)
+            keys, n = np.unique(joint(owner[gone], len(names), at[gone], len(sizes) * len(names)), return_counts=True)
             rest = pa.StructArray.from_arrays([pa.array(names[keys % len(names)]), pa.array(n)], ["word", "n"])
             rest_ends = np.searchsorted(keys // len(names), np.arange(len(sizes) + 1))
             mine = np.flatnonzero(~both)

@@ -1,12 +1,15 @@
 """What a worker holds at once: the functions that tasks run, on batches of their own."""
 
+import tracemalloc
 from types import SimpleNamespace
 
+import numpy as np
 import pyarrow as pa
+import pytest
 
 import corpus_pipeline
 import public_tokenizers
-from kifulake.llm import packing, quality_rules
+from kifulake.llm import brown_lm, packing, quality_rules, words
 
 
 class Frame:
@@ -33,6 +36,33 @@ def batch(texts):
     return pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
 
 
+@pytest.mark.parametrize("complete", [True, False])
+def test_neighbours_take_under_64_bytes_a_token(complete):
+    draw = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in draw.zipf(1.3, 500) % 50_000) for _ in range(1_500)]
+    numbers, sizes = brown_lm.tokens(pa.array(texts))
+    names, counts = np.unique(numbers, return_counts=True)
+    known = (counts >= (2 if complete else 4)) | (names == brown_lm.END)
+    model = brown_lm.Model(names[known], counts[known], (np.arange(known.sum()) % 64).astype("i4"), 65, complete)
+    frame, n = Frame(), 0
+    brown_lm.neighbours(frame, model)
+    words._factors(1 << 20)  # kept from the first text on
+    tracemalloc.start()
+    for found in frame.f(iter([batch(texts)])):
+        n += found.num_rows
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n and peak < 64 * len(numbers), peak / len(numbers)
+
+
+def test_joint_keys_do_not_overflow():
+    a = np.array([0, 70_000, 99_999], "i4")
+    small, large = brown_lm.joint(a, 130, a % 130, 100_000 * 130), brown_lm.joint(a, 100_000, a, 100_000**2)
+    assert small.dtype == "i4" and large.dtype == "i8"
+    assert small.tolist() == [x * 130 + x % 130 for x in a.tolist()]
+    assert large.tolist() == [x * 100_001 for x in a.tolist()]
+
+
 def test_quality_takes_a_megabyte_of_text_at_once(monkeypatch):
     seen, counted = [], quality_rules.statistics
     monkeypatch.setattr(quality_rules, "statistics", lambda texts: seen.append(sum(map(len, texts))) or counted(texts))
