@@ -41,15 +41,17 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, offsets, parts, saved
+from .common import discard, in_small_batches, offsets, parts, saved
 from .words import hashes
 
 #: The numbers of the end token and of all tokens seen too rarely to be told apart.
 END, RARE = -0x5DEECE66D0000001, -0x5DEECE66D0000002
 #: The fold that is held out.
 FOLDS, HELD_OUT = 7, 2
-#: Tokens of text that are counted together, and tokens whose neighbours are counted over a whole task.
-GROUP, DENSE = 2_500_000, 4_096
+#: Tokens of text that are counted together (one that is new to its megabyte counts for three), and tokens whose neighbours are counted over a whole task.
+GROUP, DENSE = 8_000_000, 4_096
+#: Sorted keys that are turned into rows together.
+SLICE = 1 << 18
 #: Of a neighbour's class and its count in one number: the bits of the count.
 BITS = 24
 
@@ -83,12 +85,15 @@ def joint(a: np.ndarray, n: int, b: np.ndarray, cells: int) -> np.ndarray:
     return out
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """tokens() of some millions of tokens at a time."""
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, Iterator[tuple[np.ndarray, np.ndarray]]]]:
+    """Of some millions of tokens at a time the distinct ones, END among them, and parts of
+    the text: the tokens' places among these in a row, and how many each text has. Beside
+    the distinct ones, no more than four bytes a token are held."""
     held, n = [], 0
     for part in parts(batches, "text"):
-        held.append(tokens(part.column("text")))
-        n += len(held[-1][0])
+        numbers, sizes = tokens(part.column("text"))
+        held.append((*coded(numbers), sizes))
+        n += len(numbers) + 2 * len(held[-1][0])
         if n >= GROUP:
             yield _joined(held)
             n = 0
@@ -96,11 +101,46 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
         yield _joined(held)
 
 
-def _joined(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-    """The parts in a row; held is empty then."""
-    out = tuple(np.concatenate(x) for x in zip(*held, strict=True))
+def _joined(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, Iterator[tuple[np.ndarray, np.ndarray]]]:
+    """The parts (distinct tokens, places among them, sizes) as one, the tokens ascending; held
+    is empty then, and each part goes when it is read. Sorting takes less memory than a hash table."""
+    every, cuts = np.concatenate([x[0] for x in held]), np.cumsum([0, *(len(x[0]) for x in held)])
+    left = [(start, stop, *x[1:]) for start, stop, x in zip(cuts[:-1], cuts[1:], held, strict=True)][::-1]
     held.clear()
-    return out
+    order = np.argsort(every)
+    every = every[order]
+    new = np.r_[True, every[1:] != every[:-1]]
+    at = np.empty(len(every), "i4")
+    at[order] = np.cumsum(new, dtype="i4") - 1
+    names = every[new]
+    del every, order
+
+    def each():
+        while left:
+            start, stop, places, sizes = left.pop()
+            yield at[start:stop][places], sizes
+
+    return names, each()
+
+
+def _runs(keys: list[np.ndarray], width: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The distinct ones among keys, ascending, and how often each comes: some at a time, but
+    those with one keys // width together. The list is empty then."""
+    every = np.concatenate(keys) if keys else np.zeros(0, "i8")
+    keys.clear()
+    every.sort()
+    start = 0
+    while start < len(every):
+        stop = min(start + SLICE, len(every))
+        if stop < len(every):
+            low = int(every[stop]) // width * width
+            stop = int(every.searchsorted(every.dtype.type(low)))
+            if stop <= start:
+                stop = int(every.searchsorted(every.dtype.type(low + width - 1), "right"))
+        own = every[start:stop]
+        cuts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        yield own[cuts].astype("i8"), np.diff(np.r_[cuts, len(own)])
+        start = stop
 
 
 def previous(ids: np.ndarray, sizes: np.ndarray, first: int) -> np.ndarray:
@@ -195,11 +235,20 @@ def token_counts(docs: DataFrame) -> DataFrame:
         held, size = [], 0
 
         def summed():
-            words, c, seen = (np.concatenate(x) for x in zip(*held, strict=True))
+            columns = [list(x) for x in zip(*held, strict=True)]
+            held.clear()
+            words = np.concatenate(columns[0])
+            columns[0].clear()
             order = np.argsort(words)
-            words, c, seen = words[order], c[order], seen[order]
+            words = words[order]
             starts = np.flatnonzero(np.r_[True, words[1:] != words[:-1]])
-            return words[starts], np.add.reduceat(c, starts), np.add.reduceat(seen, starts)
+            out = [words[starts]]
+            del words
+            for x in columns[1:]:  # one by one: these are millions
+                every = np.concatenate(x, dtype="i8")
+                x.clear()
+                out.append(np.add.reduceat(every[order], starts))
+            return tuple(out)
 
         def rows():
             for i in range(0, len(held[0][0]), 100_000):
@@ -209,7 +258,7 @@ def token_counts(docs: DataFrame) -> DataFrame:
             numbers, sizes = tokens(part.column("text"))
             names, at = coded(numbers)
             training = np.repeat(part.column("training").to_numpy(zero_copy_only=False).astype(bool), sizes)
-            held.append((names, np.bincount(at[training], minlength=len(names)), np.bincount(at, minlength=len(names))))
+            held.append((names, *(np.bincount(x, minlength=len(names)).astype("i4") for x in (at[training], at))))
             size += len(names)
             if size > 1 << 21:
                 held[:] = [summed()]
@@ -242,14 +291,16 @@ def _core_bigrams(training: DataFrame, core: np.ndarray) -> np.ndarray:
     def count(batches):
         names_of, place = shared.value
         out = np.zeros(n * n, "i8")
-        for numbers, sizes in _groups(batches):
-            names, at = coded(numbers)
+        for names, texts in _groups(batches):
             found = np.minimum(np.searchsorted(names_of, names), n - 1)
             mine = np.where(names_of[found] == names, place[found], -1).astype("i4")
-            here = mine[at]
-            before = previous(here, sizes, int(mine[names == END][0]))
-            both = (here >= 0) & (before >= 0)
-            out += np.bincount(joint(before[both], n, here[both], n * n), minlength=n * n)
+            first, keys = int(mine[names == END][0]), []
+            for at, sizes in texts:
+                here = mine[at]
+                before = previous(here, sizes, first)
+                both = (here >= 0) & (before >= 0)
+                keys.append(joint(before[both], n, here[both], n * n))
+            out += np.bincount(np.concatenate(keys), minlength=n * n)
         some = np.flatnonzero(out)
         for i in range(0, len(some), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(some[i : i + 100_000]), pa.array(out[some[i : i + 100_000]])], ["cell", "n"])
@@ -280,7 +331,7 @@ def neighbours(training: DataFrame, model: Model) -> DataFrame:
         m = shared.value
         k, dense = m.k, min(DENSE, len(m.words))
         slots = np.full(len(m.words), -1, "i4")
-        top = np.argsort(-m.counts, kind="stable")[:dense]
+        top = np.argpartition(m.counts, len(m.counts) - dense)[-dense:].copy()  # not a view: that holds them all
         slots[top] = np.arange(dense)
         whole = np.zeros(dense * 2 * k, "i8")
 
@@ -296,42 +347,42 @@ def neighbours(training: DataFrame, model: Model) -> DataFrame:
                 none = pa.nulls(len(blob), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(names[i : i + 50_000]), blob, none, pa.nulls(len(blob), pa.int32()), none], ["word", "blob", "beside", "side", "n"])
 
-        def asked(names, word, beside, some, shift):
-            keys, n = np.unique(joint(word[some], len(names), beside[some], len(names) ** 2), return_counts=True)
+        def asked(names, keys, n, shift):
             again, number = _entries(np.zeros(len(n), "i8"), n)
             left = names[keys[again] // len(names)], names[keys[again] % len(names)], number.astype("i8")
             for i in range(0, len(again), 100_000):
                 word, beside, n = (pa.array(x[i : i + 100_000]) for x in left)
                 yield pa.RecordBatch.from_arrays([word, pa.nulls(len(n), pa.binary()), beside, pa.array(np.full(len(n), shift, "i4")), n], ["word", "blob", "beside", "side", "n"])
 
-        for numbers, sizes in _groups(batches):
-            names, at = coded(numbers)
+        for names, texts in _groups(batches):
             place = m.places(names)
             of = np.where(place >= 0, m.of[place], k - 1 if m.complete else -2).astype("i4")
             first = int(np.flatnonzero(names == END)[0])
-            before = previous(at, sizes, first)
             if m.complete:  # tokens that aren't frequent are all rare ones
                 alias = np.where(place >= 0, np.arange(len(names)), len(names)).astype("i4")
                 titles = np.r_[names, RARE]
             else:
                 alias, titles = np.arange(len(names), dtype="i4"), names
-            slot = np.where(place >= 0, slots[place], -1)
-            keys = []
-            for word, beside, shift in ((at, before, 0), (before, at, k)):
-                cls, mine = of[beside], slot[word]
-                often = (cls >= 0) & (mine >= 0)
-                whole += np.bincount(joint(mine[often], 2 * k, cls[often] + shift, len(whole)), minlength=len(whole))
-                rest = (cls >= 0) & (mine < 0)
-                keys.append(joint(alias[word[rest]], 2 * k, cls[rest] + shift, len(titles) * 2 * k))
-                if not m.complete:
-                    yield from asked(names, word, beside, np.flatnonzero(cls == -2), shift)
-            del numbers, at, before, word, beside, cls, mine, often, rest  # the keys are sorted, which takes as much again
-            keys = np.concatenate(keys)
-            keys.sort()
-            cuts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, "i8")
-            found, n = keys[cuts].astype("i8"), np.diff(np.r_[cuts, len(keys)])
-            del keys
-            yield from rows(titles[found // (2 * k)], found % (2 * k), n)
+            slot = np.where(place >= 0, slots[place], -1).astype("i4")
+            del place
+            keys, unknown = [], {0: [], k: []}
+            for at, sizes in texts:
+                before, often = previous(at, sizes, first), []
+                for word, beside, shift in ((at, before, 0), (before, at, k)):
+                    cls, mine = of[beside], slot[word]
+                    some = (cls >= 0) & (mine >= 0)
+                    often.append(joint(mine[some], 2 * k, cls[some] + shift, len(whole)))
+                    rest = (cls >= 0) & (mine < 0)
+                    keys.append(joint(alias[word[rest]], 2 * k, cls[rest] + shift, len(titles) * 2 * k))
+                    if not m.complete:
+                        gone = cls == -2
+                        unknown[shift].append(joint(word[gone], len(names), beside[gone], len(names) ** 2))
+                whole += np.bincount(np.concatenate(often), minlength=len(whole))
+            for shift, open_ in unknown.items():
+                for found, n in _runs(open_):
+                    yield from asked(names, found, n, shift)
+            for found, n in _runs(keys, 2 * k):
+                yield from rows(titles[found // (2 * k)], found % (2 * k), n)
         some = np.flatnonzero(whole)
         yield from rows(m.words[top][some // (2 * k)], some % (2 * k), whole[some])
 
@@ -344,16 +395,19 @@ def class_bigrams(training: DataFrame, now: DataFrame, model: Model) -> np.ndarr
 
     def count(batches):
         m, whole = shared.value, np.zeros(k * k, "i8")
-        for numbers, sizes in _groups(batches):
-            names, at = coded(numbers)
+        for names, texts in _groups(batches):
             place = m.places(names)
             of = np.where(place >= 0, m.of[place], k - 1 if m.complete else -1).astype("i4")
-            before = previous(at, sizes, int(np.flatnonzero(names == END)[0]))
-            x, y = of[before], of[at]
-            known = (x >= 0) & (y >= 0)
-            whole += np.bincount(joint(x[known], k, y[known], k * k), minlength=k * k)
-            keys, n = np.unique(joint(before[~known], len(names), at[~known], len(names) ** 2), return_counts=True)
-            yield from _open_pairs(names, of, keys // len(names), keys % len(names), n)
+            first, unknown = int(np.flatnonzero(names == END)[0]), []
+            for at, sizes in texts:
+                before = previous(at, sizes, first)
+                x, y = of[before], of[at]
+                known = (x >= 0) & (y >= 0)
+                whole += np.bincount(joint(x[known], k, y[known], k * k), minlength=k * k)
+                if not m.complete:
+                    unknown.append(joint(before[~known], len(names), at[~known], len(names) ** 2))
+            for keys, n in _runs(unknown):
+                yield from _open_pairs(names, of, keys // len(names), keys % len(names), n)
         cells = np.flatnonzero(whole)
         none = pa.nulls(len(cells), pa.int64())
         yield pa.RecordBatch.from_arrays([none, pa.array((cells // k).astype("i4")), none, pa.array((cells % k).astype("i4")), pa.array(whole[cells])], ["a", "a_of", "b", "b_of", "n"])
@@ -446,6 +500,7 @@ def _words(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[np.ndarr
         yield tuple(held)
 
 
+@in_small_batches
 def learn(docs: DataFrame, training: Column | None = None, hot: int = 2_000_000, core: int = 1_000, classes: int = 64, sweeps: int = 8, rounds: int = 2, least: int = 2) -> tuple[Model | None, DataFrame]:
     """The model and the table of all training tokens (word, c, of). training: which rows it
     learns from (all); the others only count for what is broadcast. None: no training text."""
@@ -506,6 +561,7 @@ def _sizes(now: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     return kinds, n
 
 
+@in_small_batches
 def score(docs: DataFrame, model: Model | None, table: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity of every row.
 
@@ -526,14 +582,14 @@ def score(docs: DataFrame, model: Model | None, table: DataFrame) -> DataFrame:
 
     def local(batches):
         m, uid = shared.value, TaskContext.get().partitionId() << 40
-        base_of, emit_of = np.log10((m.counts + 1) / all_tokens), np.log10((m.counts + 1) / room[m.of])
         for part in parts(batches, "text"):
             numbers, sizes = tokens(part.column("text"))
             names, at = coded(numbers)
             place = m.places(names)
             of = np.where(place >= 0, m.of[place], k - 1 if m.complete else -1)
             hot = place >= 0
-            known, base, emit = hot & (m.counts[place] > 0), np.where(hot, base_of[place], 0), np.where(hot, emit_of[place], 0)
+            c = m.counts[place]
+            known, base, emit = hot & (c > 0), np.where(hot, np.log10((c + 1) / all_tokens), 0), np.where(hot, np.log10((c + 1) / room[m.of[place]]), 0)
             before = previous(at, sizes, int(np.flatnonzero(names == END)[0]))
             both = (of[before] >= 0) & (of[at] >= 0)
             starts, owner = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sizes)), sizes)

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 #: Rows of some 30 bytes that a join may broadcast; their number is checked, more are shuffled.
 BROADCAST = 300_000
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -74,6 +76,24 @@ def saved(df: DataFrame, what: str, rows: int | None = None) -> DataFrame:
     return out
 
 
+def in_small_batches(f: Callable) -> Callable:
+    """f, whose first argument is a frame; while it runs, rows go to Python workers by 4 MB at
+    most (a row at least). The executor's JVM builds each batch outside its heap, doubling it as
+    it grows, and the worker holds it whole: 10,000 texts, Spark's default, are 35 MB and more."""
+
+    @wraps(f)
+    def run(df: DataFrame, *args, **named):
+        conf = df.sparkSession.conf
+        before = conf.get(BATCH_BYTES, None)
+        conf.set(BATCH_BYTES, "4m")
+        try:
+            return f(df, *args, **named)
+        finally:
+            conf.unset(BATCH_BYTES) if before is None else conf.set(BATCH_BYTES, before)
+
+    return run
+
+
 def discard(*frames: DataFrame) -> None:
     """Deletes tables of ``saved`` that no later result reads."""
     for df in frames:

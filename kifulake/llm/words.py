@@ -17,7 +17,7 @@ _SPACES = [9, 10, 11, 12, 13, 32]
 #: The factor from one byte to the next, 5 modulo 8, so that its powers repeat as late as any's.
 _BASE = 0xD1342543DE82EF95
 #: Bytes that are looked at together, but for longer words.
-WINDOW = 1 << 20
+WINDOW = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
