@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from kifulake.llm import bagminhash, brown_lm, chat_format, decontaminate, graph, line_dedup, packing, quality_rules, record_files, token_counts, url_filter
-from kifulake.llm.common import numbered, scratch
+from kifulake.llm.common import numbered, saved, scratch
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 #: Beside the table's own columns some that the operators might use themselves.
@@ -88,6 +88,33 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("held", [3, 40, 300])
+def test_components_of_chains_and_stars(spark, held):
+    """Whether all edges, some or nearly none meet in a task."""
+    rng = random.Random(held)
+    names = rng.sample(range(10_000), 200)
+    edges = [(x, y) for x, y in zip(names[:60], names[1:61], strict=True)] + [(names[70], x) for x in names[71:130]] + [(rng.choice(names[130:]), rng.choice(names[130:])) for _ in range(50)]
+    root = {}
+    top = lambda x: x if root.setdefault(x, x) == x else top(root[x])
+    for a, b in edges:
+        if a != b:
+            x, y = top(a), top(b)
+            root[max(x, y)] = min(x, y)
+    rows = [*edges, *edges[::3]]
+    got = graph.components(spark.createDataFrame(rows, "a long, b long").repartition(5), held=held).collect()
+    assert {r.node: r.root for r in got} == {x: top(x) for x in root} and len(got) == len(root)
+
+
+def test_components_of_few_edges_take_no_rounds(spark, monkeypatch):
+    """A round is some six shuffles; on many partitions a near-duplicate job was mostly these."""
+    tables = []
+    monkeypatch.setattr(graph, "saved", lambda df, what: tables.append(what) or saved(df, what))
+    chain = spark.range(2000).selectExpr("id * 7919 % 2003 a", "(id + 1) * 7919 % 2003 b").repartition(8)
+    got = graph.components(chain)
+    assert got.select("root").distinct().count() == 1 and got.count() == 2001
+    assert len(tables) == 2
+
+
 def test_line_dedup(spark, docs, rows, none):
     order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0))
     lines = [(i, n, x) for i in order for n, x in enumerate((rows[i][1] or "").split("\n")) if x.strip()]
