@@ -116,8 +116,8 @@ class PieceEncoder:
             joint = " "
         groups = [words[i : i + 256] for i in range(0, len(words), 256)]
         for group, found in zip(groups, self.library.encode_batch([joint.join(g) for g in groups], add_special_tokens=False), strict=True):
-            owner = np.array([-1 if x is None else x for x in found.word_ids], "i8")
-            if len(owner) == 0 or owner[-1] + 1 != len(group) or (np.diff(owner) < 0).any():
+            owner = np.array(found.word_ids, "f8")  # None: not a number, which fails every comparison
+            if len(owner) == 0 or owner[-1] + 1 != len(group) or not (np.diff(owner, prepend=0) >= 0).all():
                 out.update(zip(group, self._direct(group), strict=True))
                 continue
             cuts = np.searchsorted(owner, np.arange(len(group) + 1)).tolist()
@@ -164,7 +164,7 @@ class PieceEncoder:
         whole = [c is None for c in cut]
         joined = [c for c in cut if c is not None]
         found = pc.split_pattern(pa.array(["\x00".join(joined)], pa.large_string()), "\x00").flatten().dictionary_encode()
-        names = found.dictionary.to_pylist()
+        names = found.dictionary.to_numpy(zero_copy_only=False).tolist()  # to_pylist makes an Arrow scalar for each
         values = list(map(self.kept.get, names))
         missing = [x for x, v in zip(names, values, strict=True) if v is None]
         if missing:

@@ -37,7 +37,7 @@ DEAL = 50_000
 #: Orders that a partition tries in a turn after the first, while its bound isn't met.
 TRIES = 4
 #: Pieces of text that a worker keeps, bytes of text that it encodes together, and rows that come to it at once.
-KEPT, PART, ROWS = 350_000, 4 << 20, 1000
+KEPT, PART, ROWS = 800_000, 4 << 20, 1000
 PIECES = "uid long, doc_id {}, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long, bins long, bound long, full boolean"
 

@@ -9,7 +9,7 @@ import pytest
 
 import corpus_pipeline
 import public_tokenizers
-from kifulake.llm import brown_lm, common, packing, quality_rules, words
+from kifulake.llm import brown_lm, common, encode, packing, quality_rules, words
 
 
 class Frame:
@@ -154,3 +154,17 @@ def test_the_pipeline_packs_small_parts_with_the_same_pieces(monkeypatch):
     monkeypatch.setattr(packing, "pack", lambda *a, **b: asked.update(b))
     corpus_pipeline.packed(None, None, "")
     assert asked["kept"] <= 150_000 and asked["part_size"] <= 1 << 20
+
+
+def test_packing_worker_keeps_the_pieces_of_several_texts(monkeypatch):
+    """Pieces that don't stay are encoded again and again, which is most of what packing costs."""
+    learned = []
+    own = encode.PieceEncoder._learn
+    monkeypatch.setattr(encode.PieceEncoder, "_learn", lambda self, missing: learned.append(len(missing)) or own(self, missing))
+    name = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(4))
+    texts = [" ".join(name(i) for i in range(a, a + 100_000)) for a in range(0, 400_000, 100_000)]
+    encoder = encode.PieceEncoder(public_tokenizers.path("byte_bpe_50k.json"), packing.KEPT)
+    first = [encoder.ids([x])[0] for x in texts][0]
+    assert len(learned) == 4
+    assert (encoder.ids(texts[:1])[0] == first).all() and len(learned) == 4
+    assert first.tolist() == encoder.library.encode(texts[0], add_special_tokens=False).ids
